@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _LOCAL: list[str] = []
 _SHIPPED: set[str] = set()
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,6 +29,9 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
         spark.sparkContext.addPyFile(path)
+        # Texts are long: batches of the default number of rows would take too much of a worker's memory.
+        if spark.conf.get(ARROW_ROWS) == "10000":
+            spark.conf.set(ARROW_ROWS, "2000")
         _SHIPPED.add(app)
 
 

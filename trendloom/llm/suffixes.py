@@ -20,8 +20,9 @@ of one minimiser are the only ones that must meet.
 3. For other minimisers one copy of each distinct piece is fetched from its
    document and goes through the column-wise construction, whole minimisers in blocks of bounded bytes.
    A minimiser with more than ``CAP`` distinct pieces (a passage with many
-   surroundings) would not fit a block; its windows are counted by digest instead,
-   with partial sums before the shuffle. That is exact, too.
+   surroundings) would not fit a block. Its pieces are parted by offset and named by the text
+   that all windows of a part hold, equal parts are merged, and the parts go the same way; at the last
+   level a part is a window and nothing is left to order. That is exact at every level.
 4. Spans go back to all documents that hold the piece, and the texts are cut.
 
 Defined results: null text is empty; texts of fewer than LENGTH bytes lose nothing;
@@ -48,6 +49,8 @@ from .near import grouped
 LENGTH = 400
 GRAM = 32
 CAP = 2000
+#: Windows to a part, level by level; the last must be 1.
+STEPS = (46, 8, 1)
 BLOCK_BYTES = 8 << 20
 _CHUNK = 1 << 19
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -222,19 +225,52 @@ def transformed(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
     return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, digest long, lo int, hi int")
 
 
-def counted(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same for minimisers of many distinct pieces, by counting the digests of windows."""
+def parts(hot: DataFrame, step: int, length: int) -> DataFrame:
+    """(anchor, digest, at, piece) -> (whole_anchor, whole_digest, shift, anchor, digest, at, piece): pieces of at most ``step`` windows.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, digest, piece in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "piece"))):
-                n = len(piece) - length + 1
-                names = [xxhash.xxh3_128_digest(piece[i : i + length]) for i in range(n)]
-                yield pa.record_batch({"anchor": pa.array([anchor] * n, pa.int64()), "digest": pa.array([digest] * n, pa.int64()), "lo": pa.array(range(n), pa.int32()), "window": pa.array(names, pa.binary())})
+    Windows are parted by their offset from the anchor, ``step`` offsets to a
+    part. All windows of a part hold the same stretch of text, its core; parts are
+    named by (anchor, part, core), so equal windows still meet, and the windows
+    of different cores don't. With a step of 1 a part is a window.
+    """
 
-    rows = fetched.select("anchor", "digest", "piece").mapInArrow(windows, "anchor long, digest long, lo int, window binary")
-    twice = rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return rows.join(twice, "window").select("anchor", "digest", "lo", F.col("lo").alias("hi"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for anchor, digest, at, piece in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "at", "piece"))):
+                for q in range(-at // step, (len(piece) - length - at) // step + 1):
+                    lo, hi = max(0, q * step + at), min(len(piece) - length, q * step + step - 1 + at)
+                    core = q * step + step - 1 + at
+                    name = xxhash.xxh3_64_intdigest(piece[core : q * step + length + at], seed=(anchor + q) % 2**64)
+                    part = piece[lo : hi + length]
+                    rows.append((anchor, digest, lo, signed(name), signed(xxhash.xxh3_64_intdigest(part)), core - lo, part))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            names = ("whole_anchor", "whole_digest", "shift", "anchor", "digest", "at", "piece")
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=list(names))
+
+    return hot.select("anchor", "digest", "at", "piece").mapInArrow(run, "whole_anchor long, whole_digest long, shift int, anchor long, digest long, at int, piece binary")
+
+
+def signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def refined(hot: DataFrame, length: int, cap: int, steps: tuple[int, ...]) -> DataFrame | None:
+    """What ``transformed`` gives, for minimisers of more than ``cap`` distinct pieces; None if there are none."""
+    if not steps or not hot.limit(1).count():
+        return None
+    subs = materialize(parts(hot, steps[0], length), "parts")
+    contents = subs.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.first("at").alias("at"), F.first("piece").alias("piece"))
+    contents = materialize(contents, "part-contents")
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    several = materialize(contents.join(kinds.where("kinds > 1"), "anchor"), "part-kinds")
+    found = contents.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), (F.length("piece") - length).alias("hi"))
+    found = found.union(transformed(several.where(F.col("kinds") <= cap), length))
+    deeper = refined(several.where(F.col("kinds") > cap), length, cap, steps[1:])
+    found = materialize(found.union(deeper) if deeper is not None else found, "part-runs")
+    rows = subs.select("whole_anchor", "whole_digest", "shift", "anchor", "digest").join(found, ["anchor", "digest"])
+    return rows.select(F.col("whole_anchor").alias("anchor"), F.col("whole_digest").alias("digest"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
 
 
 def cut(rows: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -277,9 +313,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, cap: int = CAP) -> DataFrame:
     body = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("size"))
     fetched = fetched.select("anchor", "digest", "at", "kinds", body.alias("piece")).dropDuplicates(["anchor", "digest"])
     fetched = materialize(fetched, "fetched")
-    runs = transformed(fetched.where(F.col("kinds") <= cap), length).union(counted(fetched.where(F.col("kinds") > cap), length))
+    runs = transformed(fetched.where(F.col("kinds") <= cap), length)
+    hot = refined(fetched.where(F.col("kinds") > cap), length, cap, STEPS)
+    runs = runs.union(hot) if hot is not None else runs
     whole = shared.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), (F.col("one.size") - length).alias("hi"))
-    known = runs.union(whole).groupBy("anchor", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    # Written, so that the next join has plain shuffles on both sides and can split a key that thousands of documents share.
+    known = materialize(runs.union(whole).groupBy("anchor", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
     spans = found.select("key", "anchor", "digest", "start").join(known, ["anchor", "digest"])
     spans = spans.select("key", F.explode(F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))).alias("run"))
     spans = spans.groupBy("key").agg(F.collect_list("run").alias("runs"))
