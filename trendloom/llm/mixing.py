@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
 LEAST_QUALITY = 0.05
 
@@ -79,6 +79,7 @@ def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """
     rows = rows.drop("source_size", "target", "taken")  # columns of the result's names give way
     kept = rows.columns
+    rows = materialize(rows, "mix-rows")  # read three times, and sizes are dear
     quality = F.when(F.col("quality").isNull() | F.isnan("quality") | (F.col("quality") < LEAST_QUALITY), F.lit(LEAST_QUALITY)).otherwise(F.col("quality"))
     u = unit_hash(F.col("doc_id"), seed)
     keyed = rows.withColumn("_key", -F.log(u) / quality)
