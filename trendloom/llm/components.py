@@ -15,7 +15,12 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds is about the logarithm of the longest path. Each round is
     written to the shared folder. A vertex of many edges is summed on the map side first.
     """
-    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), "edges")
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # A vertex with many lower neighbours keeps the lowest; the others are tied to that one, which leaves few edges in dense groups.
+    lowest = down.groupBy("a").agg(F.min("b").alias("low"))
+    rest = down.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    thin = lowest.select("a", F.col("low").alias("b")).union(rest).distinct()
+    both = materialize(thin.union(thin.select(F.col("b"), F.col("a"))), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("label")), "labels")
     while True:
         heard = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))

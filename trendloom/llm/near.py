@@ -42,7 +42,8 @@ RECALL = 0.99999
 COORDINATES = 48
 LEVELS = 3
 BUCKET = 1024
-TILE = 256
+TILE = 1024
+TOKENS_AT_ONCE = 4_000_000
 #: Signatures that agree in this share of coordinates are checked: 0.8 less four deviations.
 ROUGHLY = 0.56
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -53,16 +54,12 @@ def runs_for(recall: float, threshold: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold))
 
 
-def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles; ``known`` caches words' hashes."""
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles."""
     words = (text or "").encode().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 1_000_000:
-        known.clear()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -88,11 +85,10 @@ def signed(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_hash, digest, size, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
             digests, sizes, sigs = [], [], []
             for text in batch["text"]:
-                s = shingles(text.as_py(), known)
+                s = shingles(text.as_py())
                 digests.append(digest(s))
                 sizes.append(len(s))
                 sigs.append(signature(s).tobytes() if len(s) else b"")
@@ -173,7 +169,10 @@ def grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
 
 
 def rough_edges(buckets: DataFrame) -> DataFrame:
-    """(bucket, rep, sig) -> edges (a, b): a spanning forest of the roughly similar sets of each bucket."""
+    """(bucket, rep, sig) -> edges (a, b): a spanning forest of the roughly similar sets of each bucket.
+
+    Trees hang on their least rep, so that runs that find the same sets give the same edges.
+    """
     need = math.ceil(ROUGHLY * COORDINATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +194,21 @@ def rough_edges(buckets: DataFrame) -> DataFrame:
             if len(at):
                 yield pa.record_batch({"a": rep[at], "b": rep[label[at]]})
 
-    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return buckets.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, by products over the tokens that more than one set has."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    # Ranges of token values, so that memory stays bounded however long the sets are.
+    ranges = max(1, -(-sum(map(len, sets)) // TOKENS_AT_ONCE))
+    cuts = [np.searchsorted(s, np.array([r * (2**64 // ranges) for r in range(1, ranges)], np.uint64)) for s in sets]
+    for r in range(ranges):
+        add_overlaps([s[c[r - 1] if r else 0 : c[r] if r < ranges - 1 else len(s)] for s, c in zip(sets, cuts)], out)
+    return out
+
+
+def add_overlaps(sets: list[np.ndarray], out: np.ndarray) -> None:
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     token, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -208,13 +217,12 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[shared], rank[code[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((n, n), np.float32)
-    for lo in range(0, int((count > 1).sum()), 8192):
-        a, b = np.searchsorted(column, (lo, lo + 8192))
-        m = np.zeros((n, 8192), np.float32)
+    total, width = int((count > 1).sum()), 4096
+    for lo in range(0, total, width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        m = np.zeros((n, min(width, total - lo)), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
         out += m @ m.T
-    return out
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -255,11 +263,10 @@ def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     kept = members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sets = [shingles(t, known) for t in part["text"].to_pylist()]
+                sets = [shingles(t) for t in part["text"].to_pylist()]
                 # A doc_id may stand for several texts; only the one meant stays.
                 meant = pa.array([digest(s) == d for s, d in zip(sets, part["digest"].to_pylist())], pa.bool_())
                 tokens = pa.array([s.tobytes() for s in sets], pa.binary())
