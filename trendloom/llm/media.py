@@ -6,7 +6,7 @@ payload, the shard, and the offset and length of the stored form in it. Range
 reads of the first bytes of an entry fill width, height and depth; the samples are
 read when features are asked for.
 
-Payloads are deduplicated by digest, first within a task, then over all: equal
+Payloads are deduplicated by digest over all tasks: equal
 payloads are stored once, however many rows refer to them. A task writes its
 own shards of bounded size under a name that no other attempt uses; the index, a table
 in the shared folder, names only shards of attempts that were committed.
@@ -33,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, shuffle_parts
+from .lm import probes
 
 WIDTH = 576
 SHARD_BYTES = 64 << 20
+#: Size of the filter of repeated payloads, whatever the input; a fuller one only sends more payloads through the shuffle.
+FILTER_BITS = 1 << 27
 #: The PNG signature and the bytes of signature and header chunk.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -128,40 +131,84 @@ class Shards:
             self.out = None
 
 
+def repeated_filter(payloads: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over the hashes of the payloads that occur more than once."""
+    often = payloads.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.shiftrightunsigned("h", 56).alias("part"))
+    bits = FILTER_BITS >> 8
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(bits, bool)
+        for at in probes(table["h"].to_numpy().view(np.uint64), 1, bits):
+            out[at.astype(np.int64)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in often.groupBy("part").applyInArrow(fill, "part long, data binary").collect():
+        whole[r["part"] * bits // 8 : (r["part"] + 1) * bits // 8] = np.frombuffer(r["data"], np.uint8)
+    return whole
+
+
+def maybe_repeated(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    h, bits = h.view(np.uint64), FILTER_BITS >> 8
+    base, found = (h >> np.uint64(56)).astype(np.int64) * bits, np.ones(len(h), bool)
+    for at in probes(h, 1, bits):
+        bit = base + at.astype(np.int64)
+        found &= (whole[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
 def store(payloads: DataFrame, root: str | None = None) -> tuple[DataFrame, str]:
-    """payloads(payload binary) -> (index table, root): each distinct payload once, in tar shards under root."""
+    """payloads(payload binary) -> (index table, root): each distinct payload once, in tar shards under root.
+
+    Payloads that occur once are written where they lie. Only those that a filter
+    of the repeated ones lets through (all repeated ones, and few others) are shuffled, once from each task.
+    """
     root = root or fresh_path(payloads.sparkSession, "media")
+    rows = payloads.select("payload", F.xxhash64("payload").alias("h"))
+    shared = payloads.sparkSession.sparkContext.broadcast(repeated_filter(rows.select("h")))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(root)
+        for batch in batches:
+            out = []
+            for i in np.flatnonzero(~maybe_repeated(batch["h"].to_numpy(), shared.value)).tolist():
+                payload = batch["payload"][i].as_py()
+                digest, form = hashlib.sha256(payload).hexdigest(), encode(payload)
+                out.append((digest, *shards.add(digest, form), len(form)))
+            if out:
+                yield pa.record_batch(dict(zip(("digest", "shard", "offset", "length"), map(list, zip(*out)))))
+        shards.close()
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                digests, forms = [], []
-                for payload in batch["payload"][lo : lo + 64].to_pylist():
-                    digest = hashlib.sha256(payload).digest()
-                    if digest not in seen:
-                        seen.add(digest)
-                        digests.append(digest.hex())
-                        forms.append(encode(payload))
-                if digests:
-                    yield pa.record_batch({"digest": digests, "stored": pa.array(forms, pa.binary())})
+            digests, forms = [], []
+            for i in np.flatnonzero(maybe_repeated(batch["h"].to_numpy(), shared.value)).tolist():
+                payload = batch["payload"][i].as_py()
+                digest = hashlib.sha256(payload).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    forms.append(encode(payload))
+            if digests:
+                yield pa.record_batch({"digest": pa.array(digests, pa.binary()), "stored": pa.array(forms, pa.binary())})
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, last = Shards(root), None
         for batch in batches:
-            rows = []
+            out = []
             for digest, stored in zip(batch["digest"].to_pylist(), batch["stored"]):
                 if digest != last:
                     form = stored.as_py()
-                    rows.append((digest, *shards.add(digest, form), len(form)))
+                    out.append((digest.hex(), *shards.add(digest.hex(), form), len(form)))
                     last = digest
-            if rows:
-                yield pa.record_batch(dict(zip(("digest", "shard", "offset", "length"), map(list, zip(*rows)))))
+            if out:
+                yield pa.record_batch(dict(zip(("digest", "shard", "offset", "length"), map(list, zip(*out)))))
         shards.close()
 
-    forms = payloads.select("payload").mapInArrow(squeezed, "digest string, stored binary")
+    forms = rows.mapInArrow(squeezed, "digest binary, stored binary")
     index = forms.repartition("digest").sortWithinPartitions("digest").mapInArrow(written, INDEX)
-    return materialize(index, "media-index"), root
+    return materialize(rows.mapInArrow(single, INDEX).union(index), "media-index"), root
 
 
 def metadata(index: DataFrame, root: str) -> DataFrame:
@@ -190,13 +237,13 @@ def by_shard(batch: pa.RecordBatch) -> dict[str, list[tuple[int, int, int]]]:
 
 
 def read_back(index: DataFrame, root: str) -> DataFrame:
-    """index(+ width, height, bits) -> what the stored bytes give: sizes, digests, features."""
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """index(+ width, height, bits) -> + what the stored bytes give: sizes, digests, features."""
+    schema = f"{INDEX}, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(root)
         for batch in batches:
-            digests, sizes, rows = batch["digest"].to_pylist(), list(zip(batch["width"].to_pylist(), batch["height"].to_pylist())), []
+            sizes, rows = list(zip(batch["width"].to_pylist(), batch["height"].to_pylist())), [None] * batch.num_rows
             for shard, entries in by_shard(batch).items():
                 with fs.open_input_file(f"{base}/{shard}") as f:
                     for i, offset, length in entries:
@@ -205,10 +252,10 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
                         payload = decode(stored)
                         if len(payload) != sizes[i][0] * sizes[i][1]:
                             raise OSError(f"{shard}: entry at {offset} is damaged")
-                        rows.append((digests[i], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)))
-            names = ("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            if rows:
-                yield pa.record_batch(dict(zip(names, map(list, zip(*rows)))))
+                        rows[i] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            cols = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return index.mapInArrow(read, schema)
 
@@ -218,8 +265,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     payload = padded(F.col("text"))
     index, root = store(docs.select(payload.alias("payload")))
     # Entries are read in stretches of shards, so that tasks read neighbouring bytes and alike amounts.
-    dealt = index.repartition("shard", F.floor(F.col("offset") / (4 << 20)))
-    heads = metadata(dealt, root)
-    known = heads.join(read_back(heads, root), "digest")
+    dealt = index.repartition(shuffle_parts(docs.sparkSession), "shard", F.floor(F.col("offset") / (4 << 20)))
+    known = read_back(metadata(dealt, root), root)
     rows = docs.withColumns({"n_bytes": F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), "digest": F.sha2(payload, 256)}).drop("text")
     return rows.join(known, "digest")
