@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 1 << 13
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
 
@@ -71,7 +71,7 @@ class Model:
     trust: np.ndarray
 
 
-def fit(rows: list[tuple[str, str]], steps: int = 400, rate: float = 4.0, decay: float = 1e-5) -> Model:
+def fit(rows: list[tuple[str, str]], steps: int = 120, rate: float = 6.0, decay: float = 1e-5) -> Model:
     """Fit one logistic classifier for each bit by full-batch gradient steps with momentum."""
     languages = sorted({lang for _, lang in rows})
     words = codewords(len(languages))

@@ -190,7 +190,7 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int = BITS, l
     """docs(doc_id, text, ...) -> RESULT for every document; those whose remainder is not ``held`` train."""
     range_bits = min(16, max(4, (size_hint(docs) >> 21).bit_length()))
     marked = docs.select("doc_id", "text").withColumn("train", doc_remainder(F.col("doc_id"), modulus) != held)
-    made = materialize(blocks.build(marked, words, bags=False, flag="train"), "lm-blocks")
+    made = materialize(blocks.build(marked, words, flag="train"), "lm-blocks")
     mine = W.partitionBy("token")
     found = blocks.lookups(made).withColumns({"c": F.sum("used").over(mine).cast("long"), "first": F.row_number().over(mine.orderBy("block")) == 1})
     found = materialize(found.select("block", "pos", "c", "first"), "lm-counts")

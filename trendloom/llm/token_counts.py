@@ -3,7 +3,7 @@
 Under the vocabularies served here no piece crosses a pre-token boundary, so the
 number of tokens of a text is the sum over its distinct pre-tokens of frequency
 times pieces. Documents become blocks of (pre-token code, frequency) pairs with
-a dictionary each; the dictionaries' tokens meet on one executor by token, where each
+a dictionary each; the dictionaries' tokens, packed by a hash of the token, meet part by part, where each
 distinct one is encoded once; the counts go back to the blocks and are summed. Ids are
 never built for a text.
 
@@ -26,9 +26,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks
-from .common import materialize
+from .common import materialize, parts_for, size_hint
 
 #: Fixed value: the character that stands for a blank.
 BLANK = "▁"
@@ -58,48 +59,54 @@ def encoder(model_file: str):
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
-def count_pieces(rows: DataFrame, model_file: str) -> DataFrame:
-    """(block, pos, token) sorted by token within partitions -> (block, pos, n); each distinct token is encoded once."""
+def count_pieces(packs: DataFrame, model_file: str) -> DataFrame:
+    """(block, part, data) -> (block, part, pieces): packs of one part meet, and each distinct token of it is encoded once.
+
+    What is held is the distinct tokens of one part.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = encoder(model_file)
-        last, last_n = None, 0
+        sp, now, known = encoder(model_file), None, {}
         for batch in batches:
-            d = pa.array(batch["token"]).dictionary_encode()
-            words = d.dictionary.to_pylist()
-            carried = [last_n if w == last else None for w in words[:1]]
-            todo = words[1:] if carried and carried[0] is not None else words
-            ns = [len(ids) for ids in sp.encode(todo, num_threads=1)] if todo else []
-            ns = np.array([*[c for c in carried if c is not None], *ns], dtype=np.int32)
-            if words:
-                last, last_n = words[-1], int(ns[-1])
-                yield pa.record_batch({"block": batch["block"], "pos": batch["pos"], "n": pa.array(ns[d.indices.to_numpy()], pa.int32())})
+            out = []
+            for part, data in zip(batch["part"].to_pylist(), batch["data"]):
+                if part != now:
+                    now, known = part, {}
+                tokens = blocks.unpack_tokens(data.as_py())
+                fresh = [t for t in tokens if t not in known]
+                if fresh:
+                    known.update(zip(fresh, map(len, sp.encode(fresh, num_threads=1))))
+                out.append(blocks.squeeze(np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens))))
+            yield pa.record_batch({"block": batch["block"], "part": batch["part"], "pieces": pa.array(out, pa.binary())})
 
-    return rows.mapInArrow(counted, "block long, pos int, n int")
+    return packs.mapInArrow(counted, "block long, part int, pieces binary")
 
 
 def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, n_tokens."""
-    made = materialize(blocks.build(docs, pre_tokens, bags=True), "token-blocks")
-    asked = blocks.lookups(made).select("block", "pos", "token").repartition("token").sortWithinPartitions("token")
-    answers = count_pieces(asked, model_file)
+    parts = min(16384, parts_for(size_hint(docs), 8 << 20, 48))
+    made = materialize(blocks.build_bags(docs, pre_tokens, parts), "token-blocks")
+    asked = made.select("block", F.explode("packs").alias("p")).select("block", "p.part", "p.data")
+    answers = count_pieces(asked.repartition("part").sortWithinPartitions("part"), model_file)
 
     def summed(key: tuple, held: pa.Table, got: pa.Table) -> pa.Table:
-        found = np.zeros(got.num_rows, np.int64)
-        found[got["pos"].to_numpy()] = got["n"].to_numpy()
-        rows = held.to_pylist()
+        pieces = [blocks.expand(p, np.uint32) for _, p in sorted(zip(got["part"].to_pylist(), got["pieces"].to_pylist()))]
+        found = np.concatenate([*pieces, np.zeros(0, np.uint32)]).astype(np.int64)
         ids, sizes, totals = [], [], []
-        for row in rows:
-            flat, lens = blocks.expand(row["packed"], np.uint32), np.array(row["lens"], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(2 * lens)])
-            for at, n in zip(starts, lens):
-                totals.append(int(found[flat[at : at + n]] @ flat[at + n : at + 2 * n].astype(np.int64)))
+        for row in held.to_pylist():
+            lens = np.array(row["lens"], np.int64)
+            gaps, counts = blocks.expand(row["gaps"], np.uint32).astype(np.int64), blocks.expand(row["counts"], np.uint32).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(lens)])
+            run = np.cumsum(gaps)
+            before = np.concatenate([[0], run])[at[:-1]]  # each document's codes start anew
+            codes = run - np.repeat(before, lens)
+            sums = np.concatenate([[0], np.cumsum(found[codes] * counts)])
+            totals.append(sums[at[1:]] - sums[at[:-1]])
             ids += row["doc_ids"]
             sizes += row["n_bytes"]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(totals, pa.int64())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(np.concatenate(totals) if totals else [], pa.int64())})
 
-    slim = made.select("block", "doc_ids", "n_bytes", "lens", "packed")
-    return slim.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, RESULT)
+    return made.drop("packs").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, RESULT)
 
 
 __all__ = ["count_pieces", "encoder", "pre_tokens", "token_counts"]
