@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """95 % interval of a share; (0, 0) for n = 0."""
-    p, zz = k / F.nullif(n, F.lit(0)), z * z
+    n = F.nullif(n, F.lit(0))
+    p, zz = k / n, z * z
     mid, spread = p + zz / (2 * n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))
     low, high = (mid - spread) / (1 + zz / n), (mid + spread) / (1 + zz / n)
     return F.coalesce(F.greatest(F.lit(0.0), low), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), high), F.lit(0.0))

@@ -51,7 +51,7 @@ def substring_matches(new: DataFrame, base: DataFrame, length: int = 0) -> DataF
 
 def importance(counts: DataFrame, count: str = "count") -> DataFrame:
     """+ importance: the share of the largest count, 4 digits, half to even."""
-    return counts.crossJoin(F.broadcast(counts.agg(F.max(count).alias("_top")))).withColumn("importance", F.bround(F.col(count) / F.col("_top"), 4)).drop("_top")
+    return counts.crossJoin(F.broadcast(counts.agg(F.max(count).alias("_top")))).withColumn("importance", F.bround(F.col(count) / F.nullif(F.col("_top"), F.lit(0)), 4)).drop("_top")
 
 
 def enriched(rows: DataFrame) -> DataFrame:
