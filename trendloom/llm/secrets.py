@@ -83,7 +83,10 @@ def entropy_span(body: Column, threshold: Column) -> Column:
     """
     weigh = F.array(*[F.lit(weight(c)) for c in range(WINDOW + 1)])
     codes = F.transform(F.filter(F.split(body, ""), lambda ch: ch != ""), lambda ch: F.call_function("locate", ch, F.lit(ALPHABET)))
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("into"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(0)).alias("out"), (i + 1).alias("end")))
+    # Zipped with itself shifted by a window; a lambda that indexed the codes would build them anew for each character.
+    late = F.concat(F.array_repeat(F.lit(0), WINDOW), F.slice(codes, F.lit(1), F.greatest(F.length(body) - WINDOW, F.lit(0))))
+    pairs = F.zip_with(codes, late, lambda c, o: F.struct(c.alias("into"), o.alias("out")))
+    steps = F.transform(pairs, lambda p, i: F.struct(p["into"].alias("into"), p["out"].alias("out"), (i + 1).alias("end")))
     seed = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(2**30).alias("first"), F.lit(-1).alias("last"))
 
     def slide(acc: Column, s: Column) -> Column:
