@@ -12,7 +12,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, zz = k / n, z * z
     mid, spread = p + zz / (2 * n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))
     low, high = (mid - spread) / (1 + zz / n), (mid + spread) / (1 + zz / n)
-    return F.coalesce(F.greatest(F.lit(0.0), low), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), high), F.lit(0.0))
+    zero = F.lit(0.0)
+    return F.when(n.isNull(), zero).otherwise(F.greatest(zero, low)), F.when(n.isNull(), zero).otherwise(F.least(F.lit(1.0), high))
 
 
 def wilson_or_null(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
