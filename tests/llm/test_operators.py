@@ -250,3 +250,13 @@ def test_pipeline_stages(spark, tmp_path):
     texts_left = [r["text"] for r in docs.collect()]
     assert not any("abcdef123456789" in t for t in texts_left)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_runs_reach_the_recall():
+    rnd = np.random.default_rng(3)
+    alive = np.ones(200_000, np.int64)
+    for _ in range(near.LEVELS):
+        alive = rnd.binomial(alive + rnd.binomial(alive, 1 / 0.8 - 1), 0.8)
+    assert near.runs_for(0.99999, 0.8) >= math.log(1e-5) / math.log((alive == 0).mean()) - 0.1
+    short = sum(math.comb(near.COORDINATES, k) * 0.8**k * 0.2 ** (near.COORDINATES - k) for k in range(math.ceil(near.ROUGHLY * near.COORDINATES)))
+    assert short < 1e-5
