@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 from .lm import mix
 
@@ -111,30 +111,33 @@ def coordinate(sig: str, at) -> F.Column:
 
 
 def leaves(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """classes(rep, sig) -> (bucket, rep, sig): brute-force units of at most BUCKET rows, or pairs of tiles."""
+    """classes(rep, sig) -> (bucket, rep, sig): brute-force units of at most BUCKET rows, or pairs of tiles.
+
+    Signatures stay in ``classes`` while buckets are counted; only the rows of
+    buckets that go on, to a further split or to brute force, fetch them.
+    """
     more = 1 / threshold - 1  # paths beyond the first, in expectation
+    sigs = classes.select("rep", "sig")
 
     def split(nodes: DataFrame, level: int) -> DataFrame:
         first = (F.col("run") * 5 + level * 17) % COORDINATES
         draw = F.xxhash64(F.lit(level), "node")
         second = F.when(F.pmod(draw, F.lit(1000)) < int(1000 * more), F.pmod(F.shiftright(draw, 20), F.lit(COORDINATES)))
         ways = F.array_compact(F.array(first.cast("long"), F.when(second != first, second)))
-        out = nodes.withColumn("way", F.explode(ways))
-        return out.withColumn("node", F.xxhash64("node", "way", coordinate("sig", F.col("way")))).drop("way")
+        return nodes.withColumn("way", F.explode(ways)).select("rep", "run", F.xxhash64("node", "way", coordinate("sig", F.col("way"))).alias("node"))
 
-    nodes = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("node", F.xxhash64("run"))
-    done = []
+    nodes = sigs.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("node", F.xxhash64("run"))
+    small = None
     for level in range(LEVELS):
-        nodes = split(nodes, level)
-        counts = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-        sized = materialize(nodes.join(counts, "node"), "nodes")
-        done.append(sized.where(F.col("members") <= BUCKET))
-        nodes = sized.where(F.col("members") > BUCKET).drop("members")
-    small = done[0].select(F.col("node").alias("bucket"), "rep", "sig")
-    for more_done in done[1:]:
-        small = small.union(more_done.select("node", "rep", "sig"))
-    large = tiled(sized.where(F.col("members") > BUCKET).select(F.col("node").alias("group"), "rep", "sig", "members"))
-    return small.union(large.select(F.xxhash64("group", "tile_a", "tile_b"), "rep", "sig"))
+        rows = materialize(split(nodes, level), "nodes")
+        counts = rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
+        sized = materialize(rows.join(counts, "node"), "sized")
+        discard(rows)
+        done = sized.where(F.col("members") <= BUCKET).select(F.col("node").alias("bucket"), "rep")
+        small = done if small is None else small.union(done)
+        nodes = sized.where(F.col("members") > BUCKET).select("rep", "run", "node").join(sigs, "rep")
+    large = tiled(sized.where(F.col("members") > BUCKET).select(F.col("node").alias("group"), "rep", "members"))
+    return small.union(large.select(F.xxhash64("group", "tile_a", "tile_b"), "rep")).join(sigs, "rep").select("bucket", "rep", "sig")
 
 
 def tiled(rows: DataFrame) -> DataFrame:
