@@ -15,8 +15,8 @@ source's boundary is sorted.
 
 Defined results: null text has size 0; documents of size 0 take 0; null
 sources are one source, ordered last; a null, NaN or non-positive quality counts
-as the least quality; ties of keys go to the smaller doc_id, then to the text's
-hash, so that equal rows may share the boundary in either order with the same
+as the least quality; ties of keys go to the smaller doc_id, then to the
+smaller size, so that rows equal in these may meet the boundary in either order with the same
 totals; an empty table gives an empty result; other columns are kept.
 """
 

@@ -11,8 +11,8 @@ contents.
 Scale: lengths are computed where the texts lie; only (doc_id, length) moves.
 Items are dealt at random, by hash, into blocks of about ``block_items``
 documents, and each block is packed on its own, so memory is bounded and no
-state is shared. Blocks are hashed by the row's content and an optional salt, so a hot key
-can't fill one block.
+state is shared. Blocks are hashed by id and text, so copies under many ids
+spread over the blocks; rows equal in both share one.
 
 Defined results: null or empty texts have length 0 and go into no bin; equal
 rows are separate items; an empty table gives an empty result.
@@ -24,7 +24,7 @@ import bisect
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +33,8 @@ from .mixing import word_count
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 SCHEMA = "bin_id string, capacity int, used int, doc_id long, piece int, piece_start long, piece_length int, bin_start int"
+NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
+ARROW = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[field.split()[1]] for field in SCHEMA.split(", ")]
 
 
 class OpenBins:
@@ -111,18 +113,17 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bloc
     ``rows`` is the number of documents where it is known; else it is counted.
     """
     blocks = parts_for(docs.count() if rows is None else rows, block_items)
-    items = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     items = items.where("n > 0")
     sizes = tuple(sorted(set(capacities)))
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n"], kind="stable")
-        ids = list(pdf["doc_id"])
-        block = int(pdf["block"].iloc[0])
-        rows = [(f"{block}-{b}", c, u, None if pd.isna(ids[i]) else int(ids[i]), p, s, n, at) for b, c, u, i, p, s, n, at in pack(pdf["n"].tolist(), sizes)]
-        return pd.DataFrame(rows, columns=["bin_id", "capacity", "used", "doc_id", "piece", "piece_start", "piece_length", "bin_start"]).astype({"doc_id": "Int64"})
+    def packed(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["doc_id"].to_pylist(), table["n"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        block = table["block"][0].as_py()
+        placed = [(f"{block}-{b}", c, u, rows[i][0], p, s, n, at) for b, c, u, i, p, s, n, at in pack([n for _, n in rows], sizes)]
+        return pa.table([pa.array(values, kind) for values, kind in zip(zip(*placed), ARROW)], names=NAMES)
 
-    return items.groupBy("block").applyInPandas(packed, SCHEMA)
+    return items.groupBy("block").applyInArrow(packed, SCHEMA)
 
 
 def padding_share(packed: DataFrame) -> DataFrame:
