@@ -26,7 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import parts_for
+
 MAX = 2**63 - 1
+#: Vectors that one task packs into shards.
+PACK_ROWS = 1 << 18
 
 
 def usable(vector: Column) -> Column:
@@ -58,7 +62,10 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(rows: DataFrame, each: int) -> DataFrame:
-    """(id, dim, v) -> shards of at most ``each`` vectors of one dimension, ids ascending."""
+    """(id, v) -> shards of at most ``each`` vectors of one dimension, ids ascending.
+
+    Rows are packed in order of their id, so that a task that is run again makes the same shards.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[int, list]]] = {}
@@ -78,7 +85,7 @@ def pack(rows: DataFrame, each: int) -> DataFrame:
         for dim in list(waiting):
             yield out(dim)
 
-    return rows.select("id", "v").mapInArrow(packed, "dim int, n int, ids binary, m binary")
+    return rows.select("id", "v").sortWithinPartitions("id").mapInArrow(packed, "dim int, n int, ids binary, m binary")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, tile_rows: int = 4096, shard_rows: int = 4096, slots: int = 48) -> DataFrame:
@@ -86,11 +93,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double")).alias("v"))
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    tiles = max(1, -(-queries.count() // tile_rows))
+    total, asked = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    tiles = parts_for(asked, tile_rows)
     q = pack(queries.repartition(tiles, "id"), tile_rows).withColumn("tile", F.monotonically_increasing_id() % tiles)
     q = q.select("tile", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    parted = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
-    deduped = parted.groupBy("part", "id").agg(F.min("v").alias("v")).repartition(slots, "part")
+    parts = parts_for(total, PACK_ROWS, slots)
+    deduped = rows.groupBy("id").agg(F.min("v").alias("v")).repartition(parts, "id")
     c = pack(deduped, shard_rows).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
     c = c.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"), "slot", "dim", "ids", "m")
     grid = q.join(c, ["tile", "slot", "dim"])
