@@ -235,6 +235,8 @@ def test_packing(spark):
         assert rs[0]["capacity"] == min(c for c in packing.CAPACITIES if c >= rs[0]["used"])
     assert sum(r["piece_length"] for r in got) == sum(len((t or "").split()) for _, t in rows)
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+    large = packing.pack_documents(spark.createDataFrame([(2**60 + 1, "a b"), (None, "c")], SCHEMA), block_items=20).collect()
+    assert {r["doc_id"] for r in large} == {2**60 + 1, None}
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -260,3 +262,11 @@ def test_runs_reach_the_recall():
     assert near.runs_for(0.99999, 0.8) >= math.log(1e-5) / math.log((alive == 0).mean()) - 0.1
     short = sum(math.comb(near.COORDINATES, k) * 0.8**k * 0.2 ** (near.COORDINATES - k) for k in range(math.ceil(near.ROUGHLY * near.COORDINATES)))
     assert short < 1e-5
+
+
+def test_repeated_rows_link_once(spark):
+    words = [f"w{i}" for i in range(100)]
+    text, close = " ".join(words), " ".join([*words[:40], "new", *words[41:]])
+    rows = [(1, text), (1, text), (1, text), (2, close), (2, close), (3, "something else"), (1, "another text of the same id")]
+    got = near.near_classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter([(1, 1, 4)] * 3 + [(2, 1, 4)] * 2 + [(3, 3, 0), (1, 1, 0)])

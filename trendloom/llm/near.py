@@ -247,10 +247,12 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def checked(units: DataFrame, threshold: float) -> DataFrame:
-    """(unit, tile, tile_a, tile_b, rep, copies, tokens) -> (rep, links, root): links within the unit and its spanning forest."""
+    """(unit, tile, tile_a, tile_b, rep, copies, tokens) -> (rep, links, root): links within the unit and its spanning forest; a rep given more than once counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "unit"):
+            key, rep = table["unit"].to_numpy(), table["rep"].to_numpy()
+            table = table.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])])))
             key, rep, copies, tile = (table[c].to_numpy() for c in ("unit", "rep", "copies", "tile"))
             across = table["tile_a"].to_numpy() != table["tile_b"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
@@ -265,23 +267,32 @@ def checked(units: DataFrame, threshold: float) -> DataFrame:
                 root[lo:hi] = rep[lo:hi][forest(hi - lo, a, b)]
             yield pa.record_batch({"rep": rep, "links": links, "root": root})
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "rep long, links long, root long")
+    return units.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(run, "rep long, links long, root long")
 
 
 def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members(owner, digest, ...) -> + tokens (sorted 64-bit hashes), from the documents' whole texts."""
+    """members(owner, digest, ...) -> + tokens (sorted 64-bit hashes), from the documents' whole texts.
+
+    Where the owner's row is repeated, a member comes once from each task that read one.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("owner"), "text").join(members, "owner")
     kept = members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sets = [shingles(t) for t in part["text"].to_pylist()]
-                # A doc_id may stand for several texts; only the one meant stays.
-                meant = pa.array([digest(s) == d for s, d in zip(sets, part["digest"].to_pylist())], pa.bool_())
-                tokens = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), tokens], names=[*kept, "tokens"]).filter(meant)
+                meant, tokens = [], []
+                for text, wanted in zip(part["text"], part["digest"].to_pylist()):
+                    s = shingles(text.as_py()) if wanted not in done else None
+                    # A doc_id may stand for several texts; only the one meant stays.
+                    meant.append(s is not None and digest(s) == wanted)
+                    tokens.append(s.tobytes() if meant[-1] else b"")
+                    if meant[-1]:
+                        done.add(wanted)
+                out = pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(tokens, pa.binary())], names=[*kept, "tokens"])
+                yield out.filter(pa.array(meant, pa.bool_()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
     return rows.select("text", *kept).mapInArrow(run, f"{fields}, tokens binary")
