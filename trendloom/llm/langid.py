@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 1 << 13
+#: Parts of a language whose least rows are found on their own.
+PARTS = 64
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
@@ -114,7 +116,10 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs(doc_id, text, lang): learn from at most ``per_language`` rows of each non-null lang."""
     labelled = docs.where("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.lit(11), "doc_id", "text"))
-    ids = labelled.select("lang", "_h").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= per_language)
+    least = lambda rows, *by: rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("_h"))).where(F.col("_n") <= per_language)
+    # The least of each part of a language first, so that no task meets the rows that all tasks keep for a language.
+    parts = least(labelled.select("lang", "_h", F.pmod("_h", F.lit(PARTS)).alias("_part")), "lang", "_part")
+    ids = least(parts, "lang")
     # The bound of each language's hashes is a small table; the texts are then only filtered.
     bounds = {r["lang"]: r["b"] for r in ids.groupBy("lang").agg(F.max("_h").alias("b")).collect()}
     if not bounds:
