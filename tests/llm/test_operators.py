@@ -270,3 +270,27 @@ def test_repeated_rows_link_once(spark):
     rows = [(1, text), (1, text), (1, text), (2, close), (2, close), (3, "something else"), (1, "another text of the same id")]
     got = near.near_classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter([(1, 1, 4)] * 3 + [(2, 1, 4)] * 2 + [(3, 3, 0), (1, 1, 0)])
+
+
+def test_lm_filter_grows_with_the_input(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"v{rnd.randrange(60 * (i // 100 + 1))}" for _ in range(80))) for i in range(400)]
+    for some in (rows[:100], rows):
+        docs = spark.createDataFrame(some, SCHEMA)
+        rem = lambda i: zlib.crc32(str(i).encode()) % 10
+        toks = {i: [*t.split(), lm.END] for i, t in some}
+        one = Counter(w for i, ws in toks.items() if rem(i) for w in ws)
+        two = Counter(p for i, ws in toks.items() if rem(i) for p in zip([None, *ws[:-1]], ws))
+        two = Counter({p: n for p, n in two.items() if n > 1})
+        got = lm.report(docs).collect()
+        assert sum(r["levels"] for r in got) == sum(1 + int(math.log2(n)) for c in (one, two) for n in c.values())
+        assert all(r["fill"] < 0.25 and (r["bits"] <= 32 * r["levels"] or r["bits"] == 64) for r in got)
+        mid = lambda n: 2.0 ** (int(math.log2(n)) + 0.5) if n > 1 else float(n)
+        whole = sum(one.values()) + 0.1 * (len(one) + 1)
+        for r in lm.score(docs).collect():
+            want, before = 0.0, None
+            for w in toks[r["doc_id"]]:
+                context, mine = mid(one[lm.END if before is None else before]), mid(one[w])
+                want += math.log10((min(mid(two[before, w]), context, mine) + 20 * (mine + 0.1) / whole) / (context + 20))
+                before = w
+            assert abs(r["score"] - want) < 0.02 * r["n_tokens"]

@@ -7,9 +7,13 @@ positive only an over-estimate by one level with small probability. Unigrams and
 the bigrams seen at least twice are entered, over all training documents.
 
 Building: blocks of documents send (n-gram key, count) runs, sorted and packed by key
-range; each range sums its keys and fills its own slice of the filter; the slices
-are broadcast. The filter has ``bits`` bits whatever the input, so the broadcast is
-bounded; with more n-grams the false-positive rate rises, and ``fill`` reports it.
+range; each range sums its keys, counts the levels to enter and makes its own slice
+of the filter, with as many bits as they need for a false-positive rate of ``RATE``
+a probe round, whatever the input. A slice never leaves its range: it answers
+there for all n-grams that the blocks sent (those of held-out documents too), and
+only levels go back to the blocks. Nothing is collected or broadcast.
+``report`` gives each slice's levels, bits and fill. A given ``bits`` fixes the size
+of the whole filter instead.
 
 Scoring: log10 p(w | v) with Dirichlet smoothing, (c(v, w) + MU * p(w)) / (c(v)
 + MU), p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), all counts from probes. The
@@ -24,10 +28,12 @@ scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,7 +42,8 @@ from pyspark.sql import functions as F
 from . import blocks
 from .common import doc_remainder, materialize, size_hint
 
-BITS = 1 << 28
+#: False-positive rate of a probe round, by which slices are sized.
+RATE = 0.001
 MU = 20.0
 END = "\n"  # white space, so no word
 KEY_BITS = 40
@@ -94,36 +101,36 @@ def probes(low: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
 
 
 class Filter:
-    """Slices side by side; ``count`` estimates counts by probing levels."""
-
-    def __init__(self, range_bits: int, slice_bits: int, slices: dict[int, bytes]) -> None:
-        self.range_bits, self.slice_bits = range_bits, slice_bits
-        self.bytes = np.zeros((1 << range_bits) * slice_bits // 8, np.uint8)
-        for r, data in slices.items():
-            at = r * slice_bits // 8
-            self.bytes[at : at + slice_bits // 8] = np.frombuffer(data, np.uint8)
-
-    def holds(self, which: np.ndarray, low: np.ndarray, level: int) -> np.ndarray:
-        found = np.ones(len(low), bool)
-        base = which * self.slice_bits
-        for at in probes(low, level, self.slice_bits):
-            bit = base + at.astype(np.int64)
-            found &= (self.bytes[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-        return found
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: level q stands for 2**(q - 1) .. 2**q - 1, of which the geometric middle is taken; 0 if absent."""
-        which, low = split(keys, self.range_bits)
-        level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    """A slice of the filter; ``count`` estimates counts by probing levels."""
+
+    def __init__(self, held: np.ndarray) -> None:
+        self.held = held
+
+    def level(self, low: np.ndarray) -> np.ndarray:
+        """The last level found of each key, 0 if absent."""
+        level, alive = np.zeros(len(low), np.uint8), np.arange(len(low))
         for q in range(1, 64):
-            alive = alive[self.holds(which[alive], low[alive], q)]
+            found = np.ones(len(alive), bool)
+            for at in probes(low[alive], q, len(self.held)):
+                found &= self.held[at.astype(np.int64)]
+            alive = alive[found]
             if not len(alive):
                 break
             level[alive] = q
-        return np.where(level > 1, 2.0 ** (level - 0.5), level)
+        return level
 
     def fill(self) -> float:
-        return float(np.unpackbits(self.bytes).mean())
+        return float(self.held.mean())
+
+
+def typical(level: np.ndarray) -> np.ndarray:
+    """Estimated counts: level q stands for 2**(q - 1) .. 2**q - 1, of which the geometric middle is taken; 0 if absent."""
+    return np.where(level > 1, 2.0 ** (level - 0.5), level)
+
+
+def bits_for(levels: int, rate: float = RATE) -> int:
+    """Bits, in whole bytes, in which so many levels have that false-positive rate."""
+    return max(64, 8 * math.ceil(levels * HASHES / -math.log1p(-(rate ** (1 / HASHES))) / 8))
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -139,80 +146,122 @@ def slice_of(low: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(keys) else counts
+def grams(row: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A block's distinct keys in order, each place's position among them and their counts in flagged documents; for tokens (by the dictionary), then for pairs."""
+    keys, flat, lens = token_keys(row["tokens"]), blocks.expand(row["packed"], np.uint32), np.array(row["lens"], np.int64)
+    train = np.repeat(np.array(row["flags"], bool), lens)
+    one, at = np.unique(mix(keys), return_inverse=True)
+    two, by = np.unique(pairs_of(keys, flat, lens), return_inverse=True)
+    return [(one, at, np.bincount(at[flat[train]], minlength=len(one))), (two, by, np.bincount(by[train], minlength=len(two)))]
 
 
-def build_filter(made: DataFrame, range_bits: int, bits: int, least_pair: int) -> Filter:
-    """blocks -> the filter over their flagged documents."""
-    slice_bits = bits >> range_bits
+def asked(made: DataFrame, range_bits: int) -> DataFrame:
+    """blocks -> their n-grams, packed by key range: (part, block, n_order, low, n)."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, flat, lens = token_keys(row["tokens"]), blocks.expand(row["packed"], np.uint32), np.array(row["lens"], np.int64)
-                train = np.repeat(np.array(row["flags"], bool), lens)
-                used = np.array(row["used"], np.int64)
-                pairs, n = np.unique(pairs_of(keys, flat, lens)[train], return_counts=True)
-                for order, k, c in ((1, mix(keys[used > 0]), used[used > 0]), (2, pairs, n)):
-                    k, c = summed(k, c)
+                for order, (k, _, c) in enumerate(grams(row), 1):
                     which, low = split(k, range_bits)
                     cuts = np.searchsorted(which, np.arange((1 << range_bits) + 1))
                     data = [(r, low[a:b], c[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
                     for lo in range(0, len(data), 64):
                         some = data[lo : lo + 64]
                         five = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for _, x, _ in some]
-                        yield pa.record_batch({"part": [r for r, _, _ in some], "n_order": pa.array([order] * len(some), pa.int32()), "low": pa.array(five, pa.binary()), "n": pa.array([blocks.squeeze(c.astype(np.uint32)) for _, _, c in some], pa.binary())})
-
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(slice_bits, bool)
-        for order, least in ((1, 1), (2, least_pair)):
-            rows = [r for r in table.to_pylist() if r["n_order"] == order]
-            if rows:
-                wide = []
-                for r in rows:
-                    five = np.frombuffer(r["low"], np.uint8).reshape(-1, 5)
-                    full = np.zeros((len(five), 8), np.uint8)
-                    full[:, :5] = five
-                    wide.append(full.reshape(-1).view(np.uint64))
-                low, n = summed(np.concatenate(wide), np.concatenate([blocks.expand(r["n"], np.uint32).astype(np.int64) for r in rows]))
-                out |= slice_of(low[n >= least], n[n >= least], slice_bits)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([np.packbits(out).tobytes()], pa.binary())})
-
-    sent = made.mapInArrow(runs, "part long, n_order int, low binary, n binary")
-    return Filter(range_bits, slice_bits, {r["part"]: r["data"] for r in sent.groupBy("part").applyInArrow(fill, "part long, data binary").collect()})
-
-
-def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int = BITS, least_pair: int = 2, mu: float = MU) -> DataFrame:
-    """docs(doc_id, text, ...) -> RESULT for every document; those whose remainder is not ``held`` train."""
-    range_bits = min(16, max(4, (size_hint(docs) >> 21).bit_length()))
+                        yield pa.record_batch({"part": [r for r, _, _ in some], "block": pa.array([row["block"]] * len(some), pa.int64()), "n_order": pa.array([order] * len(some), pa.int64()), "low": pa.array(five, pa.binary()), "n": pa.array([blocks.squeeze(c.astype(np.uint32)) for _, _, c in some], pa.binary())})
+
+    return made.mapInArrow(runs, "part long, block long, n_order long, low binary, n binary")
+
+
+def wide(data: bytes) -> np.ndarray:
+    five = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    full = np.zeros((len(five), 8), np.uint8)
+    full[:, :5] = five
+    return full.reshape(-1).view(np.uint64)
+
+
+def slice_for(table: pa.Table, least_pair: int, slice_bits: int | None) -> tuple[Filter, int, list[tuple[list[dict], np.ndarray, np.ndarray]]]:
+    """A range's slice, the levels entered, and by order: what was asked, the distinct keys, and each asked key's position among them."""
+    entered, orders = [], []
+    for order, least in ((1, 1), (2, max(1, least_pair))):
+        rows = table.filter(pc.equal(table["n_order"], order)).to_pylist()
+        if rows:
+            low, at = np.unique(np.concatenate([wide(r["low"]) for r in rows]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([blocks.expand(r["n"], np.uint32) for r in rows]), len(low)).astype(np.int64)
+            entered.append((low[n >= least], n[n >= least]))
+            orders.append((rows, low, at))
+    levels = sum(int(quantised(n).sum()) for _, n in entered)
+    bits = slice_bits or bits_for(levels)
+    held = np.zeros(bits, bool)
+    for low, n in entered:
+        held |= slice_of(low, n, bits)
+    return Filter(held), levels, orders
+
+
+def answered(made: DataFrame, range_bits: int, bits: int | None, least_pair: int) -> DataFrame:
+    """blocks -> (block, n_order, part, data): the packed levels of each block's n-grams of a key range, in the order of keys."""
+    slice_bits = bits and bits >> range_bits
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        lm, _, orders = slice_for(table, least_pair, slice_bits)
+        out = []
+        for rows, low, at in orders:
+            level, done = lm.level(low)[at], 0
+            for r in rows:
+                size = len(r["low"]) // 5
+                out.append((r["block"], r["n_order"], r["part"], blocks.squeeze(level[done : done + size])))
+                done += size
+        return pa.table({name: pa.array([o[i] for o in out], kind) for i, (name, kind) in enumerate((("block", pa.int64()), ("n_order", pa.int64()), ("part", pa.int64()), ("data", pa.binary())))})
+
+    return asked(made, range_bits).groupBy("part").applyInArrow(answer, "block long, n_order long, part long, data binary")
+
+
+def ranges(docs: DataFrame) -> int:
+    return min(16, max(4, (size_hint(docs) >> 21).bit_length()))
+
+
+def built(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     marked = docs.select("doc_id", "text").withColumn("train", doc_remainder(F.col("doc_id"), modulus) != held)
-    made = materialize(blocks.build(marked, words, flag="train"), "lm-blocks")
+    return materialize(blocks.build(marked, words, flag="train"), "lm-blocks")
+
+
+def report(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 2) -> DataFrame:
+    """docs(doc_id, text, ...) -> (part, levels, bits, fill) of each slice of the filter."""
+    range_bits = ranges(docs)
+    slice_bits = bits and bits >> range_bits
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        lm, levels, _ = slice_for(table, least_pair, slice_bits)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels], pa.int64()), "bits": pa.array([len(lm.held)], pa.int64()), "fill": pa.array([lm.fill()], pa.float64())})
+
+    return asked(built(docs, modulus, held), range_bits).groupBy("part").applyInArrow(one, "part long, levels long, bits long, fill double")
+
+
+def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 2, mu: float = MU) -> DataFrame:
+    """docs(doc_id, text, ...) -> RESULT for every document; those whose remainder is not ``held`` train."""
+    made = built(docs, modulus, held)
     mine = W.partitionBy("token")
     found = blocks.lookups(made).withColumns({"c": F.sum("used").over(mine).cast("long"), "first": F.row_number().over(mine.orderBy("block")) == 1})
     found = materialize(found.select("block", "pos", "c", "first"), "lm-counts")
     total = found.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     whole = n + 0.1 * (v + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(build_filter(made, range_bits, bits, least_pair))
+    levels = answered(made, ranges(docs), bits, least_pair)
 
     def scored(key: tuple, held_rows: pa.Table, got: pa.Table) -> pa.Table:
-        lm, out = shared.value, []
-        exact = np.zeros(got.num_rows, np.int64)
-        exact[got["pos"].to_numpy()] = got["c"].to_numpy()
-        end_count = lm.count(mix(token_keys([END])))[0]
+        out, known = [], got.filter(pc.is_null(got["data"]))
+        exact = np.zeros(known.num_rows, np.int64)
+        exact[known["pos"].to_numpy()] = known["c"].to_numpy()
+        found = {1: [], 2: []}
+        for r in got.filter(pc.is_valid(got["data"])).sort_by("pos").to_pylist():
+            found[r["c"]].append(blocks.expand(r["data"], np.uint8))
         for row in held_rows.to_pylist():
-            keys, flat, lens = token_keys(row["tokens"]), blocks.expand(row["packed"], np.uint32), np.array(row["lens"], np.int64)
+            flat, lens = blocks.expand(row["packed"], np.uint32), np.array(row["lens"], np.int64)
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-            one = lm.count(mix(keys))
-            pairs, at = np.unique(pairs_of(keys, flat, lens), return_inverse=True)
-            two = lm.count(pairs)[at]
+            one, two = (typical(np.concatenate(found[order]))[at] for order, (_, at, _) in enumerate(grams(row), 1))
             context = np.empty(len(flat))
             context[1:] = one[flat[:-1]]
-            context[starts] = end_count  # as many starts as ends
+            context[starts] = one[row["tokens"].index(END)]  # as many starts as ends
             two = np.minimum(two, np.minimum(context, one[flat]))
             p = (two + mu * (one[flat] + 0.1) / whole) / (context + mu)
             base = np.log10((exact + 0.1) / whole)[flat]
@@ -222,7 +271,10 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int = BITS, l
         cat = lambda i: np.concatenate([np.asarray(o[i]) for o in out])
         return pa.table({"doc_id": pa.array([d for o in out for d in o[0]], pa.int64()), "held_out": pa.array(cat(1)), "n_tokens": pa.array(cat(2), pa.int64()), "n_known": pa.array(cat(3), pa.int64()), "train_tokens": pa.array(np.full(len(cat(2)), n), pa.int64()), "base_score": pa.array(cat(4), pa.float64()), "score": pa.array(cat(5), pa.float64())})
 
-    return made.drop("used", "n_bytes").groupBy("block").cogroup(found.select("block", "pos", "c").groupBy("block")).applyInArrow(scored, RESULT)
+    # Levels travel with the exact counts: their order in the place of the count, their key range in that of the position.
+    none = F.lit(None).cast("binary").alias("data")
+    both = found.select("block", F.col("pos").cast("long").alias("pos"), "c", none).union(levels.select("block", "part", "n_order", "data"))
+    return made.drop("used", "n_bytes").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(scored, RESULT)
 
 
-__all__ = ["Filter", "quantised", "score", "words"]
+__all__ = ["Filter", "quantised", "report", "score", "words"]
