@@ -6,15 +6,17 @@ strings (runs of 20 or more token characters that hold a digit) are scanned
 with a sliding window: the Shannon entropy of a window is kept up to date by
 adding the entering character's count and taking off the leaving one's, and the
 stretch covered by windows whose entropy reaches the threshold of the string's
-character class is a span. An allow-list suppresses UUIDs, labelled digests,
-dates, versions, paths and placeholders.
+character class is a span. Where patterns' spans, placeholders or a leading
+repetition cut a candidate, what is left on either side is a candidate of its own,
+without the separators at the cut. An allow-list suppresses UUIDs, labelled digests,
+dates, versions and paths.
 
 Positions come from a single extraction of (gap, match) pairs, whose lengths
 are summed. The gap is lazy and the pattern ends with an alternative for the end of
 the text, so a text is passed over once.
 
 Defined results: null text is empty and has no spans; spans count code points,
-end exclusive; added spans that overlap a pattern's span are left out; the
+end exclusive; added spans never overlap a pattern's span; the
 result is a function of the text alone; other columns stay; an empty table
 gives an empty result.
 """
@@ -39,17 +41,17 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Least entropy, in bits, of a window of 20 characters by class.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.7}
-#: Candidates that are no secrets, matched against the whole candidate.
+#: Candidates that are no secrets, matched against the whole candidate. A last segment of letters and digits is bounded, so that no key passes as one.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9+/_=-]+",
-    r"(?i)(?:sha(?:1|224|256|384|512)|md5|commit|rev|etag)[=_-].*",
-    r"(?i).*(?:example|placeholder|changeme|dummy|sample|xxxx|0000000|1234567).*",
+    r"(?i)(?:sha(?:1|224|256|384|512)|md5|commit|rev|etag)[=_-](?:[0-9a-f]{7,128}|[a-z0-9+/]{22}==|[a-z0-9+/]{27}=|[a-z0-9+/]{38}==|[a-z0-9+/]{43}=|[a-z0-9+/]{64}|[a-z0-9+/]{86}==)",
     r"(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{1,4}(?:[/_-][A-Za-z]+)*",
-    r"/?(?:[a-z0-9_-]{1,12}/){2,}[a-z0-9_-]*",
-    r"(?:[a-z]+[0-9]?_)+[a-z0-9]+",
-    r"(.{1,4})\1{4,}.*",
+    r"/?(?:[a-z0-9_-]{1,12}/){2,}(?:[a-z0-9_-]{0,12}|(?:[a-z]{1,16}[_-])*[a-z]{1,16}[_-]?[0-9]{0,4})",
+    r"(?:[a-z]+[0-9]?_)+(?:[a-z0-9]{1,12}|[a-z]{1,16}[0-9]{0,4})",
 )
+#: Stretches of a candidate that are no secrets; the rest of it is scanned.
+FILLER = r"()(^(?<r>.{1,4})\k<r>{4,}|(?i:example|placeholder|changeme|dummy|sample|x{4,}|0{7,}|1234567))"
 
 
 def segments(text: Column, pattern: str) -> Column:
@@ -116,11 +118,39 @@ def most_sum(entropy: float) -> int:
     return round(1e6 * WINDOW * (math.log2(WINDOW) - entropy))
 
 
+def stretches(c: Column, cuts: Column) -> Column:
+    """array<struct<start, end, body>>: what sorted ``cuts`` leave of a candidate, without the separators at a cut."""
+    seed = F.struct(c["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        left = F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], left)).otherwise(acc["out"]).alias("out"))
+
+    def last(acc: Column) -> Column:
+        return F.when(acc["at"] < c["end"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), c["end"].alias("end"))))).otherwise(acc["out"])
+
+    def trimmed(s: Column) -> Column:
+        body = F.substring(c["body"], s["start"] - c["start"] + 1, s["end"] - s["start"])
+        front = F.when(s["start"] > c["start"], F.length(F.regexp_extract(body, r"^[+/_=-]*", 0))).otherwise(F.lit(0))
+        back = F.when(s["end"] < c["end"], F.length(F.regexp_extract(body, r"(?<![+/_=-])[+/_=-]*$", 0))).otherwise(F.lit(0))
+        return F.struct((s["start"] + front).alias("start"), (s["end"] - back).alias("end"), F.substring(body, front + 1, s["end"] - s["start"] - front - back).alias("body"))
+
+    parts = F.transform(F.aggregate(cuts, seed, step, last), trimmed)
+    return F.filter(parts, lambda s: (F.length(s["body"]) >= WINDOW) & F.regexp_like(s["body"], F.lit("[0-9]")))
+
+
 def entropy_spans(candidates: Column, base: Column) -> Column:
-    """Spans of kind entropy within candidates, off the allow-list and off the spans in ``base``."""
+    """Spans of kind entropy within what ``base`` and fillers leave of candidates, off the allow-list."""
     allowed = "^(?:" + "|".join(f"(?:{p})" for p in ALLOWED) + ")$"
-    kept = F.filter(candidates, lambda c: ~F.regexp_like(c["body"], F.lit(allowed)))
-    kept = F.filter(kept, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    off = lambda c: F.regexp_like(c["body"], F.lit(allowed))
+
+    def left(c: Column) -> Column:
+        bare = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"))
+        over = F.transform(F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), lambda b: bare(b, F.lit(0)))
+        fill = F.transform(matches(c["body"], FILLER, 3), lambda m: bare(m, c["start"]))
+        return stretches(c, F.sort_array(F.concat(over, fill)))
+
+    kept = F.filter(F.flatten(F.transform(F.filter(candidates, lambda c: ~off(c)), left)), lambda c: ~off(c))
 
     def one(c: Column) -> Column:
         limit = F.when(F.regexp_like(c["body"], F.lit("^[0-9a-fA-F]+$")), most_sum(THRESHOLDS["hex"])).when(F.regexp_like(c["body"], F.lit("^[A-Za-z0-9]+$")), most_sum(THRESHOLDS["alnum"])).otherwise(most_sum(THRESHOLDS["base64"]))
