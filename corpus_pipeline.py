@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; all but the last return the columns of ``docs``.
 
-1. language: texts without a language (no letter) go.
+1. language: texts without a letter go; the classifier rejects nothing.
 2. near_duplicates: of each class of near duplicates the least doc_id stays.
 3. secrets: found spans are replaced by a mark; every document stays.
 4. mixing: sources are mixed to their target weights; a document taken more than
@@ -36,7 +36,7 @@ def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFram
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     safe, back = shielded(docs)
     model = langid.train(safe.select("doc_id", "text", "lang"))
-    return back(langid.predict(safe, model).where(~langid.rejected(F.col("lang_pred"))))
+    return back(langid.predict(safe, model).where(~langid.rejected(F.col("lang_pred"), F.col("text"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -320,3 +320,13 @@ def test_secrets_beside_other_spans(spark):
         assert want is None or [tuple(s) for s in r["spans"]] == want, r["text"]
         assert want is not None or [s["kind"] for s in r["spans"]] == [3], r["text"]
         assert not any(k in r["redacted"] for k in (key, upper, "4ec39hqlyjwdarjtt1zdp7dc"))
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(1, "clean words", None), (2, "日本語", None), (3, "12 !!", None), (4, "", None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, 2}
+    some = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en").when(F.col("doc_id") == 2, "ja"))
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, some, "").collect()} == {1, 2}

@@ -156,9 +156,9 @@ def predict(docs: DataFrame, model: Model, gap: float = 0.1) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def rejected(lang_pred: Column) -> Column:
-    """What a filter drops: texts without a language. Ambiguous texts are flagged, not dropped."""
-    return lang_pred == UNDETERMINED
+def rejected(lang_pred: Column, text: Column) -> Column:
+    """What a filter drops: texts without a letter. Texts of which nothing was learned stay, and ambiguous ones are flagged, not dropped."""
+    return (lang_pred == UNDETERMINED) & ~F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
 
 
 __all__ = ["Model", "codewords", "decode", "features", "fit", "predict", "rejected", "train"]
