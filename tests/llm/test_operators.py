@@ -330,3 +330,10 @@ def test_language_stage_without_labels(spark):
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, 2}
     some = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en").when(F.col("doc_id") == 2, "ja"))
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, some, "").collect()} == {1, 2}
+
+
+def test_keep_one_tells_classes_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (1, "quite another text of the id"), (3, "quite another text of the id"), (1, ""), (1, " "), (4, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = near.keep_one(docs, near.near_classes(docs)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, "a b c d e f g"), (1, "quite another text of the id"), (1, ""), (1, " "), (4, "")])

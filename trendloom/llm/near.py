@@ -299,7 +299,7 @@ def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, text_hash, class_id (least doc_id of the class), n_links (other documents at or over the threshold)."""
+    """docs(doc_id, text, ...) -> doc_id, text_hash, class_id (least doc_id of the class), n_links (other documents at or over the threshold), label (the class itself; null for rows without shingles or doc_id, each a class of its own)."""
     signatures = materialize(signed(docs), "signatures")
     usable = signatures.where("size > 0 and doc_id is not null")
     # A class is named by its digest's hash, as one doc_id may stand for several texts.
@@ -315,14 +315,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     known = classes.select("digest", "rep", "owner", "copies").join(linked, "rep", "left").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     known = materialize(known.select("digest", "label", "owner", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
     known = known.drop("owner").join(known.groupBy("label").agg(F.min("owner").alias("class_id")), "label")
-    rows = usable.select("doc_id", "text_hash", "digest").join(known, "digest").select("doc_id", "text_hash", "class_id", "n_links")
-    rest = signatures.where("size = 0 or doc_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    rows = usable.select("doc_id", "text_hash", "digest").join(known, "digest").select("doc_id", "text_hash", "class_id", "n_links", "label")
+    rest = signatures.where("size = 0 or doc_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("label"))
     return rows.union(rest)
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One document of each class: the least doc_id, of equal ids the least hash of the text, of equal rows any. Null ids stay."""
-    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k")).select("_k.doc_id", F.col("_k.text_hash").alias("_text_hash"))
+    # Classes of different texts may share a class_id, where one doc_id stands for several.
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "text_hash"))
+    kept = classes.groupBy("label", alone.alias("_alone")).agg(F.min(F.struct("doc_id", "text_hash")).alias("_k")).select("_k.doc_id", F.col("_k.text_hash").alias("_text_hash"))
     rows = docs.where("doc_id is not null").withColumn("_text_hash", F.xxhash64("text"))
     one = rows.join(kept, ["doc_id", "_text_hash"]).dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
     return one.union(docs.where("doc_id is null"))

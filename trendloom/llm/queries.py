@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near.near_classes(table(spark, sf_dir, "documents")).drop("text_hash", "label")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
