@@ -6,14 +6,16 @@ strings (runs of 20 or more token characters that hold a digit) are scanned
 with a sliding window: the Shannon entropy of a window is kept up to date by
 adding the entering character's count and taking off the leaving one's, and the
 stretch covered by windows whose entropy reaches the threshold of the string's
-character class is a span. Where patterns' spans, placeholders or a leading
+character class is a span. Counts are packed into whole numbers, so a step costs
+the same whatever the candidate, and long candidates are scanned ``CHUNK`` windows at a
+time, so memory is bounded by the text itself. Where patterns' spans, placeholders or a leading
 repetition cut a candidate, what is left on either side is a candidate of its own,
 without the separators at the cut. An allow-list suppresses UUIDs, labelled digests,
 dates, versions and paths.
 
 Positions come from a single extraction of (gap, match) pairs, whose lengths
-are summed. The gap is lazy and the pattern ends with an alternative for the end of
-the text, so a text is passed over once.
+are summed, ``GROUP`` matches at a time, so that the work follows the number of matches. The gap is
+lazy and the pattern ends with an alternative for the end of the text, so a text is passed over once.
 
 Defined results: null text is empty and has no spans; spans count code points,
 end exclusive; added spans never overlap a pattern's span; the
@@ -39,16 +41,23 @@ CANDIDATE = r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9]))([A-Za-z0-9+/_=-]{20
 #: The characters of a candidate, by which counts are kept.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Windows of a candidate scanned together.
+CHUNK = 4096
+#: Counters to a whole number, and bits to a counter (a count is at most WINDOW).
+FIELDS, BITS = 12, 5
+#: Matches whose positions are summed together.
+GROUP = 256
 #: Least entropy, in bits, of a window of 20 characters by class.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.7}
 #: Candidates that are no secrets, matched against the whole candidate. A last segment of letters and digits is bounded, so that no key passes as one.
+#: Repeated groups are possessive: they are matched in a loop instead of by recursion, however long the candidate is.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"[0-9+/_=-]+",
-    r"(?i)(?:sha(?:1|224|256|384|512)|md5|commit|rev|etag)[=_-](?:[0-9a-f]{7,128}|[a-z0-9+/]{22}==|[a-z0-9+/]{27}=|[a-z0-9+/]{38}==|[a-z0-9+/]{43}=|[a-z0-9+/]{64}|[a-z0-9+/]{86}==)",
-    r"(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{1,4}(?:[/_-][A-Za-z]+)*",
-    r"/?(?:[a-z0-9_-]{1,12}/){2,}(?:[a-z0-9_-]{0,12}|(?:[a-z]{1,16}[_-])*[a-z]{1,16}[_-]?[0-9]{0,4})",
-    r"(?:[a-z]+[0-9]?_)+(?:[a-z0-9]{1,12}|[a-z]{1,16}[0-9]{0,4})",
+    r"[0-9+/_=-]++",
+    r"(?:[sS][hH][aA](?:1|224|256|384|512)|[mM][dD]5|[cC][oO][mM][mM][iI][tT]|[rR][eE][vV]|[eE][tT][aA][gG])[=_-](?:[0-9a-fA-F]{7,128}|[a-zA-Z0-9+/]{22}==|[a-zA-Z0-9+/]{27}=|[a-zA-Z0-9+/]{38}==|[a-zA-Z0-9+/]{43}=|[a-zA-Z0-9+/]{64}|[a-zA-Z0-9+/]{86}==)",
+    r"(?:[A-Za-z]++[/_-])*+(?:[A-Za-z]++|(?<=[A-Za-z][/_-]))[0-9]{1,4}+(?:[/_-][A-Za-z]++)*+",
+    r"/?(?:[a-z0-9_-]{1,12}+/){2,}+(?:[a-z0-9_-]{0,12}|(?:[a-z]{1,16}+[_-])*+(?:[a-z]{1,16}+|(?<=[a-z][_-]))[0-9]{0,4})",
+    r"(?:[a-z]++[0-9]?+_)++(?:[a-z0-9]{1,12}|[a-z]{1,16}[0-9]{0,4})",
 )
 #: Stretches of a candidate that are no secrets; the rest of it is scanned.
 FILLER = r"()(^(?<r>.{1,4})\k<r>{4,}|(?i:example|placeholder|changeme|dummy|sample|x{4,}|0{7,}|1234567))"
@@ -61,19 +70,32 @@ def segments(text: Column, pattern: str) -> Column:
     return F.arrays_zip(part(1).alias("gap"), part(2).alias("head"), part(3).alias("body"))
 
 
+def groups(items: Column) -> Column:
+    """The array in runs of GROUP elements, so that no step appends to an array of unbounded length."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / GROUP).cast("int")), lambda k: F.slice(items, k * GROUP + 1, F.lit(GROUP)))
+
+
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, body>> of the non-overlapping matches in order."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int,body:string>>")
-    seed = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    width = lambda s: F.length(s["gap"]) + F.length(s["head"]) + F.length(s["body"])
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + F.length(s["gap"])
-        end = start + F.length(s["head"]) + F.length(s["body"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["body"].alias("body")))
-        return F.struct(end.alias("at"), F.when(end > start, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def placed(run: Column) -> Column:
+        seed = F.struct(run["at"].alias("at"), none.alias("found"))
+
+        def step(acc: Column, s: Column) -> Column:
+            start = acc["at"] + F.length(s["gap"])
+            end = acc["at"] + width(s)
+            one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["body"].alias("body")))
+            return F.struct(end.alias("at"), F.when(end > start, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(segments(text, pattern), seed, step, lambda acc: acc["found"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+        return F.aggregate(run["parts"], seed, step, lambda acc: acc["found"])
+
+    # Each group's start first, from the groups' lengths; then the matches of each group.
+    sized = F.transform(groups(segments(text, pattern)), lambda g: F.struct(g.alias("parts"), F.aggregate(g, F.lit(0), lambda n, s: n + width(s)).alias("width")))
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<parts:array<struct<gap:string,head:string,body:string>>,at:int>>").alias("out"))
+    runs = F.aggregate(sized, seed, lambda acc, g: F.struct((acc["at"] + g["width"]).alias("at"), F.concat(acc["out"], F.array(F.struct(g["parts"].alias("parts"), acc["at"].alias("at")))).alias("out")), lambda acc: acc["out"])
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.flatten(F.transform(runs, placed))).otherwise(none)
 
 
 def entropy_span(body: Column, threshold: Column) -> Column:
@@ -83,26 +105,40 @@ def entropy_span(body: Column, threshold: Column) -> Column:
     characters' counts c. Counts and sum are updated for the entering and the
     leaving character; the sum is kept in whole millionths, so it can't drift.
     """
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(body) - WINDOW) / CHUNK).cast("int")))
+    # The threshold becomes a field first: as an expression it would be evaluated for each character.
+    chunks = F.transform(starts, lambda k: F.struct((k * CHUNK).alias("at"), threshold.alias("most"), F.substring(body, k * CHUNK + 1, F.lit(CHUNK + WINDOW - 1)).alias("body")))
+    found = F.filter(F.transform(chunks, chunk_span), lambda s: s["last"] > 0)
+    least = F.array_min(F.transform(found, lambda s: s["first"]))
+    return F.struct(F.coalesce(least, F.lit(2**30)).alias("first"), F.coalesce(F.array_max(F.transform(found, lambda s: s["last"])), F.lit(-1)).alias("last"))
+
+
+def chunk_span(chunk: Column) -> Column:
+    """struct<first, last> of a stretch of a candidate, as positions in the candidate."""
     weigh = F.array(*[F.lit(weight(c)) for c in range(WINDOW + 1)])
-    codes = F.transform(F.filter(F.split(body, ""), lambda ch: ch != ""), lambda ch: F.call_function("locate", ch, F.lit(ALPHABET)))
+    # A character's counter: the whole number it is in, its unit there, and the bits below it; no counter for the place before the first window.
+    places = F.array(*[F.struct(F.lit(i // FIELDS if i >= 0 else -1).alias("word"), F.lit(1 << BITS * (i % FIELDS)).cast("long").alias("unit"), F.lit(BITS * (i % FIELDS)).alias("low")) for i in range(-1, len(ALPHABET))])
+    codes = F.transform(F.filter(F.split(chunk["body"], ""), lambda ch: ch != ""), lambda ch: F.call_function("locate", ch, F.lit(ALPHABET)))
     # Zipped with itself shifted by a window; a lambda that indexed the codes would build them anew for each character.
-    late = F.concat(F.array_repeat(F.lit(0), WINDOW), F.slice(codes, F.lit(1), F.greatest(F.length(body) - WINDOW, F.lit(0))))
-    pairs = F.zip_with(codes, late, lambda c, o: F.struct(c.alias("into"), o.alias("out")))
-    steps = F.transform(pairs, lambda p, i: F.struct(p["into"].alias("into"), p["out"].alias("out"), (i + 1).alias("end")))
-    seed = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(2**30).alias("first"), F.lit(-1).alias("last"))
+    late = F.concat(F.array_repeat(F.lit(0), WINDOW), F.slice(codes, F.lit(1), F.greatest(F.length(chunk["body"]) - WINDOW, F.lit(0))))
+    steps = F.zip_with(codes, late, lambda c, o: F.struct(F.get(places, c).alias("into"), F.get(places, o).alias("out"), (c != o).alias("moved")))
+    none = F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // FIELDS))
+    seed = F.struct(none.alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("end"), F.lit(2**30).alias("first"), F.lit(-1).alias("last"))
+    count = lambda acc, p: F.call_function("shiftright", F.get(acc["counts"], p["word"]), p["low"]).bitwiseAND(F.lit(2**BITS - 1)).cast("int")
 
     def slide(acc: Column, s: Column) -> Column:
-        had, lost = F.get(acc["counts"], s["into"] - 1), F.when(s["out"] > 0, F.get(acc["counts"], s["out"] - 1)).otherwise(F.lit(0))
+        had, lost = count(acc, s["into"]), F.when(s["out"]["word"] >= 0, count(acc, s["out"])).otherwise(F.lit(0))
         change = F.get(weigh, had + 1) - F.get(weigh, had) - F.get(weigh, lost) + F.when(lost > 0, F.get(weigh, lost - 1)).otherwise(F.lit(0).cast("long"))
-        moved = s["into"] != s["out"]
-        total = F.when(moved, acc["sum"] + change).otherwise(acc["sum"])
-        counts = F.transform(acc["counts"], lambda c, k: c + (k + 1 == s["into"]).cast("int") - (k + 1 == s["out"]).cast("int"))
-        hot = (s["end"] >= WINDOW) & (total <= threshold)
+        total = F.when(s["moved"], acc["sum"] + change).otherwise(acc["sum"])
+        unit = lambda p, i: F.when(p["word"] == i, p["unit"]).otherwise(F.lit(0).cast("long"))
+        end = acc["end"] + 1
+        hot = (end >= WINDOW) & (total <= chunk["most"])
         return F.struct(
-            F.when(moved, counts).otherwise(acc["counts"]).alias("counts"),
+            F.transform(acc["counts"], lambda c, i: c + unit(s["into"], i) - unit(s["out"], i)).alias("counts"),
             total.alias("sum"),
-            F.when(hot, F.least(acc["first"], s["end"] - WINDOW)).otherwise(acc["first"]).alias("first"),
-            F.when(hot, s["end"]).otherwise(acc["last"]).alias("last"),
+            end.alias("end"),
+            F.when(hot, F.least(acc["first"], chunk["at"] + end - WINDOW)).otherwise(acc["first"]).alias("first"),
+            F.when(hot, chunk["at"] + end).otherwise(acc["last"]).alias("last"),
         )
 
     return F.aggregate(steps, seed, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
