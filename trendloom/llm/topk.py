@@ -6,7 +6,8 @@ shard dealt to its slot, a product of tile and shard gives the scores, a partial
 selection keeps k of each row, and a running list merges shard after shard in
 a task. Two more merges, over groups of slots and then over all, finish the
 tree. Nothing is broadcast: the grid replicates each side by a fixed factor
-(queries by ``slots``, candidates by the number of tiles).
+(queries by ``slots``, candidates by the number of tiles). Tiles are dealt to by partition, so that
+each has its share of the queries, and numbers travel in the fewest bytes that hold them.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do rows without vec_id; vectors of another length than the
@@ -31,6 +32,7 @@ from .common import parts_for
 MAX = 2**63 - 1
 #: Vectors that one task packs into shards.
 PACK_ROWS = 1 << 18
+KINDS = {2: np.int16, 4: np.int32, 8: np.float64}
 
 
 def usable(vector: Column) -> Column:
@@ -61,6 +63,17 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
 
 
+def narrow(m: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers as (bytes to a number, data): 2 or 4 if they fit, else 8 as floats."""
+    most = float(np.abs(m).max(initial=0))
+    width = 2 if most < 2**15 else 4 if most < 2**31 else 8
+    return width, m.astype(KINDS[width]).tobytes()
+
+
+def wide(data: bytes, width: int, n: int) -> np.ndarray:
+    return np.frombuffer(data, KINDS[width]).reshape(n, -1).astype(np.float64) if data else np.zeros((n, 0))
+
+
 def pack(rows: DataFrame, each: int) -> DataFrame:
     """(id, v) -> shards of at most ``each`` vectors of one dimension, ids ascending.
 
@@ -74,7 +87,8 @@ def pack(rows: DataFrame, each: int) -> DataFrame:
             got = sorted(waiting.pop(dim))
             ids = np.array([g[0] for g in got], dtype=np.int64)
             m = np.array([g[1] for g in got], dtype=np.float64).reshape(len(got), dim)
-            return pa.record_batch({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(got)], pa.int32()), "ids": [ids.tobytes()], "m": [m.tobytes()]})
+            width, data = narrow(m)
+            return pa.record_batch({"dim": pa.array([dim], pa.int32()), "width": pa.array([width], pa.int32()), "ids": [ids.tobytes()], "m": [data]})
 
         for batch in batches:
             for i, v in zip(batch["id"].to_pylist(), batch["v"].to_pylist()):
@@ -85,7 +99,13 @@ def pack(rows: DataFrame, each: int) -> DataFrame:
         for dim in list(waiting):
             yield out(dim)
 
-    return rows.select("id", "v").sortWithinPartitions("id").mapInArrow(packed, "dim int, n int, ids binary, m binary")
+    return rows.select("id", "v").sortWithinPartitions("id").mapInArrow(packed, "dim int, width int, ids binary, m binary")
+
+
+def query_tiles(queries: DataFrame, tiles: int, tile_rows: int) -> DataFrame:
+    """(id, v) -> tile, dim, q_width, q_ids, q_m: a partition of the queries is a tile."""
+    q = pack(queries.repartition(tiles, "id"), tile_rows).withColumn("tile", (F.spark_partition_id() % tiles).cast("long"))
+    return q.select("tile", "dim", F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, tile_rows: int = 4096, shard_rows: int = 4096, slots: int = 48) -> DataFrame:
@@ -95,20 +115,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     total, asked = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     tiles = parts_for(asked, tile_rows)
-    q = pack(queries.repartition(tiles, "id"), tile_rows).withColumn("tile", F.monotonically_increasing_id() % tiles)
-    q = q.select("tile", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    q = query_tiles(queries, tiles, tile_rows).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     parts = parts_for(total, PACK_ROWS, slots)
     deduped = rows.groupBy("id").agg(F.min("v").alias("v")).repartition(parts, "id")
     c = pack(deduped, shard_rows).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    c = c.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"), "slot", "dim", "ids", "m")
+    c = c.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"), "slot", "dim", "width", "ids", "m")
     grid = q.join(c, ["tile", "slot", "dim"])
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for slot, q_ids, q_m, ids, m in zip(*(batch[c].to_pylist() for c in ("slot", "q_ids", "q_m", "ids", "m"))):
+            for slot, q_ids, q_m, q_width, ids, m, width in zip(*(batch[c].to_pylist() for c in ("slot", "q_ids", "q_m", "q_width", "ids", "m", "width"))):
                 qi, ci = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                got = scores(np.frombuffer(q_m).reshape(len(qi), -1) if q_m else np.zeros((len(qi), 0)), np.frombuffer(m).reshape(len(ci), -1) if m else np.zeros((len(ci), 0)))
+                got = scores(wide(q_m, q_width, len(qi)), wide(m, width, len(ci)))
                 s, i = best(got, ci, min(k + 1, len(ci)))  # one more: the query itself may be among them
                 kept = i != qi[:, None]
                 old = lists.get((slot, q_ids))
