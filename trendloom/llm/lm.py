@@ -36,11 +36,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import doc_remainder, materialize, size_hint
+from .common import discard, doc_remainder, materialize, size_hint
 
 #: False-positive rate of a probe round, by which slices are sized.
 RATE = 0.001
@@ -217,7 +216,8 @@ def answered(made: DataFrame, range_bits: int, bits: int | None, least_pair: int
 
 
 def ranges(docs: DataFrame) -> int:
-    return min(16, max(4, (size_hint(docs) >> 21).bit_length()))
+    """Bits of the key range: 2 MB of text to a range as Catalyst estimates it, at most 2**18 ranges (400 MB to a range at 100 TB)."""
+    return min(18, max(4, (size_hint(docs) >> 21).bit_length()))
 
 
 def built(docs: DataFrame, modulus: int, held: int) -> DataFrame:
@@ -240,10 +240,12 @@ def report(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None =
 def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 2, mu: float = MU) -> DataFrame:
     """docs(doc_id, text, ...) -> RESULT for every document; those whose remainder is not ``held`` train."""
     made = built(docs, modulus, held)
-    mine = W.partitionBy("token")
-    found = blocks.lookups(made).withColumns({"c": F.sum("used").over(mine).cast("long"), "first": F.row_number().over(mine.orderBy("block")) == 1})
-    found = materialize(found.select("block", "pos", "c", "first"), "lm-counts")
-    total = found.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    asks = blocks.lookups(made)
+    # Summed where the blocks lie first; written, so that the join back has plain shuffles and can split the rows of a token that all blocks hold.
+    counts = materialize(asks.groupBy("token").agg(F.sum("used").cast("long").alias("c")), "lm-counts")
+    total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    found = materialize(asks.join(counts, "token").select("block", "pos", "c"), "lm-found")
+    discard(counts)
     n, v = total["n"], total["v"]
     whole = n + 0.1 * (v + 1)
     levels = answered(made, ranges(docs), bits, least_pair)
