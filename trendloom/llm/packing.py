@@ -11,11 +11,13 @@ contents.
 Scale: lengths are computed where the texts lie; only (doc_id, length) moves.
 Items are dealt at random, by hash, into blocks of about ``block_items``
 documents, and each block is packed on its own, so memory is bounded and no
-state is shared. Blocks are hashed by id and text, so copies under many ids
-spread over the blocks; rows equal in both share one.
+state is shared. A row's block is a hash of its id, its text and its place in the input, so
+copies and repeated rows spread over the blocks too; lengths and hashes are written before
+they are dealt, so that a task run again meets the same blocks.
 
 Defined results: null or empty texts have length 0 and go into no bin; equal
-rows are separate items; an empty table gives an empty result.
+rows are separate items; a null doc_id is an ordinary row; columns beyond doc_id and text are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for
+from .common import materialize, parts_for
 from .mixing import word_count
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -107,14 +109,12 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> list
     return [(b, final[b], opened[b][1], item, piece, start, n, at) for b, item, piece, start, n, at in placed]
 
 
-def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, block_items: int = 4_000, rows: int | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row for each piece of each document in its bin.
-
-    ``rows`` is the number of documents where it is known; else it is counted.
-    """
-    blocks = parts_for(docs.count() if rows is None else rows, block_items)
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    items = items.where("n > 0")
+def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, block_items: int = 4_000) -> DataFrame:
+    """docs(doc_id, text, ...) -> one row for each piece of each document in its bin."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("h"))
+    rows = materialize(rows.where("n > 0"), "pack-items")
+    blocks = parts_for(rows.count(), block_items)
+    items = rows.select("doc_id", "n", F.pmod("h", F.lit(blocks)).cast("int").alias("block"))
     sizes = tuple(sorted(set(capacities)))
 
     def packed(table: pa.Table) -> pa.Table:
