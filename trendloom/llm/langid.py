@@ -7,37 +7,39 @@ bit is the accuracy of its classifier beyond chance on a validation part; the
 language of least loss wins, and the gap to the second flags ambiguity.
 
 The classifiers are fitted on the driver on at most ``per_language`` labelled
-rows of each language (the rows of least hash of doc_id and text), whole texts,
-as count vectors of ``DIMS`` features; both are parameters. Prediction streams
+rows of each language (the rows of least hash of doc_id and text, equal rows once), whole texts,
+as count vectors of ``DIMS`` features that are made on the executors, so what the driver
+gets is bounded by per_language x DIMS x languages; all are parameters but the number of
+languages, of which one row each goes to the driver. Prediction streams
 over all texts as Arrow batches. The broadcast model has DIMS x bits numbers, whatever the input.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0
 and not ambiguous; so is every text when no labelled rows exist. One language
-only: it is predicted with score 1. Equal texts get equal results; null labels
-are not learned; other columns stay.
+only: it is predicted with score 1. Equal texts get equal results; of equally near codewords the
+first language by name is predicted, and flagged; null labels
+are not learned; other columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 1 << 13
-#: Parts of a language whose least rows are found on their own.
-PARTS = 64
 PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
 
-def features(text: str) -> np.ndarray:
-    """Square roots of the relative frequencies of hashed byte 1-, 2- and 3-grams of the lower-cased text."""
+def counts_of(text: str) -> np.ndarray:
+    """Frequencies of hashed byte 1-, 2- and 3-grams of the lower-cased text."""
     b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), dtype=np.uint8)
     a = b.astype(np.uint16)
     two = a[:-1] * np.uint16(257) + a[1:] * np.uint16(31)
@@ -45,9 +47,18 @@ def features(text: str) -> np.ndarray:
     counts = np.bincount(a, minlength=DIMS)
     counts += np.bincount((two ^ (two >> np.uint16(7))) & np.uint16(DIMS - 1), minlength=DIMS)
     counts += np.bincount((three ^ (three >> np.uint16(5))) & np.uint16(DIMS - 1), minlength=DIMS)
+    return counts
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Square roots of relative frequencies."""
     return np.sqrt(counts / counts.sum()).astype(np.float32)
 
 
+def features(text: str) -> np.ndarray:
+    return scaled(counts_of(text))
+
+
 def codewords(n: int, seed: int = 5) -> np.ndarray:
     """n rows of -1 and 1: all distinct splits for few languages, else spread random words."""
     if n < 2:
@@ -56,10 +67,12 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
         return np.array([[1 if (split >> i) & 1 else -1 for split in range(1, 2 ** (n - 1))] for i in range(n)], dtype=np.int8)
     rng, bits = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
     found, least = None, -1
-    for _ in range(200):
+    for _ in range(max(5, min(200, 10**7 // n**2))):
         words = rng.choice(np.array([-1, 1], dtype=np.int8), size=(n, bits))
-        apart = min(int((words[i] != words[j]).sum()) for i in range(n) for j in range(i)) if n <= 64 else 0
-        if apart > least and not (abs(words.sum(0)) == n).any():
+        alike = words.astype(np.float32) @ words.T.astype(np.float32)
+        np.fill_diagonal(alike, -bits)
+        apart = int(bits - alike.max()) // 2
+        if apart > least and not (abs(words.sum(0, dtype=np.int64)) == n).any():
             found, least = words, apart
     return found
 
@@ -73,16 +86,17 @@ class Model:
     trust: np.ndarray
 
 
-def fit(rows: list[tuple[str, str]], steps: int = 120, rate: float = 6.0, decay: float = 1e-5) -> Model:
-    """Fit one logistic classifier for each bit by full-batch gradient steps with momentum."""
-    languages = sorted({lang for _, lang in rows})
+def fit(x: np.ndarray, langs: list[str], steps: int = 120, rate: float = 6.0, decay: float = 1e-5) -> Model:
+    """Fit one logistic classifier for each bit on rows of features by full-batch gradient steps with momentum."""
+    languages = sorted(set(langs))
     words = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, words, np.zeros((DIMS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
-    x = np.stack([features(t) for t, _ in rows])
-    y = words[[languages.index(lang) for _, lang in rows]].astype(np.float32)
-    held = np.arange(len(rows)) % 5 == 4
-    share = np.array([1 / sum(1 for _, o in rows if o == lang) for _, lang in rows], dtype=np.float32)
+    of = {lang: i for i, lang in enumerate(languages)}
+    y = words[[of[lang] for lang in langs]].astype(np.float32)
+    held = np.arange(len(langs)) % 5 == 4
+    sizes = Counter(langs)
+    share = np.array([1 / sizes[lang] for lang in langs], dtype=np.float32)
     pull = (share / share.sum())[:, None]
 
     def descend(x: np.ndarray, y: np.ndarray, pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,22 +127,38 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order[:, 0], top[:, 0], top[:, 0] - (top[:, 1] if top.shape[1] > 1 else 0)
 
 
+def vectors(rows: DataFrame) -> DataFrame:
+    """rows(lang, h, text) -> lang, h and the text's counts, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [zlib.compress(counts_of(t.as_py()).astype(np.uint32).tobytes()) for t in batch["text"]]
+            yield pa.record_batch({"lang": batch["lang"], "h": batch["h"], "counts": pa.array(packed, pa.binary())})
+
+    return rows.select("lang", "h", "text").mapInArrow(run, "lang string, h long, counts binary")
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs(doc_id, text, lang): learn from at most ``per_language`` rows of each non-null lang."""
-    labelled = docs.where("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.lit(11), "doc_id", "text"))
-    least = lambda rows, *by: rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("_h"))).where(F.col("_n") <= per_language)
-    # The least of each part of a language first, so that no task meets the rows that all tasks keep for a language.
-    parts = least(labelled.select("lang", "_h", F.pmod("_h", F.lit(PARTS)).alias("_part")), "lang", "_part")
-    ids = least(parts, "lang")
-    # The bound of each language's hashes is a small table; the texts are then only filtered.
-    bounds = {r["lang"]: r["b"] for r in ids.groupBy("lang").agg(F.max("_h").alias("b")).collect()}
-    if not bounds:
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("h"))
+    rows_of = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Hashes are spread evenly, so a bound on them gives about the share of a language's rows that is wanted; some more, so that one pass is enough.
+    share = {lang: min(1.0, (1.3 * per_language + 100) / n) for lang, n in rows_of.items()}
+    found: dict[str, dict[int, bytes]] = {}
+    while share:
+        bounds = docs.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + s * 2**64))) for lang, s in share.items()], "lang string, most long")
+        # Equal rows have one hash, and one of them is learned.
+        near = vectors(labelled.join(bounds, "lang").where("h <= most")).groupBy("lang", "h").agg(F.first("counts").alias("counts"))
+        got: dict[str, dict[int, bytes]] = {lang: {} for lang in share}
+        for r in near.collect():
+            got[r["lang"]][r["h"]] = r["counts"]
+        found |= got
+        # Where many rows are equal, a share of the hashes holds fewer rows than expected.
+        share = {lang: min(1.0, 4 * s) for lang, s in share.items() if s < 1 and len(got[lang]) < per_language}
+    least = sorted((h, lang, counts) for lang, rows in found.items() for h, counts in sorted(rows.items())[:per_language])
+    if not least:
         return Model([], np.ones((0, 1), np.int8), np.zeros((DIMS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
-    near = F.lit(False)
-    for lang, bound in bounds.items():
-        near = near | ((F.col("lang") == lang) & (F.col("_h") <= bound))
-    rows = labelled.where(near).orderBy("_h", "lang").select("text", "lang").limit(per_language * len(bounds)).collect()
-    return fit([(r["text"], r["lang"]) for r in rows])
+    return fit(np.stack([scaled(np.frombuffer(zlib.decompress(c), np.uint32)) for _, _, c in least]), [lang for _, lang, _ in least])
 
 
 def predict(docs: DataFrame, model: Model, gap: float = 0.1) -> DataFrame:
@@ -156,9 +186,10 @@ def predict(docs: DataFrame, model: Model, gap: float = 0.1) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def rejected(lang_pred: Column, text: Column) -> Column:
-    """What a filter drops: texts without a letter. Texts of which nothing was learned stay, and ambiguous ones are flagged, not dropped."""
-    return (lang_pred == UNDETERMINED) & ~F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
+def rejected(lang_pred: Column, ambiguous: Column, text: Column) -> Column:
+    """What a filter drops: texts without a letter, and texts to which no codeword is clearly nearest. Texts of which nothing was learned stay."""
+    letters = F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
+    return ambiguous | ((lang_pred == UNDETERMINED) & ~letters)
 
 
 __all__ = ["Model", "codewords", "decode", "features", "fit", "predict", "rejected", "train"]
