@@ -4,14 +4,18 @@ A document is the set of its five-word shingles. Documents of equal sets are one
 from the start. The sets are then split recursively: the root of each run sends
 every set down the paths of sampled shared tokens (coordinates of a min-hash signature: two sets share the sampled
 token with the probability of their similarity), 1 / threshold paths in
-expectation, until buckets are small; small buckets are brute-forced on
-signatures, and runs repeat until the target recall. Sets whose signatures agree
-roughly are in one candidate component, and there all pairs are checked exactly
-on whole sets, each pair in one place.
-
-Scale: texts move once, for candidates only. Buckets and components beyond
-``TILE`` members are cut into tiles, and pairs of tiles are the unit of work, so
-no task holds an unbounded group; within a unit links are summed and
+expectation, until buckets are small; small buckets are brute-forced, and runs repeat
+until the target recall. A bucket looks at signatures first; members that roughly agree
+with another one fetch their whole sets, and the bucket checks them exactly.
+
+A pair that meets in several buckets belongs to the first of them, by run: each set carries the list
+of its buckets, and a bucket leaves out pairs whose lists share an earlier one. So
+every link is counted once, sets travel only to buckets in which they own a
+pair, and nothing depends on how far similarity chains from text to text.
+
+Scale: texts are read once for candidates, and their sets go to at most as many buckets as
+there are paths. Buckets beyond ``TILE`` members after the last split (dense groups) are cut into tiles, and pairs of tiles are the
+unit of work, so no task holds an unbounded group; within a unit links are summed and
 a spanning forest is given out, so rows stay linear in the members of a unit
 while no link is lost.
 
@@ -38,6 +42,7 @@ from .lm import mix
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Of a run count that takes runs as independent. They share the coordinates of one signature, so a pair at exactly 0.8 is really missed with probability 3e-5 or so.
 RECALL = 0.99999
 COORDINATES = 48
 LEVELS = 3
@@ -111,10 +116,10 @@ def coordinate(sig: str, at) -> F.Column:
 
 
 def leaves(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """classes(rep, sig) -> (bucket, rep, sig): brute-force units of at most BUCKET rows, or pairs of tiles.
+    """classes(rep, sig) -> (rep, bucket, members): the buckets in which the recursion ends, of two members or more.
 
-    Signatures stay in ``classes`` while buckets are counted; only the rows of
-    buckets that go on, to a further split or to brute force, fetch them.
+    A bucket's number begins with its run, so that the order of numbers is the order of runs.
+    Signatures stay in ``classes`` while buckets are counted; only rows that are split further fetch them.
     """
     more = 1 / threshold - 1  # paths beyond the first, in expectation
     sigs = classes.select("rep", "sig")
@@ -124,28 +129,30 @@ def leaves(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
         draw = F.xxhash64(F.lit(level), "node")
         second = F.when(F.pmod(draw, F.lit(1000)) < int(1000 * more), F.pmod(F.shiftright(draw, 20), F.lit(COORDINATES)))
         ways = F.array_compact(F.array(first.cast("long"), F.when(second != first, second)))
-        return nodes.withColumn("way", F.explode(ways)).select("rep", "run", F.xxhash64("node", "way", coordinate("sig", F.col("way"))).alias("node"))
+        node = F.shiftleft(F.col("run").cast("long"), 56) + F.shiftrightunsigned(F.xxhash64("node", "way", coordinate("sig", F.col("way"))), 8)
+        return nodes.withColumn("way", F.explode(ways)).select("rep", "run", node.alias("node"))
 
     nodes = sigs.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("node", F.xxhash64("run"))
-    small = None
+    ended = None
     for level in range(LEVELS):
         rows = materialize(split(nodes, level), "nodes")
-        counts = rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
+        # Written, so that the join has plain shuffles on both sides and can split a hot node.
+        counts = materialize(rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), "node-counts")
         sized = materialize(rows.join(counts, "node"), "sized")
-        discard(rows)
-        done = sized.where(F.col("members") <= BUCKET).select(F.col("node").alias("bucket"), "rep")
-        small = done if small is None else small.union(done)
+        discard(rows, counts)
+        done = sized if level == LEVELS - 1 else sized.where(F.col("members") <= BUCKET)
+        done = done.select("rep", F.col("node").alias("bucket"), "members")
+        ended = done if ended is None else ended.union(done)
         nodes = sized.where(F.col("members") > BUCKET).select("rep", "run", "node").join(sigs, "rep")
-    large = tiled(sized.where(F.col("members") > BUCKET).select(F.col("node").alias("group"), "rep", "members"))
-    return small.union(large.select(F.xxhash64("group", "tile_a", "tile_b"), "rep")).join(sigs, "rep").select("bucket", "rep", "sig")
+    return ended
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """(group, rep, members, ...) -> + tile, tile_a, tile_b: every row once for each pair of tiles that its tile is in."""
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    out = rows.withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    return out.withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")}).drop("other")
+    """(bucket, rep, members, ...) -> + tile, unit, across: a row of a bucket beyond BUCKET members once for each pair of tiles that its tile is in, others once."""
+    tiles = F.when(F.col("members") > BUCKET, F.ceil(F.col("members") / TILE).cast("int")).otherwise(F.lit(1))
+    out = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    unit = F.when(F.col("members") > BUCKET, F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other"))).otherwise(F.col("bucket"))
+    return out.withColumns({"unit": unit, "across": F.col("tile") != F.col("other")}).drop("other")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,16 +186,28 @@ def grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def rough_edges(buckets: DataFrame) -> DataFrame:
-    """(bucket, rep, sig) -> edges (a, b): a spanning forest of the roughly similar sets of each bucket.
+def earlier(lists: list[list[int]], bucket: int) -> np.ndarray:
+    """Matrix of pairs that share a bucket before this one."""
+    n = len(lists)
+    out = np.zeros((n, n), bool)
+    if n <= 12:
+        before = [{x for x in some if x < bucket} for some in lists]
+        for i in range(n):
+            for j in range(i):
+                out[i, j] = out[j, i] = not before[i].isdisjoint(before[j])
+        return out
+    arrays = [np.array([x for x in some if x < bucket], np.uint64) for some in lists]
+    return overlaps(arrays) > 0 if any(map(len, arrays)) else out
 
-    Trees hang on their least rep, so that runs that find the same sets give the same edges.
-    """
+
+def owners(units: DataFrame) -> DataFrame:
+    """(unit, bucket, tile, across, rep, sig, buckets) -> (rep, bucket, unit, tile, across) of members that own a roughly similar pair in the unit."""
     need = math.ceil(ROUGHLY * COORDINATES)
+    kept = ["rep", "bucket", "unit", "tile", "across"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, "bucket"):
-            key, rep = table["bucket"].to_numpy(), table["rep"].to_numpy()
+        for table in grouped(batches, "unit"):
+            key, tile, across, bucket = (table[c].to_numpy() for c in ("unit", "tile", "across", "bucket"))
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
             a, b, live, d = [], [], np.arange(len(key)), 1
             while True:
@@ -197,15 +216,32 @@ def rough_edges(buckets: DataFrame) -> DataFrame:
                 if not len(live):
                     break
                 alike = live[(sig[live] == sig[live + d]).sum(1) >= need]
+                alike = alike[~across[alike] | (tile[alike] != tile[alike + d])]
                 a.append(alike)
                 b.append(alike + d)
                 d += 1
-            label = forest(len(key), np.concatenate(a or [live]), np.concatenate(b or [live]))
-            at = np.flatnonzero(label != np.arange(len(key)))
-            if len(at):
-                yield pa.record_batch({"a": rep[at], "b": rep[label[at]]})
-
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(run, "a long, b long")
+            a, b = np.concatenate(a or [live]), np.concatenate(b or [live])
+            if not len(a):
+                continue
+            # Only members with a partner look at their lists; the rest of the unit is out already.
+            mine = np.zeros(len(key), bool)
+            some = np.unique(np.concatenate([a, b]))
+            lists = dict(zip(some.tolist(), table["buckets"].take(pa.array(some)).to_pylist()))
+            order = np.argsort(key[a], kind="stable")
+            a, b = a[order], b[order]
+            for lo, hi in runs_of(key[a]):
+                members, at = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
+                shared = earlier([lists[i] for i in members.tolist()], int(bucket[members[0]]))
+                own = ~shared[at[: hi - lo], at[hi - lo :]]
+                mine[a[lo:hi][own]] = mine[b[lo:hi][own]] = True
+            yield from table.select(kept).filter(pa.array(mine)).combine_chunks().to_batches()
+
+    return units.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(run, "rep long, bucket long, unit long, tile int, across boolean")
+
+
+def runs_of(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, int)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -247,19 +283,18 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def checked(units: DataFrame, threshold: float) -> DataFrame:
-    """(unit, tile, tile_a, tile_b, rep, copies, tokens) -> (rep, links, root): links within the unit and its spanning forest; a rep given more than once counts once."""
+    """(unit, bucket, tile, across, rep, copies, buckets, tokens) -> (rep, links, root): the unit's own links and their spanning forest; a rep given more than once counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "unit"):
             key, rep = table["unit"].to_numpy(), table["rep"].to_numpy()
             table = table.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])])))
-            key, rep, copies, tile = (table[c].to_numpy() for c in ("unit", "rep", "copies", "tile"))
-            across = table["tile_a"].to_numpy() != table["tile_b"].to_numpy()
+            key, rep, copies, tile, across, bucket = (table[c].to_numpy() for c in ("unit", "rep", "copies", "tile", "across", "bucket"))
             sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            lists = table["buckets"].to_pylist()
             links, root = np.zeros(len(key), np.int64), rep.copy()
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                hit = similar(sets[lo:hi], threshold)
+            for lo, hi in runs_of(key):
+                hit = similar(sets[lo:hi], threshold) & ~earlier(lists[lo:hi], int(bucket[lo]))
                 if across[lo]:
                     hit &= tile[lo:hi, None] != tile[None, lo:hi]
                 links[lo:hi] = hit @ copies[lo:hi]
@@ -298,6 +333,17 @@ def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("text", *kept).mapInArrow(run, f"{fields}, tokens binary")
 
 
+def candidates(docs: DataFrame, classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, list[DataFrame]]:
+    """classes(rep, owner, digest, copies, sig) -> (unit, bucket, tile, across, rep, copies, buckets, tokens): what each unit checks; and the tables that it reads."""
+    ended = materialize(leaves(classes, runs_for(recall, threshold), threshold), "leaves")
+    lists = materialize(ended.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets")).join(classes.select("rep", "sig"), "rep"), "bucket-lists")
+    own = materialize(owners(tiled(ended).join(lists, "rep")), "owners")
+    places = own.groupBy("rep").agg(F.collect_set(F.struct("bucket", "unit", "tile", "across")).alias("places"))
+    members = classes.select("rep", "owner", "digest", "copies").join(lists.select("rep", "buckets"), "rep").join(places, "rep")
+    sets = token_sets(docs, members)
+    return sets.withColumn("place", F.explode("places")).select("place.*", "rep", "copies", "buckets", "tokens"), [ended, lists, own]
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, text_hash, class_id (least doc_id of the class), n_links (other documents at or over the threshold), label (the class itself; null for rows without shingles or doc_id, each a class of its own)."""
     signatures = materialize(signed(docs), "signatures")
@@ -305,15 +351,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     # A class is named by its digest's hash, as one doc_id may stand for several texts.
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = materialize(classes.withColumn("rep", F.xxhash64("digest")), "classes")
-    rough = components(rough_edges(leaves(classes, runs_for(recall, threshold), threshold)))
-    group = rough.groupBy("label").agg(F.count("*").alias("members"))
-    members = classes.join(rough.withColumnRenamed("v", "rep"), "rep").join(group, "label").select("rep", "owner", "digest", "copies", F.col("label").alias("group"), "members")
-    units = tiled(token_sets(docs, members)).withColumn("unit", F.xxhash64("group", "tile_a", "tile_b"))
+    units, made = candidates(docs, classes, threshold, recall)
     found = materialize(checked(units, threshold), "links")
+    discard(*made)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "rep")
     known = classes.select("digest", "rep", "owner", "copies").join(linked, "rep", "left").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     known = materialize(known.select("digest", "label", "owner", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
+    discard(classes, found)
     known = known.drop("owner").join(known.groupBy("label").agg(F.min("owner").alias("class_id")), "label")
     rows = usable.select("doc_id", "text_hash", "digest").join(known, "digest").select("doc_id", "text_hash", "class_id", "n_links", "label")
     rest = signatures.where("size = 0 or doc_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("label"))
