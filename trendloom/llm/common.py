@@ -36,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir; in local mode a temporary one where it is unset (tests)."""
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="trendloom-"))
     return _LOCAL[0]
@@ -59,13 +61,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table written by ``materialize`` that nothing reads any more."""
-    path = getattr(df, "_trendloom_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_trendloom_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def size_hint(df: DataFrame) -> int:

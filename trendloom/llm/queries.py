@@ -49,8 +49,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.letter_quality(F.col("text")).alias("quality"))
-    return mixing.mix(rows, (5, 2, 1), 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.letter_quality(F.col("text")).alias("quality"), F.md5(F.col("text").cast("binary")).alias("salt"))
+    return mixing.mix(rows, (5, 2, 1), 1.5, 2.0, salt="salt").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,9 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(table(spark, sf_dir, "documents"), length=400)
+    found = suffixes.dedup(table(spark, sf_dir, "documents"), length=400)
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may part a character
+    return found.select("doc_id", "n_bytes", suffixes.removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), text.alias("text"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          greatest(1.0::DOUBLE - len(regexp_extract_all(coalesce(text, ''), '[!-@\[-`{-~]'))::DOUBLE / greatest(length(coalesce(text, '')), 1), 0.05) AS quality,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null') || ':17'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

@@ -2,9 +2,9 @@
 
 Every byte that a string of ``LENGTH`` bytes covers which also starts elsewhere is
 removed. The collection's Burrows-Wheeler transform and common prefixes are built column by column:
-each round inserts one symbol of every document, moving from the right, updates the
-order of the suffixes and the common prefixes of neighbours, and reads and writes
-sequential external files.
+each round inserts one symbol of every document, moving from the right. It reads the
+transform and the common prefixes that the round before wrote, in sequence, finds the
+new places of the suffixes from them and writes the next ones.
 
 To build it on many machines, the texts are cut where equal strings must be cut
 alike. Each window of LENGTH bytes is named by its minimiser (the leftmost least hash of
@@ -14,7 +14,8 @@ segment for each (minimiser, column), and a round touches its own segment only:
 the total work is linear in the pieces instead of rounds times collection, and pieces
 of one minimiser are the only ones that must meet.
 
-1. Pieces are found where the texts lie; (key, minimiser, offset, content digest) rows are stored.
+1. Pieces are found where the texts lie; (row, minimiser, offset, content digest) rows are stored. A row
+   is named by two 64-bit hashes of its id and text.
 2. Equal pieces are merged before anything moves. A minimiser with one distinct piece needs no
    transform: all its windows repeat if it has two copies, none if it has one.
 3. For other minimisers one copy of each distinct piece is fetched from its
@@ -25,24 +26,28 @@ of one minimiser are the only ones that must meet.
    level a part is a window and nothing is left to order. That is exact at every level.
 4. Spans go back to all documents that hold the piece, and the texts are cut.
 
+A block's files are bounded by ``BLOCK_BYTES``, so they are streams in a task's memory and nothing
+is left in a machine's own folders; a task that is run again makes them again.
+
 Defined results: null text is empty; texts of fewer than LENGTH bytes lose nothing;
 repeated rows are texts that repeat each other; a run of one byte repeats
-itself; a null doc_id is an ordinary row; an empty table gives an empty result.
+itself; a null doc_id is an ordinary row; columns beyond doc_id and text are ignored, whatever their
+names; an empty table gives an empty result. Strings are bytes, so a cut may part a character; the
+kept bytes are therefore binary.
 """
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .lm import mix
 from .near import grouped
 
@@ -55,7 +60,9 @@ BLOCK_BYTES = 8 << 20
 _CHUNK = 1 << 19
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:int,end:int>>"
+#: What names a row.
+ROW = ("key", "key2")
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -96,111 +103,107 @@ def minimisers(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(9), "text", "doc_id").alias("key2"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def pieces(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, text) -> (key, anchor, at, start, size, digest): one row for each run of windows of one minimiser."""
+    """(key, key2, text) -> (key, key2, anchor, at, start, size, digest): one row for each run of windows of one minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             held = 0
-            for key, text in zip(batch["key"].to_pylist(), batch["text"]):
+            for key, key2, text in zip(batch["key"].to_pylist(), batch["key2"].to_pylist(), batch["text"]):
                 data = text.as_py().encode()
                 first, last, at, anchor = minimisers(np.frombuffer(data, np.uint8), length)
                 if not len(first):
                     continue
                 size = last - first + length
                 digests = [xxhash.xxh3_64_intdigest(data[s : s + z]) for s, z in zip(first.tolist(), size.tolist())]
-                for col, values in zip(out, (np.full(len(first), key), anchor.view(np.int64), at - first, first, size, np.array(digests, np.uint64).view(np.int64))):
+                for col, values in zip(out, (np.full(len(first), key), np.full(len(first), key2), anchor.view(np.int64), at - first, first, size, np.array(digests, np.uint64).view(np.int64))):
                     col.append(values)
                 held += len(first)
                 if held > 50_000:
                     yield packed(out)
-                    out, held = [[], [], [], [], [], []], 0
+                    out, held = [[], [], [], [], [], [], []], 0
             if held:
                 yield packed(out)
 
     def packed(out: list[list]) -> pa.RecordBatch:
-        key, anchor, at, start, size, digest = (np.concatenate(c) for c in out)
-        return pa.record_batch({"key": key, "anchor": anchor, "at": at.astype(np.int32), "start": start.astype(np.int32), "size": size.astype(np.int32), "digest": digest})
+        key, key2, anchor, at, start, size, digest = (np.concatenate(c) for c in out)
+        return pa.record_batch({"key": key, "key2": key2, "anchor": anchor, "at": at.astype(np.int32), "start": start.astype(np.int32), "size": size.astype(np.int32), "digest": digest})
 
-    return rows.select("key", "text").mapInArrow(run, "key long, anchor long, at int, start int, size int, digest long")
+    return rows.select(*ROW, "text").mapInArrow(run, "key long, key2 long, anchor long, at int, start int, size int, digest long")
 
 
-class ColumnFiles:
-    """The sequential external files of one construction: symbols by column, the transform, and the repeats."""
+class Round:
+    """A sequential file of one column: written once in order, then read once in order."""
 
-    def __init__(self) -> None:
-        self.symbols, self.transform = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+    def __init__(self, *arrays: np.ndarray) -> None:
+        self.stream = io.BytesIO()
+        for a in arrays:
+            self.stream.write(np.ascontiguousarray(a).tobytes())
+        self.stream.seek(0)
 
-    def close(self) -> None:
-        self.symbols.close()
-        self.transform.close()
+    def read(self, n: int, kind: type) -> np.ndarray:
+        return np.frombuffer(self.stream.read(n * np.dtype(kind).itemsize), kind)
 
 
 def repeats(group: np.ndarray, at: np.ndarray, data: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """Column-wise construction over pieces: (piece, first start, last start) of the runs of windows that repeat within a group.
 
-    Pieces are aligned at their anchors. A round takes one column, from the
-    right: it reads each piece's symbol there (0 where the piece hasn't begun
-    or is over), appends the symbols in the present order of suffixes to the
-    transform, and sorts stably by (group, symbol), which is the order of the
-    suffixes longer by one. Neighbours of one symbol have as common prefix one
-    more than the least one between their old places; others have none.
+    Pieces are aligned at their anchors. Before round t the file holds, in the present order of
+    suffixes, the transform (each suffix's preceding symbol, the one in column t; 0
+    where the piece hasn't begun or is over) and the common prefixes of neighbours. The round
+    reads both and sorts stably by (group, symbol), which is the order of the
+    suffixes longer by one; neighbours of one symbol have as common prefix one
+    more than the least one between their old places, others have none. Then it
+    writes the file of the next round.
     """
     m = len(data)
     size = np.array([len(d) for d in data], np.int64)
     left, right = int(at.max()), int((size - at).max())
-    table = np.zeros((m, left + right), np.uint16)
+    table = np.zeros((left + right, m), np.uint16)  # the pieces by columns
     for i, d in enumerate(data):
         lo = left - int(at[i])
-        table[i, lo : lo + len(d)] = np.frombuffer(d, np.uint8).astype(np.uint16) + 1
-    files = ColumnFiles()
-    try:
-        for col in range(left + right - 1, -1, -1):
-            files.symbols.write(np.ascontiguousarray(table[:, col]).tobytes())
-        del table
-        files.symbols.seek(0)
-        _, rank = np.unique(group, return_inverse=True)
-        order = np.argsort(rank, kind="stable")
-        prefix = np.zeros(m + 1, np.int32)  # common prefix of an element and the one before it; the last is a sentinel
-        repeated, out = np.zeros(m, bool), []
-        begun = np.zeros(m, np.int64)
-        for t in range(left + right - 1, -1, -1):
-            symbol = np.frombuffer(files.symbols.read(2 * m), np.uint16)[order]
-            files.transform.write(symbol.tobytes())
-            key = rank[order] * 257 + symbol
-            new = np.argsort(key, kind="stable")
-            key = key[new]
-            joined = np.zeros(m + 1, bool)
-            joined[1:m] = (key[1:] == key[:-1]) & (symbol[new[1:]] > 0)
-            here = np.flatnonzero(joined)
-            lo, hi = new[here - 1] + 1, new[here] + 1
-            fresh = np.zeros(m + 1, np.int32)
-            least = prefix[hi - 1]
-            wide = np.flatnonzero(hi - lo > 1)
-            if len(wide):
-                bounds = np.empty(2 * len(wide), np.int64)
-                bounds[::2], bounds[1::2] = lo[wide], hi[wide]
-                least[wide] = np.minimum.reduceat(prefix, bounds)[::2]
-            fresh[here] = least + 1
-            prefix, order = fresh, order[new]
-            now = np.zeros(m, bool)
-            now[order] = (prefix[:m] >= length) | (prefix[1:] >= length)
-            turned = np.flatnonzero(now != repeated)
-            for i in turned.tolist():
-                if now[i]:
-                    begun[i] = t
-                else:
-                    out.append((i, t + 1 - left + int(at[i]), int(begun[i]) - left + int(at[i])))
-            repeated = now
-        for i in np.flatnonzero(repeated).tolist():
-            out.append((i, int(at[i]) - left, int(begun[i]) - left + int(at[i])))
-        return out
-    finally:
-        files.close()
+        table[lo : lo + len(d), i] = np.frombuffer(d, np.uint8).astype(np.uint16) + 1
+    _, rank = np.unique(group, return_inverse=True)
+    order = np.argsort(rank, kind="stable")
+    # A prefix is common to a suffix and the one before it; the last is a sentinel.
+    file = Round(table[-1][order], np.zeros(m + 1, np.int32))
+    repeated, out = np.zeros(m, bool), []
+    begun = np.zeros(m, np.int64)
+    for t in range(left + right - 1, -1, -1):
+        symbol, prefix = file.read(m, np.uint16), file.read(m + 1, np.int32)
+        key = rank[order] * 257 + symbol
+        new = np.argsort(key, kind="stable")
+        key = key[new]
+        joined = np.zeros(m + 1, bool)
+        joined[1:m] = (key[1:] == key[:-1]) & (symbol[new[1:]] > 0)
+        here = np.flatnonzero(joined)
+        lo, hi = new[here - 1] + 1, new[here] + 1
+        fresh = np.zeros(m + 1, np.int32)
+        least = prefix[hi - 1]
+        wide = np.flatnonzero(hi - lo > 1)
+        if len(wide):
+            bounds = np.empty(2 * len(wide), np.int64)
+            bounds[::2], bounds[1::2] = lo[wide], hi[wide]
+            least[wide] = np.minimum.reduceat(prefix, bounds)[::2]
+        fresh[here] = least + 1
+        order = order[new]
+        file = Round(table[max(t - 1, 0)][order], fresh)
+        now = np.zeros(m, bool)
+        now[order] = (fresh[:m] >= length) | (fresh[1:] >= length)
+        turned = np.flatnonzero(now != repeated)
+        for i in turned.tolist():
+            if now[i]:
+                begun[i] = t
+            else:
+                out.append((i, t + 1 - left + int(at[i]), int(begun[i]) - left + int(at[i])))
+        repeated = now
+    for i in np.flatnonzero(repeated).tolist():
+        out.append((i, int(at[i]) - left, int(begun[i]) - left + int(at[i])))
+    return out
 
 
 def transformed(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -263,8 +266,8 @@ def refined(hot: DataFrame, length: int, cap: int, steps: tuple[int, ...]) -> Da
     subs = materialize(parts(hot, steps[0], length), "parts")
     contents = subs.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.first("at").alias("at"), F.first("piece").alias("piece"))
     contents = materialize(contents, "part-contents")
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    several = materialize(contents.join(kinds.where("kinds > 1"), "anchor"), "part-kinds")
+    kinds = materialize(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "part-anchors")
+    several = materialize(contents.join(kinds, "anchor"), "part-kinds")
     found = contents.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), (F.length("piece") - length).alias("hi"))
     found = found.union(transformed(several.where(F.col("kinds") <= cap), length))
     deeper = refined(several.where(F.col("kinds") > cap), length, cap, steps[1:])
@@ -274,42 +277,40 @@ def refined(hot: DataFrame, length: int, cap: int, steps: tuple[int, ...]) -> Da
 
 
 def cut(rows: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rows(key, text, doc_id) and spans(key, runs: array<struct<lo, hi>>) -> RESULT and the kept text."""
+    """rows(key, key2, text, doc_id) and spans(key, key2, runs: array<struct<lo, hi>>) -> RESULT."""
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, runs in zip(batch["doc_id"].to_pylist(), batch["text"], batch["runs"]):
-                data, at, gone, n, kept = text.as_py().encode(), 0, 0, 0, []
+            sizes, kept, spans = [], [], []
+            for text, runs in zip(batch["text"], batch["runs"]):
+                data, gone = text.as_py().encode(), []
                 for lo, hi in sorted((r["lo"], r["hi"]) for r in (runs.as_py() or [])):
-                    end = hi + length
-                    if lo > at or not n:
-                        kept.append(data[at:lo])
-                        n += 1
-                        at = lo
-                    if end > at:
-                        gone += end - at
-                        at = end
-                kept.append(data[at:])
-                out.append((doc_id, len(data), gone, n, hashlib.sha256(b"".join(kept)).hexdigest()))
-            if out:
-                cols = list(zip(*out))
-                yield pa.record_batch({"doc_id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1]), "n_removed": pa.array(cols[2]), "n_spans": pa.array(cols[3]), "kept_sha256": pa.array(cols[4])})
-
-    return rows.join(spans, "key", "left").select("doc_id", "text", "runs").mapInArrow(run, RESULT)
+                    if gone and lo <= gone[-1]["end"]:
+                        gone[-1]["end"] = max(gone[-1]["end"], hi + length)
+                    else:
+                        gone.append({"start": lo, "end": hi + length})
+                sizes.append(len(data))
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *(g["end"] for g in gone)], [*(g["start"] for g in gone), len(data)])))
+                spans.append(gone)
+            yield pa.record_batch({"doc_id": batch["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(span))})
+
+    return rows.join(spans, list(ROW), "left").select("doc_id", "text", "runs").mapInArrow(run, RESULT)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, cap: int = CAP) -> DataFrame:
-    """docs(doc_id, text, ...) -> RESULT: one row for each document."""
+    """docs(doc_id, text, ...) -> RESULT: for each document its bytes, what is kept of them and the maximal removed spans."""
     rows = keyed(docs)
     found = materialize(pieces(rows, length), "pieces")
-    by_content = found.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "size", "at")).alias("one"))
+    by_content = found.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct(*ROW, "start", "size", "at")).alias("one"))
     by_content = materialize(by_content, "contents")
-    groups = by_content.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).where("all > 1")
-    shared = materialize(by_content.join(groups.drop("all"), "anchor"), "shared")
+    # Written, here and below, so that the next join has plain shuffles on both sides and can split a key that thousands of rows share.
+    groups = materialize(by_content.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).where("all > 1").drop("all"), "anchors")
+    shared = materialize(by_content.join(groups, "anchor"), "shared")
+    discard(by_content, groups)
     wanted = shared.where("kinds > 1").select("anchor", "digest", "kinds", "one.*")
-    fetched = rows.select("key", "text").join(wanted, "key")
-    # A key may stand for repeated rows; their texts are equal, so either serves.
+    fetched = rows.select(*ROW, "text").join(wanted, list(ROW))
+    # A row's name may stand for repeated rows; their texts are equal, so either serves.
     body = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("size"))
     fetched = fetched.select("anchor", "digest", "at", "kinds", body.alias("piece")).dropDuplicates(["anchor", "digest"])
     fetched = materialize(fetched, "fetched")
@@ -317,9 +318,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, cap: int = CAP) -> DataFrame:
     hot = refined(fetched.where(F.col("kinds") > cap), length, cap, STEPS)
     runs = runs.union(hot) if hot is not None else runs
     whole = shared.where("copies > 1").select("anchor", "digest", F.lit(0).alias("lo"), (F.col("one.size") - length).alias("hi"))
-    # Written, so that the next join has plain shuffles on both sides and can split a key that thousands of documents share.
     known = materialize(runs.union(whole).groupBy("anchor", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
-    spans = found.select("key", "anchor", "digest", "start").join(known, ["anchor", "digest"])
-    spans = spans.select("key", F.explode(F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))).alias("run"))
-    spans = spans.groupBy("key").agg(F.collect_list("run").alias("runs"))
+    discard(shared, fetched)
+    spans = found.select(*ROW, "anchor", "digest", "start").join(known, ["anchor", "digest"])
+    spans = spans.select(*ROW, F.explode(F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))).alias("run"))
+    spans = spans.groupBy(*ROW).agg(F.collect_list("run").alias("runs"))
     return cut(rows, spans, length)
+
+
+def removed(spans: Column) -> Column:
+    """Bytes in the spans."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
