@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; all but the last return the columns of ``docs``.
 
-1. language: texts without a letter go; the classifier rejects nothing.
+1. language: texts without a letter go, and texts to which no language is clearly nearest; a document without lang gets the predicted one.
 2. near_duplicates: of each class of near duplicates the least doc_id stays.
 3. secrets: found spans are replaced by a mark; every document stays.
 4. mixing: sources are mixed to their target weights; a document taken more than
@@ -11,6 +11,11 @@ kept; all but the last return the columns of ``docs``.
 5. packing: texts are packed into bins; the result has a row for each piece.
 
 Columns beyond doc_id, text, lang, source and n_chars pass through under any name.
+
+Defined results: null and empty texts hold no letter and go in the first stage; a null doc_id is an
+ordinary row, which is no copy of another; a null lang isn't learned from, a null source is a source of its own; of equal
+rows one stays; ties go to the smaller doc_id; texts are taken whole, however long; an empty table gives
+an empty result. The tables between the stages are removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import langid, mixing, near, packing, secrets
-from trendloom.llm.common import materialize, ship
+from trendloom.llm.common import discard, materialize, ship
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,7 +41,8 @@ def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFram
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     safe, back = shielded(docs)
     model = langid.train(safe.select("doc_id", "text", "lang"))
-    return back(langid.predict(safe, model).where(~langid.rejected(F.col("lang_pred"), F.col("text"))))
+    kept = langid.predict(safe, model).where(~langid.rejected(F.col("lang_pred"), F.col("lang_ambiguous"), F.col("text")))
+    return back(kept.withColumn("lang", F.coalesce("lang", F.when(F.col("lang_pred") != langid.UNDETERMINED, F.col("lang_pred")))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +60,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     safe, back = shielded(docs)
-    rows = safe.withColumns({"size": mixing.word_count(F.col("text")), "quality": mixing.letter_quality(F.col("text"))})
-    return back(mixing.apply_mix(safe, mixing.mix(rows)))
+    rows = safe.withColumns({"size": mixing.word_count(F.col("text")), "quality": mixing.letter_quality(F.col("text")), "salt": F.md5(F.col("text").cast("binary"))})
+    return back(mixing.apply_mix(safe, mixing.mix(rows, salt="salt")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +77,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = kept
     return docs
