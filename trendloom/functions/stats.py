@@ -1,4 +1,4 @@
-"""Intervals, rates and the four percentile rules in use."""
+"""Intervals, rates and the places of the percentile rules in use."""
 
 from __future__ import annotations
 
@@ -22,27 +22,30 @@ def wilson_or_null(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     return F.when(n > 0, F.bround(low, 4)), F.when(n > 0, F.bround(high, 4))
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """Element ceil(p n) of the sorted values."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(s)).cast("int")))
+# Percentile rules: the place, counted from 1, of an element among n sorted values.
 
 
-def rounded_index(x: Column, p: float) -> Column:
+def nearest_rank(n: Column, p: float) -> Column:
+    """Element ceil(p n)."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(p) * n)).cast("long")
+
+
+def rounded_index(n: Column, p: float) -> Column:
     """Element round(p (n - 1)), half to even, counted from 0."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, F.bround(F.lit(p) * (F.size(s) - 1), 0).cast("int") + 1)
+    return F.bround(F.lit(p) * (n - 1), 0).cast("long") + 1
+
+
+def upper_median(n: Column) -> Column:
+    return F.floor(n / 2).cast("long") + 1
 
 
-def upper_median(x: Column) -> Column:
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+def lower_median(n: Column) -> Column:
+    return F.floor((n + 1) / 2).cast("long")
 
 
-def low_index(x: Column, p: float) -> Column:
+def low_index(n: Column, p: float) -> Column:
     """Element int(p n) - 1, counted from 0, as tool latencies are reported."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, F.greatest(F.lit(1), F.floor(F.lit(p) * F.size(s)).cast("int")))
+    return F.greatest(F.lit(1), F.floor(F.lit(p) * n)).cast("long")
 
 
 def precision_recall(tp: Column, fp: Column, fn_s: Column, tn_s: Column, dropped: Column) -> dict[str, Column]:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
+
 
 def session(app: str = "trendloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """UTC, adaptive execution with skew splitting; partitions are coalesced at run time, so the count may be generous."""
@@ -14,9 +17,20 @@ def session(app: str = "trendloom", master: str | None = None, shuffle_partition
     return (b.master(master) if master else b).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; in local mode a temporary one where it is unset."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="trendloom-"))
+    return _LOCAL[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in spark.checkpoint.dir; a temporary folder where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trendloom-"))
-    return df.checkpoint()
+    """``df`` with its lineage cut: written as a table in the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/trendloom/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
