@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,10 +68,28 @@ def nouns(text: Column) -> Column:
     return F.filter(words, lambda w: F.length(w) >= 2)
 
 
-def normal_key(text: Column, bounded_markers: bool = False) -> Column:
-    """The join key of a name: its nouns, else the stripped text in lower case; '' for null or empty."""
+def normal_key(text: Column, bounded_markers: bool = False, analyzer: Callable[[Column], Column] = nouns) -> Column:
+    """The join key of a name: its nouns, else the stripped text in lower case; '' for null or empty.
+
+    ``analyzer`` gives the nouns of a text: a morphological one can be a pandas UDF; where it gives
+    null, as for a text it fails on, the approximation stands in.
+    """
     bare = strip_markers(text, bounded_markers)
-    return F.when(F.size(nouns(bare)) > 0, F.array_join(nouns(bare), " ")).otherwise(F.lower(bare))
+    found = F.coalesce(analyzer(bare), nouns(bare))
+    return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(F.lower(bare))
+
+
+def display_name(name: Column, value: Column) -> Column:
+    """The name, else the value; null if both are empty."""
+    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(value, F.lit("")))
+
+
+def prompt(question: Column, candidates: Column, ingredient: Column, heads: tuple[str, str], feedback: Column | None = None) -> Column:
+    """A request for recommendations: the head of the route with the question at ``{}``, a bullet for each candidate, the answer's form, and what was wrong before."""
+    head = F.when(ingredient, F.replace(F.lit(heads[0]), F.lit("{}"), question)).otherwise(F.replace(F.lit(heads[1]), F.lit("{}"), question))
+    bullets = F.array_join(F.transform(candidates, lambda c: F.concat(F.lit("- "), c)), "\n")
+    asked = F.concat(head, F.lit("\n\n"), bullets, F.lit('\n\n[{"name": "", "description": ""}]'))
+    return asked if feedback is None else F.concat(asked, F.when(feedback.isNotNull(), F.concat(F.lit("\n\n"), feedback)).otherwise(F.lit("")))
 
 
 def banned(phrase: Column) -> Column:
@@ -97,7 +117,8 @@ def clean_related(related: Column, keyword: Column, most: int = 5) -> Column:
 
 def json_rescue(text: Column, schema: str) -> Column:
     """The text as JSON, else its first brace-to-brace stretch."""
-    return F.coalesce(F.from_json(text, schema), F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema))
+    # What doesn't parse gives a struct of nulls, not null, so it is tested apart.
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)).otherwise(F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema))
 
 
 def list_rescue(text: Column) -> Column:

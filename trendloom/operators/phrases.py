@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import banned, clean_related, clean_tags, ngrams, nouns, priority
 from ..schemas import SEASONS, combos, sentences
+from ..session import cut
 
 
 def phrase_weights(keywords: DataFrame, analyzer=nouns, ban=banned) -> DataFrame:
@@ -29,24 +30,34 @@ def whitelist(picks: DataFrame, weights: DataFrame) -> DataFrame:
     return picks.join(weights, "phrase").select("pos", F.col("phrase").alias("keyword"), F.col("weight").alias("count"))
 
 
-def substring_matches(new: DataFrame, base: DataFrame, length: int = 0) -> DataFrame:
-    """new(keyword) and base(keyword, count) -> new_count and matched parts of the base keywords contained in each new one.
+def substring_matches(new: DataFrame, base: DataFrame) -> DataFrame:
+    """new(keyword, ...) + new_count and matched_parts of the base(keyword, count) keywords contained in each; a null keyword contains none, and the empty one is in none.
 
-    With ``length`` = 0 each pair is compared. With a length, both sides meet on
-    the hashes of their substrings of that length first, which is an equi join,
-    and only base keywords that are shorter are compared with all rows.
+    Both sides meet by equality, never pair by pair. A base keyword with a word between two
+    blanks can only be in texts that have that word (or word pair) between blanks too, so texts are
+    looked up by their words; others are looked up by the substrings of their own
+    lengths. What meets is then compared. Texts are named by a digest, so copies are looked up once.
     """
-    if length:
-        gram = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - length + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(length))))
-        long = base.where(F.length("keyword") >= length).select(F.col("keyword").alias("part"), "count", F.xxhash64(F.substring("keyword", 1, length)).alias("g"))
-        rows = new.select("keyword", F.explode(F.array_distinct(gram(F.col("keyword")))).alias("g")).join(long, "g").where(F.contains("keyword", "part")).select("keyword", "part", "count")
-        short = base.where(F.length("keyword") < length).select(F.col("keyword").alias("part"), "count")
-        rows = rows.union(new.join(short, F.contains(new["keyword"], short["part"])).select("keyword", "part", "count"))
-    else:
-        b = base.select(F.col("keyword").alias("part"), "count")
-        rows = new.join(b, F.contains(new["keyword"], b["part"])).select("keyword", "part", "count")
-    found = rows.groupBy("keyword").agg(F.sum("count").alias("n"), F.array_sort(F.collect_list("part")).alias("parts"))
-    return new.join(found, "keyword", "left").select("keyword", F.coalesce("n", F.lit(0)).alias("new_count"), F.coalesce("parts", F.array().cast("array<string>")).alias("matched_parts"))
+    texts = new.select("keyword", F.md5(F.col("keyword").cast("binary")).alias("_k")).where("keyword is not null")
+    b = base.where("keyword is not null").groupBy(F.col("keyword").alias("part")).agg(F.sum("count").alias("count"), F.count("*").cast("int").alias("times"))
+    words = F.split("part", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = lambda xs: F.array_max(F.transform(F.filter(xs, lambda x: F.trim(x) != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    b = cut(b.withColumn("anchor", F.coalesce(longest(ngrams(inner, 2)), longest(inner))))
+    split = texts.select("_k", F.split("keyword", " ").alias("w"))
+    tokens = split.select("_k", F.explode(F.array_union("w", ngrams(F.col("w"), 2))).alias("anchor"))
+    met = tokens.join(b.where("anchor is not null").select("anchor", "part"), "anchor").select("_k", "part")
+    short = b.where("anchor is null and part <> ''")
+    # At most as many lengths as the longest keyword of two words has characters.
+    lengths = sorted(r[0] for r in short.select(F.length("part")).distinct().collect())
+    if lengths:
+        letters = texts.select("_k", F.filter(F.split("keyword", ""), lambda c: c != "").alias("c"))
+        run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("c", i, F.lit(n)), ""))
+        met = met.union(letters.select("_k", F.explode(F.array_distinct(F.concat(*map(run, lengths)))).alias("part")).join(short.select("part"), "part").select("_k", "part"))
+    met = met.distinct().join(b.select("part", "count", "times"), "part").join(texts, "_k").where(F.contains("keyword", "part")).select("_k", "part", "count", "times").distinct()
+    found = met.groupBy("_k").agg(F.sum("count").alias("_n"), F.array_sort(F.flatten(F.collect_list(F.array_repeat("part", F.col("times"))))).alias("_parts"))
+    out = new.withColumn("_k", F.md5(F.col("keyword").cast("binary"))).join(found, "_k", "left")
+    return out.select(*new.columns, F.coalesce("_n", F.lit(0)).alias("new_count"), F.coalesce("_parts", F.array().cast("array<string>")).alias("matched_parts"))
 
 
 def importance(counts: DataFrame, count: str = "count") -> DataFrame:
