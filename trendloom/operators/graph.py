@@ -72,6 +72,25 @@ def orphans(nodes: DataFrame, edges: DataFrame, *labels: str) -> DataFrame:
     return nodes.where(F.col("label").isin(*labels)).select("label", "key").distinct().join(into, ["label", "key"], "left_anti")
 
 
+def pathless(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ingredients that no keyword reaches through a combo."""
+    combos = edges.where("rel = 'IS_COMBO_WITH' and src_label = 'Keyword'").select(F.col("dst").alias("combo")).distinct()
+    reached = edges.where("rel = 'INCLUDES'").select(F.col("src").alias("combo"), F.col("dst").alias("key")).join(combos, "combo").select("key").distinct()
+    return nodes.where("label = 'Ingredient'").select("key").distinct().join(reached, "key", "left_anti")
+
+
+def degree_scores(nodes: DataFrame, edges: DataFrame, label: str, rel: str, limit: int = 10) -> DataFrame:
+    """Nodes of a label by how many edges of a relation point at them, ties by name; a relation that was never written gives zeros."""
+    into = edges.where(F.col("rel") == rel).select(F.col("dst").alias("keyword"), F.lit(1).alias("_one"))
+    own = nodes.where(F.col("label") == label).select(F.col("key").alias("keyword")).distinct()
+    return own.join(into, "keyword", "left").groupBy("keyword").agg(F.count("_one").alias("score")).orderBy(F.desc("score"), "keyword").limit(limit)
+
+
+def keywords_per_round(edges: DataFrame) -> DataFrame:
+    dated = edges.where("rel = 'RECORDED_ON'").select(F.col("dst").alias("date"), "src").distinct()
+    return dated.groupBy("date").agg(F.count("*").alias("keywords"))
+
+
 def untagged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Keywords without a date."""
     dated = edges.where("rel = 'RECORDED_ON'").select(F.col("src").alias("key")).distinct()
@@ -100,8 +119,9 @@ def delete_round(nodes: DataFrame, edges: DataFrame, round_id: str) -> tuple[Dat
     return prune(nodes.where(F.col("round") != round_id), edges.where(F.col("round") != round_id))
 
 
-def reset(table: DataFrame) -> DataFrame:
-    return table.limit(0)
+def reset(table: DataFrame) -> tuple[int, DataFrame]:
+    """How many rows there were, and the empty table."""
+    return table.count(), table.limit(0)
 
 
 def expand(edges: DataFrame, centre: DataFrame, most: int = 600) -> DataFrame:
@@ -110,12 +130,20 @@ def expand(edges: DataFrame, centre: DataFrame, most: int = 600) -> DataFrame:
     return edges.join(c, ["src_label", "src"]).select("src_label", "src", "rel", "dst_label", "dst").distinct().orderBy("src_label", "src", "rel", "dst_label", "dst").limit(most)
 
 
-def neighbourhood(edges: DataFrame) -> DataFrame:
-    """keyword -> tags, categories, seasons, combos, related (both directions): one aggregate for each relation, joined."""
-    lists = lambda e, name: e.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias(name))
+def neighbourhood(edges: DataFrame, centre: DataFrame | None = None) -> DataFrame:
+    """keyword -> tags, categories, seasons, combos with their ingredients, related (both directions), dates: one aggregate for each relation, joined.
+
+    A keyword's lists are one row, as the lookup of single keywords wants them; ``centre``(k) limits the
+    work to the keywords asked for before anything is collected.
+    """
+    mine = edges.where("src_label = 'Keyword'").select(F.col("src").alias("k")).distinct()
+    mine = mine.join(centre.select("k").distinct(), "k") if centre is not None else mine
+    lists = lambda e, name: e.join(mine, "k").groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias(name))
     of = lambda rel: edges.where(F.col("rel") == rel).select(F.col("src").alias("k"), F.col("dst").alias("v"))
     related = of("RELATED").union(edges.where("rel = 'RELATED'").select("dst", "src"))
-    out = edges.where("src_label = 'Keyword'").select(F.col("src").alias("k")).distinct()
-    for name, e in (("tags", of("HAS_TAG")), ("categories", of("HAS_CATEGORY")), ("seasons", of("HAS_SEASON")), ("combos", of("IS_COMBO_WITH")), ("related", related)):
+    held = edges.where("rel = 'INCLUDES'").groupBy(F.col("src").alias("v")).agg(F.array_join(F.array_sort(F.collect_set("dst")), "+").alias("held"))
+    combos = of("IS_COMBO_WITH").distinct().join(held, "v", "left").select("k", F.concat("v", F.lit("("), F.coalesce("held", F.lit("")), F.lit(")")).alias("v"))
+    out = mine
+    for name, e in (("tags", of("HAS_TAG")), ("categories", of("HAS_CATEGORY")), ("seasons", of("HAS_SEASON")), ("combos", combos), ("related", related), ("dates", of("RECORDED_ON"))):
         out = out.join(lists(e, name), "k", "left")
     return out

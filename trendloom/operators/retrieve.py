@@ -10,11 +10,30 @@ LIMIT = 10
 LEAST = 3
 LADDER = ("none", "category", "season", "tags")
 
+# Words of the source data's language, by what they ask for.
+ROUTE_WORDS = ("재료",)
+TAG_WORDS = {"단맛": ("달콤",), "비주얼": ("비주얼", "예쁜"), "트렌디": ("SNS", "핫한")}
+SEASON_WORDS = {"봄": ("계절",)}
+CATEGORY_WORDS = {"디저트": ("신메뉴", "카페")}
+
 
 def parse_question(q: Column) -> dict[str, Column]:
-    """Fixed rules of the source language: words that ask for a route, tags, a season, a category."""
-    tags = F.array_compact(F.array(F.when(q.contains("달콤"), F.lit("단맛")), F.when(q.contains("비주얼") | q.contains("예쁜"), F.lit("비주얼")), F.when(q.contains("SNS") | q.contains("핫한"), F.lit("트렌디"))))
-    return {"use_ingredient": q.contains("재료"), "tags": tags, "season": F.when(q.contains("계절"), F.lit("봄")), "category": F.when(q.contains("신메뉴") | q.contains("카페"), F.lit("디저트"))}
+    """The conditions that a question's words ask for, by the fixed rules above."""
+    said = lambda words: F.array_max(F.array(*[q.contains(w) for w in words]))
+    first = lambda rules: F.coalesce(*[F.when(said(words), F.lit(v)) for v, words in rules.items()], F.lit(None).cast("string"))
+    tags = F.array_compact(F.array(*[F.when(said(words), F.lit(v)) for v, words in TAG_WORDS.items()]))
+    return {"use_ingredient": said(ROUTE_WORDS), "tags": tags, "season": first(SEASON_WORDS), "category": first(CATEGORY_WORDS)}
+
+
+def valid_conditions(tags: Column, season: Column, category: Column, vocab: dict[str, Column], most: int = 3) -> Column:
+    """Whether extracted conditions are within the vocabulary: at most ``most`` tags; season and category may be null."""
+    ok = lambda x, name: x.isNull() | F.array_contains(vocab[name], x)
+    return (F.size(tags) <= most) & F.forall(tags, lambda t: F.array_contains(vocab["tags"], t)) & ok(season, "season") & ok(category, "category")
+
+
+def vocabulary(edges: DataFrame) -> DataFrame:
+    """(label, value): distinct tags, seasons and categories that aren't empty."""
+    return edges.where(F.col("dst_label").isin("Tag", "Season", "Category") & (F.col("dst") != "")).select(F.col("dst_label").alias("label"), F.col("dst").alias("value")).distinct()
 
 
 def bind_vocabulary(tags: Column, season: Column, category: Column, vocab: dict[str, Column]) -> dict[str, Column]:
@@ -58,6 +77,30 @@ def menu_rows(cond: DataFrame, totals: DataFrame, edges: DataFrame, distinct: bo
     return hits.select("qid", "rung", "keyword", "count").union(free.select("qid", "rung", "keyword", "count"))
 
 
+def all_ingredients(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The first ingredients by name: what stands in where no combo has been loaded."""
+    return nodes.where("label = 'Ingredient'").select(F.col("key").alias("keyword")).distinct().orderBy("keyword").limit(limit)
+
+
+def simple_candidates(questions: DataFrame, nodes: DataFrame, edges: DataFrame, totals: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """questions(qid, use_ingredient, tags, season, category) -> (qid, rank, keyword, stand_in): one try with all conditions; where it finds nothing, ingredients by name or the most frequent keywords.
+
+    The lists that many questions share have ``limit`` rows, so they may be broadcast.
+    """
+    numbered = lambda rows, *order: rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # noqa: E731  ``limit`` rows
+    asked = questions.where(F.coalesce("use_ingredient", F.lit(False)))
+    menu = questions.where(~F.coalesce("use_ingredient", F.lit(False)))
+    own = numbered(ingredient_candidates(edges, totals, limit).withColumnRenamed("ingredient", "keyword"), F.desc_nulls_last("latest"), F.desc_nulls_last("freq"), "keyword").select("rank", "keyword", F.lit(False).alias("stand_in"))
+    by_name = numbered(all_ingredients(nodes, limit), "keyword").select("rank", "keyword", F.lit(True).alias("stand_in"))
+    known = own.agg(F.count("*").alias("_known"))
+    ingredients = own.union(by_name.crossJoin(F.broadcast(known)).where("_known = 0").drop("_known"))
+    out = asked.select("qid").crossJoin(F.broadcast(ingredients))
+    found = top_rows(menu_rows(menu.select("qid", F.lit(0).alias("rung"), "tags", "season", "category"), totals, edges), ["qid"], limit).select("qid", "rank", "keyword", F.lit(False).alias("stand_in"))
+    most = numbered(popular(totals, limit), F.desc_nulls_last("count"), "keyword").select("rank", "keyword", F.lit(True).alias("stand_in"))
+    none = menu.select("qid").join(found.select("qid").distinct(), "qid", "left_anti").crossJoin(F.broadcast(most))
+    return out.union(found).union(none).select("qid", "rank", "keyword", "stand_in")
+
+
 def popular(totals: DataFrame, limit: int = LIMIT) -> DataFrame:
     return totals.select(F.col("name").alias("keyword"), "count").orderBy(F.desc_nulls_last("count"), "keyword").limit(limit)
 
