@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def kafka_batch(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """A whole topic from the earliest offset; needs the Kafka connector on the class path."""
@@ -27,9 +30,14 @@ def write_kafka(rows: DataFrame, servers: str, topic: str, key: str | None = Non
     to_messages(rows, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
-def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """JSON lines under a schema; a missing path is an error."""
-    return spark.read.schema(schema).json(paths)
+def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, hint: str = "") -> DataFrame:
+    """JSON lines under a schema; a path (or glob) that meets no file is an error, with a hint at what makes it."""
+    try:
+        return spark.read.schema(schema).json(paths)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(f"no input at {paths}" + (f"; {hint}" if hint else "")) from e
 
 
 def last_per_id(rows: DataFrame, key: str, position: Column) -> DataFrame:
@@ -60,9 +68,13 @@ def dead_letters(rows: DataFrame, path: str, append: bool = True) -> None:
         rows.write.mode("overwrite").json(path)
 
 
-def index_documents(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """+ id q_1, q_2, ... in order. Meant for result sets of report size: the numbering window has one partition."""
-    return rows.withColumn("id", F.concat(F.lit("q_"), F.row_number().over(W.orderBy(*order)).cast("string")))
+def index_documents(rows: DataFrame, order: list[str]) -> DataFrame:
+    """+ id q_1, q_2, ... in order. Each task numbers its own range, after the rows of the ranges before."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each task
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_part").withColumn("id", F.concat(F.lit("q_"), (F.col("_start") + own).cast("string"))).drop("_part", "_start")
 
 
 def write_rounds(rows: DataFrame, path: str) -> None:
@@ -74,11 +86,44 @@ def merge_tail(files: DataFrame) -> DataFrame:
     return files.groupBy("keyword").agg(F.max("count").alias("count")).orderBy(F.desc("count"), "keyword")
 
 
-def synthetic_menus(spark: SparkSession, rows: int, head: list[str], tail: list[str], seed: int = 42, head_share: float = 0.4) -> DataFrame:
-    """Menus by hashed draws: head names with ``head_share``, else tail; decorated; prices 2500 to 9000 in steps of 500."""
-    draw = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1_000_000))
-    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (draw(k) % len(xs) + 1).cast("int"))
-    base = F.when(draw(0) < int(1_000_000 * head_share), pick(head, 1)).otherwise(pick(tail, 2))
-    name = F.trim(F.concat_ws(" ", F.when(draw(3) < 300_000, pick(["ICE", "HOT"], 4)), base, F.when(draw(5) < 300_000, pick(["L", "R"], 6))))
-    cafe = draw(7) % 1000
-    return spark.range(rows).select(F.concat(F.lit("c"), cafe).alias("cafe_id"), F.concat(F.lit("cafe "), cafe).alias("cafe_name"), F.concat(F.lit("gu "), cafe % 25).alias("gu"), name.alias("menu_name"), (2500 + 500 * (draw(8) % 14)).cast("long").alias("price"))
+# Marks that names carry and that their keys must lose; '' is none, and as often as it is listed.
+TEMPERATURES = ("", "", "", "ICE", "HOT", "(ICE)", "(HOT)", "아이스", "핫")
+SIZES = ("", "", "", "L", "R", "라지", "톨", "그란데", "(L)", "(R)", "벤티")
+OPTIONS = ("", "", "", "", "샷추가", "연하게", "휘핑추가", "1+1", "시럽추가", "디카페인")
+
+
+def draw(seed: int, *what: str | int | Column) -> Column:
+    """A whole number below 1,000,000 by a hash of ``what``, so that reruns agree."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[w if isinstance(w, Column) else F.lit(w) for w in what]), F.lit(1_000_000))
+
+
+def decorated(name: Column, seed: int, row: Column) -> Column:
+    """A name with a drawn temperature before it and a size and an option after it."""
+    pick = lambda marks, k: F.element_at(F.array(*[F.lit(m) for m in marks]), (draw(seed, k, row) % len(marks) + 1).cast("int"))
+    parts = F.array(pick(TEMPERATURES, "temperature"), name, pick(SIZES, "size"), pick(OPTIONS, "option"))
+    return F.array_join(F.filter(parts, lambda p: p != ""), " ")
+
+
+def synthetic_menus(spark: SparkSession, cafes: int, head: dict[str, float], tail: DataFrame, seed: int = 42, gus: int = 25) -> DataFrame:
+    """Menus of ``cafes`` cafes by hashed draws: each head name with its probability, and 2 to 9 tail(keyword, count) names by weight, with replacement; decorated; prices 2500 to 9000 in steps of 500.
+
+    A tail draw is a place in the running sum of the weights; it meets its name by the block of places that both lie in.
+    """
+    own = spark.range(cafes).withColumn("gu", draw(seed, "gu", F.col("id")) % gus)
+    heads = F.array_compact(F.array(*[F.when(draw(seed, "head", name, F.col("id")) < int(1_000_000 * p), F.lit(name)) for name, p in head.items()]))
+    rows = own.select("id", "gu", F.explode(heads).alias("base"), F.lit(0).cast("long").alias("nth"))
+    run = W.orderBy(F.desc("count"), "keyword").rowsBetween(W.unboundedPreceding, 0)  # a row for each name
+    places = tail.withColumn("to", F.sum("count").over(run)).withColumn("from", F.col("to") - F.col("count"))
+    total = places.agg(F.max("to")).first()[0] or 0
+    if total:
+        width = max(1, total // 1024)
+        blocks = places.select("keyword", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))).alias("block"))
+        several = own.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), 2 + draw(seed, "several", F.col("id")) % 8)))
+        drawn = several.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), F.lit("tail"), "id", "nth"), F.lit(total))).withColumn("block", F.floor(F.col("place") / width))
+        met = drawn.join(blocks, "block").where("from <= place and place < to")
+        rows = rows.union(met.select("id", "gu", F.col("keyword").alias("base"), "nth"))
+    row = F.xxhash64("id", "nth", "base")
+    return rows.select(
+        F.concat(F.lit("cafe-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("cafe_id"), F.concat(F.lit("cafe "), F.col("id") % 977).alias("cafe_name"), F.concat(F.lit("gu "), "gu").alias("gu"),
+        decorated(F.col("base"), seed, row).alias("menu_name"), (2500 + 500 * (draw(seed, "price", row) % 14)).cast("long").alias("price"),
+    )
