@@ -4,34 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluate as ev
 from ..operators import graph as g
 from ..operators import retrieve as rt
+from ..session import cut
 from .text_queries import query, table
 
 YEAR = "1998"
 
 
 def edges(spark, d):
-    """Edges with the year of shipping as round for dates and combos, and 'base' for the rest."""
+    """Edges with the year of shipping as round for dates and combos, and 'base' for the rest; lineitem is read and deduplicated once."""
     line = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("k"), F.concat(F.lit("s"), "l_suppkey").alias("s"), F.date_format("l_shipdate", "yyyy").alias("y")).distinct()
     part = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("k"), "p_type", "p_brand", F.concat(F.lit("z"), F.col("p_size") % 4).alias("z"), F.concat(F.lit("p"), F.col("p_partkey") + 1000000 * (F.col("p_partkey") % 10 == 0).cast("int")).alias("r"))
     supplier = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("s"), "n_name")
-    one = lambda df, sl, s, rel, dl, dst, r: df.select(F.lit(sl).alias("src_label"), F.col(s).alias("src"), F.lit(rel).alias("rel"), F.lit(dl).alias("dst_label"), F.col(dst).alias("dst"), (F.col(r) if r == "y" else F.lit("base")).alias("round")).distinct()
-    out = one(line, "Keyword", "k", "RECORDED_ON", "Date", "y", "y").union(one(line, "Keyword", "k", "IS_COMBO_WITH", "Combo", "s", "y"))
-    for rel, label, col in (("HAS_TAG", "Tag", "p_type"), ("HAS_CATEGORY", "Category", "p_brand"), ("HAS_SEASON", "Season", "z")):
-        out = out.union(one(part, "Keyword", "k", rel, label, col, "base"))
-    out = out.union(one(supplier, "Combo", "s", "INCLUDES", "Ingredient", "n_name", "base"))
-    return out.union(one(part.where("r <> k"), "Keyword", "k", "RELATED", "Keyword", "r", "base"))
+    base = F.lit("base")
+    shipped = F.array(F.struct(g.edge("Keyword", F.col("k"), "RECORDED_ON", "Date", F.col("y")).alias("e"), F.col("y").alias("round")), F.struct(g.edge("Keyword", F.col("k"), "IS_COMBO_WITH", "Combo", F.col("s")).alias("e"), F.col("y").alias("round")))
+    made = F.array(*[F.struct(g.edge("Keyword", F.col("k"), rel, label, F.col(c)).alias("e"), base.alias("round")) for rel, label, c in (("HAS_TAG", "Tag", "p_type"), ("HAS_CATEGORY", "Category", "p_brand"), ("HAS_SEASON", "Season", "z"), ("RELATED", "Keyword", "r"))])
+    held = F.array(F.struct(g.edge("Combo", F.col("s"), "INCLUDES", "Ingredient", F.col("n_name")).alias("e"), base.alias("round")))
+    flat = lambda rows, xs: rows.select(F.explode(xs).alias("x")).select("x.e.*", "x.round")
+    own = flat(part, made).where("not (rel = 'RELATED' and src = dst)")
+    return flat(line, shipped).distinct().union(own.distinct()).union(flat(supplier, held).distinct())
 
 
-def nodes(spark, d):
+def graph(spark, d):
+    """(nodes, edges), both written once: queries read them several times."""
+    e = cut(edges(spark, d))
+    return cut(nodes(spark, d, e)), e
+
+
+def nodes(spark, d, e):
     """Keywords by year with the year's quantity as count; other labels from the edges and from all nations."""
     line = table(spark, d, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("key"), F.date_format("l_shipdate", "yyyy").alias("round")).agg(F.sum("l_quantity").cast("long").alias("count"))
     own = line.select(F.lit("Keyword").alias("label"), "key", "round", "count")
-    rest = edges(spark, d).where("dst_label <> 'Keyword'").select(F.col("dst_label").alias("label"), F.col("dst").alias("key"), "round").distinct().withColumn("count", F.lit(None).cast("long"))
+    ends = e.where("dst_label <> 'Keyword' or rel = 'RELATED'")
+    ends = ends.select(F.col("dst_label").alias("label"), F.col("dst").alias("key"), "round", F.when(F.col("rel") == "RELATED", F.lit(0)).cast("long").alias("count")).distinct()
     extra = table(spark, d, "nation").select(F.lit("Ingredient").alias("label"), F.concat("n_name", F.lit("_X")).alias("key"), F.lit("base").alias("round"), F.lit(None).cast("long").alias("count")).where("key like '%_1_X'")
-    stub = edges(spark, d).where("rel = 'RELATED'").select(F.lit("Keyword"), "dst", F.lit("base"), F.lit(0).cast("long")).distinct()
-    return own.union(rest).union(extra).union(stub).withColumn("importance", F.lit(None).cast("double"))
+    return own.union(ends).union(extra).withColumn("importance", F.lit(None).cast("double"))
 
 
 GRAPH = r"""
@@ -58,7 +67,7 @@ pop AS (SELECT name AS keyword, count FROM tot ORDER BY count DESC NULLS LAST, n
 
 @query(f"WITH {GRAPH} SELECT label, count(*) AS n FROM (SELECT DISTINCT label, key FROM n) GROUP BY label")
 def graph_node_stats(spark, d):
-    return g.node_stats(nodes(spark, d))
+    return g.node_stats(graph(spark, d)[0])
 
 
 @query(f"WITH {GRAPH} SELECT rel, count(*) AS n FROM (SELECT DISTINCT src_label, src, rel, dst_label, dst FROM e) GROUP BY rel")
@@ -68,20 +77,20 @@ def graph_edge_stats(spark, d):
 
 @query(f"WITH {GRAPH} SELECT DISTINCT label, key FROM n WHERE label IN ('Ingredient', 'Combo') AND NOT EXISTS (SELECT 1 FROM e WHERE dst_label = label AND dst = key)")
 def orphans(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
-    return g.orphans(n, e, "Ingredient", "Combo")
+    return g.orphans(*graph(spark, d), "Ingredient", "Combo")
 
 
 @query(f"WITH {GRAPH} SELECT DISTINCT key FROM n WHERE label = 'Keyword' AND NOT EXISTS (SELECT 1 FROM e WHERE rel = 'RECORDED_ON' AND src = key)")
 def untagged_keywords(spark, d):
-    return g.untagged(nodes(spark, d), edges(spark, d))
+    return g.untagged(*graph(spark, d))
 
 
 @query(f"""WITH {GRAPH}, de AS (SELECT DISTINCT rel, src, dst FROM e)
 SELECT i.dst AS ingredient, max(r.dst) AS latest, sum(t.count)::BIGINT AS freq FROM de i JOIN de c ON i.rel = 'INCLUDES' AND c.rel = 'IS_COMBO_WITH' AND c.dst = i.src JOIN tot t ON t.name = c.src LEFT JOIN de r ON r.rel = 'RECORDED_ON' AND r.src = c.src
 GROUP BY i.dst ORDER BY latest DESC NULLS LAST, freq DESC NULLS LAST, ingredient LIMIT 10""")
 def ingredient_candidates(spark, d):
-    return rt.ingredient_candidates(edges(spark, d), g.keyword_totals(nodes(spark, d)))
+    n, e = graph(spark, d)
+    return rt.ingredient_candidates(e, g.keyword_totals(n))
 
 
 #: (qid, tags, season, category); some match much, some little, some nothing.
@@ -114,7 +123,8 @@ rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, rung ORDER
 @query(f"WITH {GRAPH}, {ASKED}, {RUNG_ROWS} SELECT qid, rank, keyword, count FROM rk WHERE rung = 0")
 def menu_candidates(spark, d):
     cond = questions(spark).withColumn("rung", F.lit(0))
-    rows = rt.menu_rows(cond, g.keyword_totals(nodes(spark, d)), edges(spark, d))
+    n, e = graph(spark, d)
+    rows = rt.menu_rows(cond, g.keyword_totals(n), e)
     return rt.top_rows(rows, ["qid"]).select("qid", "rank", "keyword", "count")
 
 
@@ -123,7 +133,8 @@ ch AS (SELECT qid, coalesce(min(rung) FILTER (n >= 3), max(rung)) AS rung FROM s
 SELECT c.qid, rank, keyword, count, relaxed FROM c JOIN rk ON rk.qid = c.qid AND rk.rung = c.rung
 UNION ALL SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY count DESC NULLS LAST, keyword)::INTEGER, keyword, count, concat_ws(',', nullif(relaxed, ''), 'all') FROM c, pop WHERE n = 0""")
 def relaxation_ladder(spark, d):
-    return rt.relaxation_ladder(questions(spark), g.keyword_totals(nodes(spark, d)), edges(spark, d))
+    n, e = graph(spark, d)
+    return rt.relaxation_ladder(questions(spark), cut(g.keyword_totals(n)), e)
 
 
 @query(f"""WITH {GRAPH}, d0 AS (SELECT src, count(DISTINCT dst) AS dates, max((dst = '{YEAR}')::INTEGER) AS here FROM e WHERE rel = 'RECORDED_ON' GROUP BY src)
@@ -139,20 +150,21 @@ n2 AS (SELECT * FROM n1 WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.label =
 SELECT 'node' AS what, label AS kind, count(*) AS n FROM (SELECT DISTINCT label, key FROM n2) GROUP BY label
 UNION ALL SELECT 'edge', rel, count(*) FROM (SELECT DISTINCT src_label, src, rel, dst_label, dst FROM e2) GROUP BY rel""")
 def delete_round(spark, d):
-    n, e = g.delete_round(nodes(spark, d), edges(spark, d), YEAR)
+    n, e = g.delete_round(*graph(spark, d), YEAR)
     return g.node_stats(n).select(F.lit("node").alias("what"), F.col("label").alias("kind"), "n").union(g.edge_stats(e).select(F.lit("edge"), "rel", "n"))
 
 
 @query(f"""WITH {GRAPH}, k AS (SELECT DISTINCT src AS k FROM e WHERE src_label = 'Keyword'), l AS (SELECT DISTINCT src AS k, rel, dst AS v FROM e UNION SELECT dst, rel, src FROM e WHERE rel = 'RELATED')
 SELECT k.k, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_TAG') AS tags, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_CATEGORY') AS categories, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_SEASON') AS seasons,
-string_agg(v, ',' ORDER BY v) FILTER (rel = 'IS_COMBO_WITH') AS combos, string_agg(v, ',' ORDER BY v) FILTER (rel = 'RELATED') AS related FROM k LEFT JOIN l ON l.k = k.k GROUP BY k.k""")
+string_agg(v || '(' || coalesce(held, '') || ')', ',' ORDER BY v || '(' || coalesce(held, '') || ')') FILTER (rel = 'IS_COMBO_WITH') AS combos, string_agg(v, ',' ORDER BY v) FILTER (rel = 'RELATED') AS related, string_agg(v, ',' ORDER BY v) FILTER (rel = 'RECORDED_ON') AS dates FROM k LEFT JOIN l ON l.k = k.k LEFT JOIN (SELECT src AS c, string_agg(DISTINCT dst, '+' ORDER BY dst) AS held FROM e WHERE rel = 'INCLUDES' GROUP BY src) ON rel = 'IS_COMBO_WITH' AND c = v GROUP BY k.k""")
 def neighborhood(spark, d):
     return g.neighbourhood(edges(spark, d))
 
 
 @query(f"WITH {GRAPH} SELECT name, count, latest FROM tot LEFT JOIN (SELECT src, max(dst) AS latest FROM e WHERE rel = 'RECORDED_ON' GROUP BY src) ON src = name ORDER BY latest DESC NULLS LAST, count DESC NULLS LAST, name LIMIT 10")
 def trending(spark, d):
-    return rt.trending(edges(spark, d), g.keyword_totals(nodes(spark, d))).select("name", "count", "latest")
+    n, e = graph(spark, d)
+    return rt.trending(e, g.keyword_totals(n)).select("name", "count", "latest")
 
 
 @query("SELECT doc_id, source FROM documents WHERE text ILIKE '%secret%' OR text ILIKE '%token_=%' ORDER BY doc_id LIMIT 5")
@@ -170,4 +182,123 @@ def edge_expand(spark, d):
 
 @query(f"WITH {GRAPH} SELECT 'Tag' AS label, dst AS value FROM e WHERE dst_label = 'Tag' AND dst <> '' UNION SELECT 'Season', dst FROM e WHERE dst_label = 'Season' UNION SELECT 'Category', dst FROM e WHERE dst_label = 'Category'")
 def vocabulary_lists(spark, d):
-    return edges(spark, d).where("dst_label in ('Tag', 'Season', 'Category') and dst <> ''").select(F.col("dst_label").alias("label"), F.col("dst").alias("value")).distinct()
+    return rt.vocabulary(edges(spark, d))
+
+
+@query(f"WITH {GRAPH} SELECT dst AS date, count(DISTINCT src) AS keywords FROM e WHERE rel = 'RECORDED_ON' GROUP BY dst")
+def keywords_per_round(spark, d):
+    return g.keywords_per_round(edges(spark, d))
+
+
+REACHED = "SELECT i.dst FROM e i JOIN e c ON c.rel = 'IS_COMBO_WITH' AND c.dst = i.src WHERE i.rel = 'INCLUDES'"
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT key FROM n WHERE label = 'Ingredient' AND key NOT IN ({REACHED})")
+def pathless_ingredients(spark, d):
+    return g.pathless(*graph(spark, d))
+
+
+@query(f"""WITH {GRAPH}, i AS (SELECT DISTINCT key FROM n WHERE label = 'Ingredient')
+(SELECT 'absent' AS rel, key AS keyword, 0::BIGINT AS score FROM i ORDER BY key LIMIT 10) UNION ALL
+(SELECT 'INCLUDES', key, count(dst) AS score FROM i LEFT JOIN e ON rel = 'INCLUDES' AND dst = key GROUP BY key ORDER BY score DESC, key LIMIT 10)""")
+def degree_scores(spark, d):
+    """Ingredients scored by a relation that is never written, beside one that is."""
+    n, e = graph(spark, d)
+    of = lambda rel, name: g.degree_scores(n, e, "Ingredient", rel).select(F.lit(name).alias("rel"), "keyword", "score")
+    return of("CONTAINS", "absent").union(of("INCLUDES", "INCLUDES"))
+
+
+@query(f"""WITH {GRAPH}, i AS (SELECT DISTINCT key FROM n WHERE label = 'Ingredient'), s AS (SELECT key, count(dst) AS score FROM i LEFT JOIN e ON rel = 'INCLUDES' AND dst = key GROUP BY key),
+loose AS (SELECT key FROM i WHERE key NOT IN ({REACHED})),
+r AS (SELECT 'turning' AS query, rep, row_number() OVER (PARTITION BY rep ORDER BY score DESC, md5(key || ':' || rep), key) AS rank, key, score FROM s, generate_series(0, 4) t(rep)
+  UNION ALL SELECT 'steady', rep, row_number() OVER (PARTITION BY rep ORDER BY score DESC, key), key, score FROM s, generate_series(0, 4) t(rep)
+  UNION ALL SELECT 'blind', rep, row_number() OVER (PARTITION BY rep ORDER BY key DESC), key, 0 FROM s, generate_series(0, 4) t(rep)),
+l AS (SELECT query, rep, string_agg(key, ',' ORDER BY rank) AS o, string_agg(key, ',' ORDER BY key) AS st FROM r WHERE rank <= 10 GROUP BY ALL)
+SELECT l.query, count(DISTINCT st) AS distinct_sets, count(DISTINCT o) AS distinct_orders, any_value(distinct_scores) AS distinct_scores, any_value(zero) AS all_scores_zero, any_value(loose_in_top) AS orphans_in_top
+FROM l JOIN (SELECT query, count(DISTINCT score) AS distinct_scores, bool_and(score = 0) AS zero, count(*) FILTER (key IN (SELECT key FROM loose)) AS loose_in_top FROM r WHERE rank <= 10 AND rep = 0 GROUP BY query) f ON f.query = l.query GROUP BY l.query""")
+def candidate_stability(spark, d):
+    """Five repeats of three rankings of ingredients: one whose ties turn with the repeat, one with a total order, one without scores."""
+    from pyspark.sql import Window as W
+
+    n, e = graph(spark, d)
+    scored = g.degree_scores(n, e, "Ingredient", "INCLUDES", 1000).select("keyword", "score", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("repeat"))
+    top = lambda name, score, *order: scored.select(F.lit(name).alias("query"), "repeat", "keyword", score.alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("repeat").orderBy(*order))).where("rank <= 10")
+    turning = top("turning", F.col("score"), F.desc("score"), F.md5(F.concat("keyword", F.lit(":"), F.col("repeat").cast("string")).cast("binary")), "keyword")
+    runs = turning.unionByName(top("steady", F.col("score"), F.desc("score"), "keyword")).unionByName(top("blind", F.lit(0).cast("long"), F.desc("keyword")))
+    return ev.stability(runs, g.pathless(n, e).select(F.col("key").alias("keyword")))
+
+
+SIMPLE_SQL = f"""WITH {GRAPH}, {ASKED}, {RUNG_ROWS}, route AS (SELECT qid, qid % 2 = 0 AS ing FROM q)"""
+
+
+@query(f"""{SIMPLE_SQL}, de AS (SELECT DISTINCT rel, src, dst FROM e),
+ig AS (SELECT ingredient AS keyword, row_number() OVER (ORDER BY latest DESC NULLS LAST, freq DESC NULLS LAST, ingredient)::INTEGER AS rank FROM (
+  SELECT i.dst AS ingredient, max(r.dst) AS latest, sum(t.count) AS freq FROM de i JOIN de c ON i.rel = 'INCLUDES' AND c.rel = 'IS_COMBO_WITH' AND c.dst = i.src JOIN tot t ON t.name = c.src LEFT JOIN de r ON r.rel = 'RECORDED_ON' AND r.src = c.src GROUP BY i.dst)),
+rp AS (SELECT keyword, row_number() OVER (ORDER BY count DESC NULLS LAST, keyword)::INTEGER AS rank FROM pop)
+SELECT qid, rank, keyword, FALSE AS stand_in FROM route, ig WHERE ing AND rank <= 10
+UNION ALL SELECT rk.qid, rank, keyword, FALSE FROM rk JOIN route ON route.qid = rk.qid AND NOT ing WHERE rung = 0
+UNION ALL SELECT qid, rank, keyword, TRUE FROM route, rp WHERE NOT ing AND qid NOT IN (SELECT qid FROM rk WHERE rung = 0)""")
+def simple_candidates(spark, d):
+    n, e = graph(spark, d)
+    return rt.simple_candidates(questions(spark).withColumn("use_ingredient", F.col("qid") % 2 == 0), n, e, cut(g.keyword_totals(n)))
+
+
+@query(f"""{SIMPLE_SQL}, byname AS (SELECT key AS keyword, row_number() OVER (ORDER BY key)::INTEGER AS rank FROM (SELECT DISTINCT key FROM n WHERE label = 'Ingredient')),
+rp AS (SELECT keyword, row_number() OVER (ORDER BY count DESC NULLS LAST, keyword)::INTEGER AS rank FROM pop)
+SELECT qid, rank, keyword, TRUE AS stand_in FROM route, byname WHERE ing AND rank <= 10
+UNION ALL SELECT qid, rank, keyword, len(tags) + (season IS NOT NULL)::INTEGER + (category IS NOT NULL)::INTEGER > 0 FROM q, rp WHERE qid % 2 = 1""")
+def simple_candidates_without_edges(spark, d):
+    """Before any combo or tag is loaded, the stand-ins answer."""
+    n, e = graph(spark, d)
+    return rt.simple_candidates(questions(spark).withColumn("use_ingredient", F.col("qid") % 2 == 0), n, e.limit(0), cut(g.keyword_totals(n)))
+
+
+def records(spark, d, brand):
+    """Enriched records of the parts of a brand: category, season or none, tags, combos of two, an example, a related name that may have no record."""
+    p = table(spark, d, "part").where(F.col("p_brand") == brand)
+    name = F.concat(F.lit("p"), "p_partkey")
+    return p.select(
+        name.alias("keyword"), "p_brand", F.col("p_brand").alias("category"), F.array(F.concat(F.lit("  about "), "p_name"), F.lit(" "), F.lit("second"), F.lit("third")).alias("example"), F.when(F.col("p_size") % 2 == 0, F.lit("봄")).alias("season"),
+        F.array("p_type", F.split("p_name", " ")[0]).alias("tag"), F.array(F.struct(F.split("p_name", " ").alias("items"))).alias("combo"), F.array(F.concat(F.lit("p"), F.col("p_partkey") + 1), name, F.lit(" ")).alias("related"), F.col("p_size").cast("long").alias("count"), (F.col("p_size") / 50).alias("importance"),
+    ).drop("p_brand")
+
+
+def built_sql(brand: str, round_id: str) -> tuple[str, str]:
+    r = f"(SELECT 'p' || p_partkey AS k, * FROM part WHERE p_brand = '{brand}')"
+    e = f"""SELECT DISTINCT 'Keyword' AS src_label, k AS src, 'RECORDED_ON' AS rel, 'Date' AS dst_label, '{round_id}' AS dst FROM {r}
+UNION SELECT 'Keyword', k, 'HAS_CATEGORY', 'Category', p_brand FROM {r} UNION SELECT 'Keyword', k, 'HAS_SEASON', 'Season', '봄' FROM {r} WHERE p_size % 2 = 0
+UNION SELECT 'Keyword', k, 'HAS_TAG', 'Tag', p_type FROM {r} UNION SELECT 'Keyword', k, 'HAS_TAG', 'Tag', string_split(p_name, ' ')[1] FROM {r}
+UNION SELECT 'Keyword', k, 'IS_COMBO_WITH', 'Combo', replace(p_name, ' ', '+') FROM {r} UNION SELECT 'Combo', replace(p_name, ' ', '+'), 'INCLUDES', 'Ingredient', unnest(string_split(p_name, ' ')) FROM {r}
+UNION SELECT 'Keyword', k, 'HAS_EXAMPLE', 'Example', unnest(['about ' || p_name, 'second']) FROM {r}
+UNION SELECT 'Keyword', k, 'RELATED', 'Keyword', 'p' || (p_partkey + 1) FROM {r} UNION SELECT 'Keyword', 'p' || (p_partkey + 1), 'RECORDED_ON', 'Date', '{round_id}' FROM {r}"""
+    return r, e
+
+
+R1, E1 = built_sql("Brand#1", "r1")
+R2, E2 = built_sql("Brand#2", "r2")
+
+
+def two_rounds(spark, d):
+    """Two rounds, the second loaded twice."""
+    (n1, e1), (n2, e2) = g.build(records(spark, d, "Brand#1"), "r1"), g.build(records(spark, d, "Brand#2"), "r2")
+    n, e = g.upsert(n1, n2, "r2"), g.upsert(e1, e2, "r2")
+    return cut(g.upsert(n, n2, "r2")), cut(g.upsert(e, e2, "r2"))
+
+
+@query(f"SELECT src_label, src, rel, dst_label, dst, 'r1' AS round FROM ({E1}) UNION ALL SELECT src_label, src, rel, dst_label, dst, 'r2' FROM ({E2})")
+def built_edges(spark, d):
+    return two_rounds(spark, d)[1]
+
+
+@query(f"""WITH e AS (SELECT *, 'r1' AS round FROM ({E1}) UNION ALL SELECT *, 'r2' FROM ({E2})), c AS (SELECT k, 'r1' AS round, p_size AS count FROM {R1} UNION ALL SELECT k, 'r2', p_size FROM {R2}),
+n AS (SELECT src_label AS label, src AS key, round FROM e UNION SELECT dst_label, dst, round FROM e)
+SELECT label, key, n.round, CASE WHEN label = 'Keyword' THEN coalesce(count, 0) END::BIGINT AS count, CASE WHEN label = 'Keyword' THEN round(count / 50, 6) END AS importance FROM n LEFT JOIN c ON label = 'Keyword' AND c.k = key AND c.round = n.round""")
+def built_nodes(spark, d):
+    """Keywords with the round's count; related names without a record are stubs of count 0."""
+    return two_rounds(spark, d)[0].withColumn("importance", F.round("importance", 6))
+
+
+@query(f"""WITH c AS (SELECT k, 'r1' AS round, p_size AS count FROM {R1} UNION ALL SELECT k, 'r2', p_size FROM {R2} UNION ALL SELECT 'p' || (p_partkey + 1), NULL, 0 FROM {R1} UNION ALL SELECT 'p' || (p_partkey + 1), NULL, 0 FROM {R2})
+SELECT k AS name, sum(count)::BIGINT AS count, round(arg_max(count, round) / 50, 6) AS importance FROM c GROUP BY k""")
+def keyword_totals(spark, d):
+    return g.keyword_totals(two_rounds(spark, d)[0]).withColumn("importance", F.round("importance", 6))
