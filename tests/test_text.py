@@ -1,3 +1,7 @@
+import hashlib
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from trendloom.functions import grounding as gr
@@ -7,6 +11,7 @@ from trendloom.operators import compare as cp
 from trendloom.operators import graph as g
 from trendloom.operators import keywords as kw
 from trendloom.operators import menujoin as mj
+from trendloom.operators import phrases as ph
 from trendloom.operators import retrieve as rt
 from trendloom.schemas import adapt_enriched
 
@@ -53,8 +58,25 @@ def test_wilson_and_percentiles(spark):
     low, high = st.wilson(F.col("k"), F.col("n"))
     rows = spark.createDataFrame([(50, 100), (0, 10), (0, 0)], "k int, n int").select(low, high).collect()
     assert 0.39 < rows[0][0] < 0.41 and 0.27 < rows[1][1] < 0.28 and tuple(rows[2]) == (0.0, 0.0)
-    x = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, 100.0)], "v double")
-    assert tuple(x.agg(st.nearest_rank(F.col("v"), 0.95), st.rounded_index(F.col("v"), 0.5), st.upper_median(F.col("v")), st.low_index(F.col("v"), 0.95)).first()) == (100.0, 3.0, 3.0, 4.0)
+    low, high = st.wilson_or_null(F.col("k"), F.col("n"))
+    assert [tuple(r) for r in spark.createDataFrame([(50, 100), (0, 0)], "k int, n int").select(low, high).collect()] == [(0.4038, 0.5962), (None, None)]
+    x = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, 100.0, None)], "v double")
+    n = F.col("n")
+    places = {"a": st.nearest_rank(n, 0.95), "b": st.rounded_index(n, 0.5), "c": st.upper_median(n), "d": st.low_index(n, 0.95)}
+    assert tuple(cp.order_statistics(x, [], "v", places).first()) == (5, 100.0, 3.0, 3.0, 4.0)
+    assert tuple(cp.order_statistics(x.limit(0), [], "v", places).first()) == (None,) * 5
+
+
+def test_order_statistics_of_a_hot_group(spark):
+    rnd = random.Random(6)
+    rows = [("hot" if rnd.random() < 0.9 else None if i % 2 else f"k{i % 5}", rnd.choice([7.0, rnd.random() * 100])) for i in range(5000)]
+    n = F.col("n")
+    got = cp.order_statistics(spark.createDataFrame(rows, "k string, v double").repartition(8), ["k"], "v", {"low": F.lit(1), "mid": st.upper_median(n), "p95": st.nearest_rank(n, 0.95), "top": n}).collect()
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    want = {k: (len(v), v[0], v[len(v) // 2], v[math.ceil(0.95 * len(v)) - 1], v[-1]) for k, v in ((k, sorted(v)) for k, v in by.items())}
+    assert {r["k"]: tuple(r)[1:] for r in got} == want
 
 
 def test_salted_rollup_ignores_null_prices(spark):
@@ -63,6 +85,61 @@ def test_salted_rollup_ignores_null_prices(spark):
     assert plain == salted and plain[0]["avg_price"] == 10.0
 
 
+def test_salted_rollup_of_a_hot_key(spark):
+    rnd = random.Random(9)
+    rows = [("hot" if rnd.random() < 0.8 else f"k{i % 7}", rnd.choice([None, f"c{rnd.randrange(400)}"]), rnd.choice([None, "a", "b"]), rnd.choice([None, 2.0, 4.0]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, cafe_id string, gu string, price double, id int")
+    assert sorted(mj.rollup(df).collect()) == sorted(mj.salted_rollup(df, mj.hot_keys(df, 2), F.col("id"), 8).collect())
+
+
+def test_strategies(spark):
+    a, b = spark.range(100).select(F.col("id").alias("key")), spark.range(5).select(F.col("id").alias("key"))
+    assert "SortMergeJoin" in mj.join_strategy(mj.joined(a, b, "merge")) and "BroadcastHashJoin" in mj.join_strategy(mj.joined(a, b, "broadcast"))
+    assert [tuple(r) for r in mj.partition_sizes(a.repartition(3), 3).orderBy("part").select(F.sum("rows"), F.count("*")).collect()] == [(100, 3)]
+
+
+def brute_asof(left, right, key):
+    return sorted((i, *min(((t, v) for k, t, v in right if t is not None and t >= at and k == k2 and k is not None), default=(None, None))) if at is not None else (i, None, None) for i, k2, at in left) if key else None
+
+
+def test_asof_on_a_hot_key(spark):
+    rnd = random.Random(3)
+    left = [(i, "hot" if rnd.random() < 0.9 else rnd.choice(["x", None]), rnd.choice([None, *range(200)])) for i in range(800)]
+    right = [("hot" if rnd.random() < 0.9 else rnd.choice(["x", None]), rnd.choice([None, rnd.randrange(180)]), rnd.randrange(50)) for _ in range(150)]
+    l_rows = spark.createDataFrame(left, "i int, k string, at int").withColumn("_t", F.lit("kept")).repartition(6)
+    r_rows = spark.createDataFrame(right, "k string, t int, v int").repartition(6)
+    got = cp.asof_forward(l_rows, r_rows, "at", "t", "v", ["k"])
+    assert got.columns == ["i", "k", "at", "_t", "match_time", "match_value"]
+    assert sorted((r["i"], r["match_time"], r["match_value"]) for r in got.collect()) == brute_asof(left, right, True)
+    free = cp.asof_forward(l_rows.where("at is not null"), r_rows, "at", "t", "v").collect()
+    pairs = [(t, v) for _, t, v in right if t is not None]
+    assert all((r["match_time"], r["match_value"]) == min((p for p in pairs if p[0] >= r["at"]), default=(None, None)) for r in free)
+
+
+def test_digest(spark):
+    rows = spark.createDataFrame([("g", "b", ["x", "y"]), ("g", "a", ["z"]), (None, "c", []), ("h", "c", ["w"])], "g string, id string, words array<string>")
+    sha = lambda *lines: hashlib.sha256("".join(f"{i}{chr(31).join(w)}{chr(30)}" for i, w in lines).encode()).hexdigest()[:16]
+    got = {r["g"]: r["digest"] for r in cp.content_digest(rows, "id", "words", ["g"]).collect()}
+    assert got == {"g": sha(("a", ["z"]), ("b", ["x", "y"])), None: sha(("c", [])), "h": sha(("c", ["w"]))}
+    assert cp.content_digest(rows.where("g = 'h'"), "id", "words").collect()[0]["digest"] == got["h"]
+    assert cp.content_digest(rows.limit(0), "id", "words", ["g"]).count() == 0
+
+
+def test_substrings(spark):
+    base = ["딸기", "라떼 크", "of the long road", "a b c", "", "x", "딸기"]
+    texts = ["딸기 라떼 크림", "end of the long road", "end of the long  road", "a b c", "za b cz", None, "", "xx", "딸기 라떼 크림"]
+    new = spark.createDataFrame(list(enumerate(texts)), "i int, keyword string")
+    got = {r["i"]: (r["new_count"], r["matched_parts"]) for r in ph.substring_matches(new, spark.createDataFrame([(b, 10**k) for k, b in enumerate(base)], "keyword string, count long")).collect()}
+    want = {i: (sum(10**k for k, b in enumerate(base) if b and t and b in t), sorted(b for b in base if b and t and b in t)) for i, t in enumerate(texts)}
+    assert got == want
+
+
+def test_morphology_hook(spark):
+    analyzer = lambda c: F.when(c.contains("beta"), F.array(F.lit("noun"), F.lit("other")))
+    rows = spark.createDataFrame([("alpha beta",), ("alpha gamma",)], "s string")
+    assert [r[0] for r in rows.select(tx.normal_key(F.col("s"), analyzer=analyzer)).collect()] == ["noun other", "alpha gamma"]
+
+
 def record(k, tag, combo, count, category="c", season="봄", related=()):
     return (k, category, [], season, list(tag), [(list(x),) for x in combo], list(related), count, 0.5)
 
@@ -108,6 +185,12 @@ def test_duplicates_by_tag_and_distinct(spark):
     assert rt.menu_rows(cond, g.keyword_totals(nodes), edges, True).count() == 1
 
 
+def test_reset(spark):
+    nodes, edges = graph_of(spark, {"r": [record("k", ["t"], [], 1)]})
+    n, empty = g.reset(edges)
+    assert n == edges.count() > 0 and empty.count() == 0 and empty.columns == edges.columns
+
+
 def test_compare_runs(spark):
     a = spark.createDataFrame([(1, ["x", "y"]), (2, ["x", "y"]), (3, ["x"]), (4, ["z"])], "id int, keywords array<string>")
     b = spark.createDataFrame([(1, ["x", "y"]), (2, ["y", "x"]), (3, ["q"]), (5, ["z"])], "id int, keywords array<string>")
