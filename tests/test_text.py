@@ -98,6 +98,15 @@ def test_strategies(spark):
     assert [tuple(r) for r in mj.partition_sizes(a.repartition(3), 3).orderBy("part").select(F.sum("rows"), F.count("*")).collect()] == [(100, 3)]
 
 
+def test_measured_runs(spark):
+    menus = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), F.col("id").alias("cafe_id"), (F.col("id") % 3).alias("gu"), F.lit(1.0).alias("price"), "id")
+    words = menus.select("key").distinct()
+    runs = {s: mj.measured(menus, words, F.col("id"), s, repeat=2, partitions=8, buckets=8, hot=1) for s in ("merge", "broadcast", "salted")}
+    assert all(len(r) == 2 and r[0]["rows"] == 2000 and r[0]["keys"] == 26 for r in runs.values())
+    assert runs["merge"][0]["join"] == "SortMergeJoin" and runs["broadcast"][0]["join"] == "BroadcastHashJoin" and runs["salted"][0]["hot_keys"] == ["hot"]
+    assert runs["salted"][0]["skew"]["max_rows"] < runs["merge"][0]["skew"]["max_rows"]
+
+
 def brute_asof(left, right, key):
     return sorted((i, *min(((t, v) for k, t, v in right if t is not None and t >= at and k == k2 and k is not None), default=(None, None))) if at is not None else (i, None, None) for i, k2, at in left) if key else None
 

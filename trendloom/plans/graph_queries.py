@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as ev
 from ..operators import graph as g
 from ..operators import retrieve as rt
+from ..operators import tools
 from ..session import cut
 from .text_queries import query, table
 
@@ -302,3 +303,56 @@ def built_nodes(spark, d):
 SELECT k AS name, sum(count)::BIGINT AS count, round(arg_max(count, round) / 50, 6) AS importance FROM c GROUP BY k""")
 def keyword_totals(spark, d):
     return g.keyword_totals(two_rounds(spark, d)[0]).withColumn("importance", F.round("importance", 6))
+
+
+#: (qid, question, use_ingredient, tags, season, category): conditions given in part, unknown ones, and questions for the rules.
+TOOL_QUESTIONS = [
+    (1, "any", None, ["BOGUS", "ECONOMY", "other"], "z1", None), (2, "새 재료", None, None, None, None), (3, "x", False, None, "zz", "Brand#2"), (4, "신메뉴", None, None, None, None),
+    (5, "plain", True, None, None, None), (6, "재료", False, ["PROMO", "SMALL"], None, "Brand#3"), (7, "", None, ["none"], None, "Brand#999"),
+]
+
+
+def tool_questions(spark):
+    return spark.createDataFrame(TOOL_QUESTIONS, "qid int, question string, use_ingredient boolean, tags array<string>, season string, category string")
+
+
+_list = lambda xs: "NULL::VARCHAR[]" if xs is None else f"[{', '.join(map(_lit, xs))}]"
+TOOL_SQL = f"""raw AS (SELECT * FROM (VALUES {', '.join(f"({q}, {_lit(t)}, {'NULL' if u is None else u}::BOOLEAN, {_list(tags)}, {_lit(s)}, {_lit(c)})" for q, t, u, tags, s, c in TOOL_QUESTIONS)}) v(qid, question, ui, tags, season, category)),
+voc AS (SELECT (SELECT list(DISTINCT dst) FROM e WHERE rel = 'HAS_TAG') AS vt, (SELECT list(DISTINCT dst) FROM e WHERE rel = 'HAS_SEASON') AS vs, (SELECT list(DISTINCT dst) FROM e WHERE rel = 'HAS_CATEGORY') AS vc),
+b AS (SELECT *, ui IS NOT NULL OR tags IS NOT NULL OR season IS NOT NULL OR category IS NOT NULL AS given, coalesce(tags, []) AS tg FROM raw, voc),
+c AS (SELECT qid, CASE WHEN coalesce(ui, contains(question, '재료')) THEN 'ingredient' ELSE 'menu' END AS path, CASE WHEN given THEN 'agent' ELSE 'rule' END AS source,
+  concat_ws(',', nullif(array_to_string(list_filter(tg, lambda t: NOT list_contains(vt, t)), ','), ''), CASE WHEN NOT list_contains(vs, season) THEN season END, CASE WHEN NOT list_contains(vc, category) THEN category END) AS unknown,
+  CASE WHEN given THEN list_filter(tg, lambda t: list_contains(vt, t)) ELSE []::VARCHAR[] END AS tags, CASE WHEN given AND list_contains(vs, season) THEN season END AS season,
+  CASE WHEN given THEN CASE WHEN list_contains(vc, category) THEN category END WHEN contains(question, '신메뉴') THEN '디저트' END AS category FROM b),
+q AS (SELECT qid, tags, season, category FROM c WHERE path = 'menu')"""
+
+
+@query(f"""WITH {GRAPH}, {TOOL_SQL}, {RUNG_ROWS}, sz AS (SELECT st.qid, st.rung, st.relaxed, count(rk.keyword) AS n FROM st LEFT JOIN rk ON rk.qid = st.qid AND rk.rung = st.rung GROUP BY ALL),
+ch AS (SELECT qid, coalesce(min(rung) FILTER (n >= 3), max(rung)) AS rung FROM sz GROUP BY qid), cc AS (SELECT sz.* FROM sz JOIN ch ON sz.qid = ch.qid AND sz.rung = ch.rung),
+de AS (SELECT DISTINCT rel, src, dst FROM e),
+ig AS (SELECT ingredient AS keyword, row_number() OVER (ORDER BY latest DESC NULLS LAST, freq DESC NULLS LAST, ingredient)::INTEGER AS rank FROM (
+  SELECT i.dst AS ingredient, max(r.dst) AS latest, sum(t.count) AS freq FROM de i JOIN de c2 ON i.rel = 'INCLUDES' AND c2.rel = 'IS_COMBO_WITH' AND c2.dst = i.src JOIN tot t ON t.name = c2.src LEFT JOIN de r ON r.rel = 'RECORDED_ON' AND r.src = c2.src GROUP BY i.dst)),
+got AS (SELECT cc.qid, cc.relaxed, rank, keyword FROM cc JOIN rk ON rk.qid = cc.qid AND rk.rung = cc.rung
+  UNION ALL SELECT qid, concat_ws(',', nullif(relaxed, ''), 'all'), row_number() OVER (PARTITION BY qid ORDER BY count DESC NULLS LAST, keyword)::INTEGER, keyword FROM cc, pop WHERE n = 0
+  UNION ALL SELECT qid, '', rank, keyword FROM c, ig WHERE path = 'ingredient' AND rank <= 10)
+SELECT c.qid, path, source, unknown, relaxed, rank, keyword FROM c JOIN got ON got.qid = c.qid""")
+def tool_candidates(spark, d):
+    n, e = graph(spark, d)
+    return tools.find_candidates(tool_questions(spark), n, e)
+
+
+@query(f"""WITH {GRAPH}, a AS (SELECT * FROM (VALUES ('p1'), ('p10'), ('p1000010'), ('absent')) v(k))
+SELECT k, name IS NOT NULL AS found, count, (SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM e WHERE rel = 'HAS_TAG' AND src = k) AS tags,
+(SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT dst AS v FROM e WHERE rel = 'RELATED' AND src = k UNION SELECT src FROM e WHERE rel = 'RELATED' AND dst = k AND k IN (SELECT src FROM e WHERE src_label = 'Keyword'))) AS related,
+(SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM e WHERE rel = 'RECORDED_ON' AND src = k) AS dates FROM a LEFT JOIN tot ON name = k""")
+def tool_neighbours(spark, d):
+    n, e = graph(spark, d)
+    asked = spark.createDataFrame([("p1",), ("p10",), ("p1000010",), ("absent",)], "k string")
+    return tools.keyword_neighbours(asked, n, e).select("k", "found", "count", "tags", "related", "dates")
+
+
+@query(f"""WITH {GRAPH}, k AS (SELECT DISTINCT src_label, src, rel, dst_label, dst FROM e WHERE src <> '' AND dst <> '' ORDER BY ALL LIMIT 600)
+SELECT 'edge' AS what, rel AS kind, src || ' ' || dst AS id FROM k UNION ALL SELECT DISTINCT 'node', src_label, src FROM k UNION SELECT 'node', dst_label, dst FROM k""")
+def tool_whole_graph(spark, d):
+    ends, kept = tools.whole_graph(edges(spark, d))
+    return kept.select(F.lit("edge").alias("what"), F.col("label").alias("kind"), F.concat_ws(" ", "source", "target").alias("id")).union(ends.select(F.lit("node"), "type", "id"))
