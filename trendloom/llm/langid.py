@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 1 << 13
-PER_LANGUAGE = 400
+PER_LANGUAGE = 600
 UNDETERMINED = "und"
 
 
@@ -86,7 +86,7 @@ class Model:
     trust: np.ndarray
 
 
-def fit(x: np.ndarray, langs: list[str], steps: int = 120, rate: float = 6.0, decay: float = 1e-5) -> Model:
+def fit(x: np.ndarray, langs: list[str], steps: int = 400, rate: float = 6.0, decay: float = 1e-5) -> Model:
     """Fit one logistic classifier for each bit on rows of features by full-batch gradient steps with momentum."""
     languages = sorted(set(langs))
     words = codewords(len(languages))
@@ -99,21 +99,26 @@ def fit(x: np.ndarray, langs: list[str], steps: int = 120, rate: float = 6.0, de
     share = np.array([1 / sizes[lang] for lang in langs], dtype=np.float32)
     pull = (share / share.sum())[:, None]
 
-    def descend(x: np.ndarray, y: np.ndarray, pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w, b = np.zeros((DIMS, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    # Weights are sums of rows, so few rows are fitted by their coefficients and the rows' products, which takes fewer steps of arithmetic and gives the same weights.
+    products = x @ x.T if len(x) < DIMS else None
+
+    def descend(some: np.ndarray, pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, right = x[some], y[some]
+        left, basis = (products[np.ix_(some, some)], None) if products is not None else (rows, rows.T)
+        w, b = np.zeros((left.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
         vw, vb = np.zeros_like(w), np.zeros_like(b)
         for _ in range(steps):
-            g = -y * pull / (1 + np.exp(y * (x @ w + b)))
-            vw, vb = 0.9 * vw + x.T @ g + decay * w, 0.9 * vb + g.sum(0)
+            g = -right * pull / (1 + np.exp(right * (left @ w + b)))
+            vw, vb = 0.9 * vw + (g if basis is None else basis @ g) + decay * w, 0.9 * vb + g.sum(0)
             w, b = w - rate * vw, b - rate * vb
-        return w, b
+        return (rows.T @ w if basis is None else w), b
 
-    trust = np.ones(words.shape[1], np.float32)
+    trust, all_rows = np.ones(words.shape[1], np.float32), np.arange(len(x))
     if held.sum() >= 20:
-        w, b = descend(x[~held], y[~held], pull[~held] / pull[~held].sum())
+        w, b = descend(all_rows[~held], pull[~held] / pull[~held].sum())
         right = ((x[held] @ w + b) * y[held] > 0).mean(0)
         trust = np.maximum(2 * right - 1, 0.05).astype(np.float32)
-    w, b = descend(x, y, pull)
+    w, b = descend(all_rows, pull)
     return Model(languages, words, w, b, trust)
 
 
