@@ -187,6 +187,10 @@ def test_ladder_relaxes_and_never_comes_empty(spark):
     assert all(sum(r["qid"] == q for r in rows) == 5 for q in (1, 2, 3))
 
 
+def test_clamp():
+    assert [rt.clamp(n) for n in (-3, 0, 7, 50, 900)] == [1, 1, 7, 50, 50]
+
+
 def test_duplicates_by_tag_and_distinct(spark):
     nodes, edges = graph_of(spark, {"r": [record("k", ["t", "u"], [], 1)]})
     cond = spark.createDataFrame([(1, 0, ["t", "u"], None, None)], "qid int, rung int, tags array<string>, season string, category string")
