@@ -153,7 +153,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     while share:
         bounds = docs.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + s * 2**64))) for lang, s in share.items()], "lang string, most long")
         # Equal rows have one hash, and one of them is learned.
-        near = vectors(labelled.join(bounds, "lang").where("h <= most")).groupBy("lang", "h").agg(F.first("counts").alias("counts"))
+        # The bounds are a list that the driver has just made, so a broadcast is no larger; a join by language would send all texts of one to a task.
+        near = vectors(labelled.join(F.broadcast(bounds), "lang").where("h <= most")).groupBy("lang", "h").agg(F.first("counts").alias("counts"))
         got: dict[str, dict[int, bytes]] = {lang: {} for lang in share}
         for r in near.collect():
             got[r["lang"]][r["h"]] = r["counts"]
