@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,43 +34,54 @@ def strip_fence(text: Column) -> Column:
     return F.when(bare.startswith("```"), F.regexp_replace(body, r"(?s)```(?!.*```).*\z", "")).otherwise(text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parsed(text: Column) -> Column:
     """VARIANT of the text without its fence; null if it isn't JSON."""
     return F.try_parse_json(strip_fence(text))
 
 
-def names_of(text: Column) -> Column:
-    """The items' names: array<string>, null elements where an item has none; null if the text isn't a list."""
-    v = parsed(text)
+def named(v: Column) -> Column:
+    """The names of a parsed answer's items: array<string>, null elements where an item has none; null if it isn't a list."""
     items = F.try_variant_get(v, "$", "array<variant>")
     return F.transform(items, lambda i: F.when(F.schema_of_variant(i).startswith("OBJECT"), F.nullif(F.try_variant_get(i, "$.name", "string"), F.lit(""))))
 
 
+def names_of(text: Column) -> Column:
+    return let(parsed(text), named)
+
+
+def read(text: Column) -> Column:
+    """struct<kind, names> of an answer, parsed once; kind is null if it isn't JSON."""
+    return let(parsed(text), lambda v: F.struct(F.schema_of_variant(v).alias("kind"), named(v).alias("names")))
+
+
+def no_list(p: Column) -> Column:
+    return ~p["kind"].startswith("ARRAY") | (F.coalesce(F.size(p["names"]), F.lit(0)) <= 0)
+
+
+def nameless(p: Column) -> Column:
+    return F.exists(p["names"], lambda n: n.isNull())
+
+
 def validation(text: Column, candidates: Column) -> Column:
     """'ok' or the first reason: json_parse_error, not_a_list, missing_name_field, ungrounded:<three names at most>."""
-    v, names = parsed(text), names_of(text)
-    kind = F.schema_of_variant(v)
-    loose = F.filter(names, lambda n: ~grounded(n, candidates))
-    return (
-        F.when(v.isNull(), F.lit("json_parse_error"))
-        .when(~kind.startswith("ARRAY") | (F.coalesce(F.size(names), F.lit(0)) <= 0), F.lit("not_a_list"))
-        .when(F.exists(names, lambda n: n.isNull()), F.lit("missing_name_field"))
-        .when(F.size(loose) > 0, F.concat(F.lit("ungrounded:"), F.array_join(F.slice(loose, 1, 3), ",")))
-        .otherwise(F.lit("ok"))
-    )
+
+    def reason(p: Column) -> Column:
+        loose = let(F.filter(p["names"], lambda n: ~grounded(n, candidates)), lambda xs: F.when(F.size(xs) > 0, F.concat(F.lit("ungrounded:"), F.array_join(F.slice(xs, 1, 3), ","))).otherwise("ok"))
+        return F.when(p["kind"].isNull(), F.lit("json_parse_error")).when(no_list(p), F.lit("not_a_list")).when(nameless(p), F.lit("missing_name_field")).otherwise(loose)
+
+    return let(read(text), reason)
 
 
 def skip_reason(text: Column, candidates: Column) -> Column:
     """Why an answer isn't counted: absent, prose, not_list, item_without_name, no_candidates; 'ok' if it is."""
-    v, names = parsed(text), names_of(text)
-    return (
-        F.when(text.isNull(), F.lit("absent"))
-        .when(v.isNull(), F.lit("prose"))
-        .when(~F.schema_of_variant(v).startswith("ARRAY") | (F.coalesce(F.size(names), F.lit(0)) <= 0), F.lit("not_list"))
-        .when(F.exists(names, lambda n: n.isNull()), F.lit("item_without_name"))
-        .when(F.coalesce(F.size(candidates), F.lit(0)) <= 0, F.lit("no_candidates"))
-        .otherwise(F.lit("ok"))
-    )
+    none = F.coalesce(F.size(candidates), F.lit(0)) <= 0
+    why = lambda p: F.when(p["kind"].isNull(), F.lit("prose")).when(no_list(p), F.lit("not_list")).when(nameless(p), F.lit("item_without_name")).when(none, F.lit("no_candidates")).otherwise(F.lit("ok"))
+    return F.when(text.isNull(), F.lit("absent")).otherwise(let(read(text), why))
 
 
 def answer_items(answer: Column) -> Column:

@@ -24,17 +24,18 @@ SHAPES = (
 def answers(spark, d):
     """(conv_id, turn, route, arm, answer, cands) of each assistant turn."""
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != "")
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", words.alias("w"))
-    word = lambda i: F.coalesce(F.get("w", F.lit(i - 1)), F.lit("none"))
-    made = []
-    for shape in SHAPES:
-        text = F.lit(shape)
+
+    def made(w):
+        word = lambda i: F.coalesce(F.get(w, F.lit(i - 1)), F.lit("none"))
+        text = F.element_at(F.array(*map(F.lit, SHAPES)), ((7 * F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int")).cast("string")
         for i in (1, 2, 3, 4):
             text = F.replace(text, F.lit(f"%{i}"), word(i))
-        made.append(text.cast("string"))
-    shape = F.element_at(F.array(*made), ((7 * F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int"))
-    cands = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.upper(word(1)), word(3), F.concat(word(4), F.lit(" ")), F.lit("")))
-    return rows.select("conv_id", "turn", F.when(F.col("turn") % 4 == 1, "menu").otherwise("ingredient").alias("route"), F.when(F.col("conv_id") % 2 == 0, "a").otherwise("b").alias("arm"), shape.alias("answer"), cands.alias("cands"))
+        cands = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.upper(word(1)), word(3), F.concat(word(4), F.lit(" ")), F.lit("")))
+        return F.struct(text.alias("answer"), cands.alias("cands"))
+
+    # Exploded from an array of one, so that the words are found once and not by each expression that reads an answer.
+    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(F.array(gr.let(words, made))).alias("m"))
+    return rows.select("conv_id", "turn", F.when(F.col("turn") % 4 == 1, "menu").otherwise("ingredient").alias("route"), F.when(F.col("conv_id") % 2 == 0, "a").otherwise("b").alias("arm"), "m.answer", "m.cands")
 
 
 _sql = lambda s: "NULL" if s is None else "replace(replace(replace(replace('" + s.replace("\n", "' || chr(10) || '") + "', '%1', c1), '%2', c2), '%3', c3), '%4', c4)"
