@@ -135,8 +135,8 @@ def test_digest(spark):
 
 
 def test_substrings(spark):
-    base = ["딸기", "라떼 크", "of the long road", "a b c", "", "x", "딸기"]
-    texts = ["딸기 라떼 크림", "end of the long road", "end of the long  road", "a b c", "za b cz", None, "", "xx", "딸기 라떼 크림"]
+    base = ["딸기", "라떼 크", "of the long road", "a b c", "", "x", "딸기", "g  r", " ", "떼 ", " c"]
+    texts = ["end  ", "long  road", "long   road", "딸기 라떼 크림", "end of the long road", "end of the long  road", "a b c", "za b cz", None, "", "xx", "딸기 라떼 크림"]
     new = spark.createDataFrame(list(enumerate(texts)), "i int, keyword string")
     got = {r["i"]: (r["new_count"], r["matched_parts"]) for r in ph.substring_matches(new, spark.createDataFrame([(b, 10**k) for k, b in enumerate(base)], "keyword string, count long")).collect()}
     want = {i: (sum(10**k for k, b in enumerate(base) if b and t and b in t), sorted(b for b in base if b and t and b in t)) for i, t in enumerate(texts)}

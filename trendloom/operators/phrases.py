@@ -33,27 +33,30 @@ def whitelist(picks: DataFrame, weights: DataFrame) -> DataFrame:
 def substring_matches(new: DataFrame, base: DataFrame) -> DataFrame:
     """new(keyword, ...) + new_count and matched_parts of the base(keyword, count) keywords contained in each; a null keyword contains none, and the empty one is in none.
 
-    Both sides meet by equality, never pair by pair. A base keyword with a word between two
-    blanks can only be in texts that have that word (or word pair) between blanks too, so texts are
-    looked up by their words; others are looked up by the substrings of their own
-    lengths. What meets is then compared. Texts are named by a digest, so copies are looked up once.
+    Both sides meet by equality, never pair by pair. A base keyword of three words or more can only be in texts that
+    have its inner words (an inner pair of neighbours, where there is one) between blanks too, so texts are looked up by their words and pairs of words; one of one word, or
+    two, lies within a word, or a pair, and is looked up among the substrings of the distinct words, or pairs, of all texts.
+    What meets is then compared. Texts are named by a digest, so copies are looked up once.
     """
     texts = new.select("keyword", F.md5(F.col("keyword").cast("binary")).alias("_k")).where("keyword is not null")
-    b = base.where("keyword is not null").groupBy(F.col("keyword").alias("part")).agg(F.sum("count").alias("count"), F.count("*").cast("int").alias("times"))
+    split = texts.select("_k", F.split("keyword", " ").alias("w"))
+    sets = cut(split.select("_k", F.array_union("w", ngrams(F.col("w"), 2)).alias("tokens")))
+    tokens = sets.select("_k", F.explode("tokens").alias("token"))
+    b = base.where("keyword <> ''").groupBy(F.col("keyword").alias("part")).agg(F.sum("count").alias("count"), F.count("*").cast("int").alias("times"))
     words = F.split("part", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = lambda xs: F.array_max(F.transform(F.filter(xs, lambda x: F.trim(x) != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    b = cut(b.withColumn("anchor", F.coalesce(longest(ngrams(inner, 2)), longest(inner))))
-    split = texts.select("_k", F.split("keyword", " ").alias("w"))
-    tokens = split.select("_k", F.explode(F.array_union("w", ngrams(F.col("w"), 2))).alias("anchor"))
-    met = tokens.join(b.where("anchor is not null").select("anchor", "part"), "anchor").select("_k", "part")
-    short = b.where("anchor is null and part <> ''")
-    # At most as many lengths as the longest keyword of two words has characters.
-    lengths = sorted(r[0] for r in short.select(F.length("part")).distinct().collect())
-    if lengths:
-        letters = texts.select("_k", F.filter(F.split("keyword", ""), lambda c: c != "").alias("c"))
-        run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("c", i, F.lit(n)), ""))
-        met = met.union(letters.select("_k", F.explode(F.array_distinct(F.concat(*map(run, lengths)))).alias("part")).join(short.select("part"), "part").select("_k", "part"))
+    longest = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    b = cut(b.withColumns({"words": F.size(words), "token": F.coalesce(longest(ngrams(inner, 2)), longest(inner))}))
+    met = tokens.join(b.where("words > 2").select("token", "part"), "token").select("_k", "part")
+    for n in (1, 2):
+        short = b.where(F.col("words") == n).select("part")
+        # At most as many lengths as the longest of these keywords has characters.
+        lengths = sorted(r[0] for r in short.select(F.length("part")).distinct().collect())
+        if lengths:
+            letters = tokens.select("token").where(F.size(F.split("token", " ")) == n).distinct().select("token", F.filter(F.split("token", ""), lambda c: c != "").alias("c"))
+            run = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - size + 1, F.lit(1))), lambda i: F.array_join(F.slice("c", i, F.lit(size)), ""))
+            within = letters.select("token", F.explode(F.array_distinct(F.concat(*map(run, lengths)))).alias("part")).join(short, "part")
+            met = met.union(tokens.join(within, "token").select("_k", "part"))
     met = met.distinct().join(b.select("part", "count", "times"), "part").join(texts, "_k").where(F.contains("keyword", "part")).select("_k", "part", "count", "times").distinct()
     found = met.groupBy("_k").agg(F.sum("count").alias("_n"), F.array_sort(F.flatten(F.collect_list(F.array_repeat("part", F.col("times"))))).alias("_parts"))
     out = new.withColumn("_k", F.md5(F.col("keyword").cast("binary"))).join(found, "_k", "left")
