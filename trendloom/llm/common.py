@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 import tempfile
 import uuid
@@ -23,11 +24,15 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that their Python workers can import it."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
-        root = Path(__file__).resolve().parents[1]
-        path = f"{tempfile.mkdtemp(prefix='trendloom-')}/{root.name}.zip"  # executors fetch it from the driver later
-        with zipfile.ZipFile(path, "w") as z:
+        root, archive = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(archive, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
+        path = f"{fresh_path(spark, 'code')}/{root.name}.zip"
+        target = hadoop_path(spark, path)
+        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+        out.write(archive.getvalue())
+        out.close()
         spark.sparkContext.addPyFile(path)
         # Texts are long: batches of the default number of rows would take too much of a worker's memory.
         if spark.conf.get(ARROW_ROWS) == "10000":
@@ -66,9 +71,12 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_trendloom_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            target = hadoop_path(df.sparkSession, path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def size_hint(df: DataFrame) -> int:

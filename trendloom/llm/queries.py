@@ -66,8 +66,8 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.dedup(table(spark, sf_dir, "documents"), length=400)
-    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may part a character
-    return found.select("doc_id", "n_bytes", suffixes.removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), text.alias("text"))
+    rows = found.select("doc_id", "n_bytes", suffixes.removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))  # a cut may part a character, which is then shown as U+FFFD
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
