@@ -114,6 +114,21 @@ def round_split(edges: DataFrame, round_id: str) -> DataFrame:
     return dates.where("here = 1").select(F.col("src").alias("keyword"), F.when(F.col("dates") == 1, "only_here").otherwise("shared").alias("kind"))
 
 
+def delete_plan(edges: DataFrame, round_id: str) -> DataFrame:
+    """One row, before anything is deleted: how many keywords would go with the round, and how many stay because of another."""
+    return round_split(edges, round_id).agg(F.count_if(F.col("kind") == "only_here").alias("deleted_keywords"), F.count_if(F.col("kind") == "shared").alias("kept_shared_keywords"))
+
+
+def pruned(before: DataFrame, after: DataFrame) -> DataFrame:
+    """label -> how many nodes of ``before`` are gone from ``after``."""
+    own = lambda t: t.select("label", "key").distinct()
+    return own(before).join(own(after), ["label", "key"], "left_anti").groupBy("label").agg(F.count("*").alias("n"))
+
+
+def all_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("label", "key").distinct()
+
+
 def delete_round(nodes: DataFrame, edges: DataFrame, round_id: str) -> tuple[DataFrame, DataFrame]:
     """Without what the round added, then pruned."""
     return prune(nodes.where(F.col("round") != round_id), edges.where(F.col("round") != round_id))

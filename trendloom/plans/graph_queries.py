@@ -144,6 +144,24 @@ def round_split(spark, d):
     return g.round_split(edges(spark, d), YEAR)
 
 
+@query(f"""WITH {GRAPH}, d0 AS (SELECT src, count(DISTINCT dst) AS dates, max((dst = '{YEAR}')::INTEGER) AS here FROM e WHERE rel = 'RECORDED_ON' GROUP BY src)
+SELECT count(*) FILTER (dates = 1) AS deleted_keywords, count(*) FILTER (dates > 1) AS kept_shared_keywords FROM d0 WHERE here = 1""")
+def delete_plan(spark, d):
+    return g.delete_plan(edges(spark, d), YEAR)
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT label, key FROM n")
+def graph_dump(spark, d):
+    return g.all_nodes(graph(spark, d)[0])
+
+
+@query(f"""WITH {GRAPH}, n1 AS (SELECT DISTINCT label, key FROM n WHERE round <> 'base' OR label <> 'Keyword'), gone AS (SELECT label, key FROM n1 WHERE label <> 'Keyword' AND label <> 'Ingredient' AND NOT EXISTS (SELECT 1 FROM e WHERE dst_label = label AND dst = key))
+SELECT label, count(*) AS n FROM (SELECT * FROM gone UNION SELECT label, key FROM n1 WHERE label = 'Ingredient' AND NOT EXISTS (SELECT 1 FROM e WHERE dst_label = 'Ingredient' AND dst = key AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.label = src_label AND gone.key = src))) GROUP BY label""")
+def pruned_orphans(spark, d):
+    n, e = graph(spark, d)
+    return g.pruned(n, g.prune(n, e)[0])
+
+
 @query(f"""WITH {GRAPH}, e1 AS (SELECT * FROM e WHERE round <> '{YEAR}'), n1 AS (SELECT * FROM n WHERE round <> '{YEAR}'),
 gone AS (SELECT DISTINCT label, key FROM n1 WHERE label IN ('Date', 'Category', 'Season', 'Tag', 'Example', 'Combo') AND NOT EXISTS (SELECT 1 FROM e1 WHERE dst_label = label AND dst = key)),
 e2 AS (SELECT * FROM e1 WHERE NOT EXISTS (SELECT 1 FROM gone WHERE label = src_label AND key = src)),
@@ -159,7 +177,7 @@ def delete_round(spark, d):
 SELECT k.k, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_TAG') AS tags, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_CATEGORY') AS categories, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_SEASON') AS seasons,
 string_agg(v || '(' || coalesce(held, '') || ')', ',' ORDER BY v || '(' || coalesce(held, '') || ')') FILTER (rel = 'IS_COMBO_WITH') AS combos, string_agg(v, ',' ORDER BY v) FILTER (rel = 'RELATED') AS related, string_agg(v, ',' ORDER BY v) FILTER (rel = 'RECORDED_ON') AS dates FROM k LEFT JOIN l ON l.k = k.k LEFT JOIN (SELECT src AS c, string_agg(DISTINCT dst, '+' ORDER BY dst) AS held FROM e WHERE rel = 'INCLUDES' GROUP BY src) ON rel = 'IS_COMBO_WITH' AND c = v GROUP BY k.k""")
 def neighborhood(spark, d):
-    return g.neighbourhood(edges(spark, d))
+    return g.neighbourhood(cut(edges(spark, d)))
 
 
 @query(f"WITH {GRAPH} SELECT name, count, latest FROM tot LEFT JOIN (SELECT src, max(dst) AS latest FROM e WHERE rel = 'RECORDED_ON' GROUP BY src) ON src = name ORDER BY latest DESC NULLS LAST, count DESC NULLS LAST, name LIMIT 10")
