@@ -71,12 +71,12 @@ def test_order_statistics_of_a_hot_group(spark):
     rnd = random.Random(6)
     rows = [("hot" if rnd.random() < 0.9 else None if i % 2 else f"k{i % 5}", rnd.choice([7.0, rnd.random() * 100])) for i in range(5000)]
     n = F.col("n")
-    got = cp.order_statistics(spark.createDataFrame(rows, "k string, v double").repartition(8), ["k"], "v", {"low": F.lit(1), "mid": st.upper_median(n), "p95": st.nearest_rank(n, 0.95), "top": n}).collect()
+    got = cp.order_statistics(spark.createDataFrame(rows, "`the key` string, v double").repartition(8), ["the key"], "v", {"low": F.lit(1), "mid": st.upper_median(n), "p95": st.nearest_rank(n, 0.95), "top": n}).collect()
     by = {}
     for k, v in rows:
         by.setdefault(k, []).append(v)
     want = {k: (len(v), v[0], v[len(v) // 2], v[math.ceil(0.95 * len(v)) - 1], v[-1]) for k, v in ((k, sorted(v)) for k, v in by.items())}
-    assert {r["k"]: tuple(r)[1:] for r in got} == want
+    assert {r["the key"]: tuple(r)[1:] for r in got} == want
 
 
 def test_salted_rollup_ignores_null_prices(spark):

@@ -96,7 +96,7 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[st
     Exact. An empty table gives no group, and without groups one row of nulls. Equal values are counted first; the distinct ones are dealt out by range, and a value's place is
     the number of values in the stretches before plus its place in its own.
     """
-    alike = lambda x, y, cols: F.expr(" and ".join([f"{x}.{c} <=> {y}.{c}" for c in cols] or ["true"]))
+    alike = lambda x, y, cols: F.expr(" and ".join([f"{x}.`{c}` <=> {y}.`{c}`" for c in cols] or ["true"]))
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     dealt = cut(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
     stretches = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_held"))
