@@ -124,12 +124,13 @@ def scorecard_grouping_sets(spark, d):
     return ev.scorecard(judged(spark, d))
 
 
-@query(f"""WITH {A}, r AS (SELECT array_to_string(cands, ',') AS input, round(out_lenient / items, 3) AS rate FROM a WHERE items > 0)
+@query(f"""WITH {A}, r AS (SELECT lower(left(cands[1], 1)) AS input, round(len(list_filter(nn, lambda x: NOT contains(x, lower(left(cands[1], 1))))) / len(named), 3) AS rate FROM a WHERE len(named) > 0 AND len(cands) > 0)
 SELECT input, count(DISTINCT rate) AS outcomes, count(*) AS n FROM r GROUP BY input HAVING count(DISTINCT rate) > 1""")
 def divergent_candidates(spark, d):
-    """Candidate lists under which the share of items from elsewhere differs."""
-    rows = ev.per_answer(answers(spark, d).withColumn("input", F.array_join("cands", ",")), F.col("answer"), F.col("cands"), ["conv_id", "turn", "input"])
-    return ev.divergent(rows.where("items > 0"), F.col("input"), F.round(F.col("out_lenient") / F.col("items"), 3))
+    """Candidate lists, here of one letter, under which the share of items from elsewhere differs from answer to answer."""
+    rows = answers(spark, d).where(F.size("cands") > 0).withColumn("cands", F.array(F.lower(F.substring(F.element_at("cands", 1), 1, 1))))
+    judged_by_list = ev.per_answer(rows.withColumn("input", F.array_join("cands", ",")), F.col("answer"), F.col("cands"), ["conv_id", "turn", "input"])
+    return ev.divergent(judged_by_list.where("items > 0"), F.col("input"), F.round(F.col("out_lenient") / F.col("items"), 3))
 
 
 LABELLED = "l AS (SELECT lang, sum(quality)::BIGINT AS k, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)"
