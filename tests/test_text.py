@@ -187,6 +187,49 @@ def test_ladder_relaxes_and_never_comes_empty(spark):
     assert all(sum(r["qid"] == q for r in rows) == 5 for q in (1, 2, 3))
 
 
+def test_stub_becomes_a_keyword(spark):
+    nodes, edges = graph_of(spark, {"r1": [record("a", ["t"], [], 5, related=["b", "a", " "])], "r2": [record("b", ["t"], [], 7)]})
+    totals = {r["name"]: (r["count"], r["importance"]) for r in g.keyword_totals(nodes).collect()}
+    assert totals == {"a": (5, 0.5), "b": (7, 0.5)}
+    assert g.delete_plan(edges, "r1").first().asDict() == {"deleted_keywords": 1, "kept_shared_keywords": 1}
+    assert g.delete_plan(edges, "none").first().asDict() == {"deleted_keywords": 0, "kept_shared_keywords": 0}
+
+
+def test_base_wins_and_labels(spark):
+    rows = lambda side, ids: spark.createDataFrame([(i, side) for i in ids], "id string, side string")
+    assert sorted(map(tuple, kw.base_wins(rows("base", ["v1", "v2"]), rows("extra", ["v1", "v3"]), "id").collect())) == [("v1", "base"), ("v2", "base"), ("v3", "extra")]
+    labels = {"y": True, "YES": True, "1": True, "예": True, " o ": True, "n": False, "0": False, "아니오": False, "X": False, "": None, "maybe": None}
+    assert one(spark, [(k,) for k in labels], "s string", tx.decode_label(F.col("s"))) == list(labels.values())
+
+
+def test_question_rules(spark):
+    asks = {"요즘 달콤하고 예쁜 신메뉴": (False, ["단맛", "비주얼"], None, "디저트"), "SNS 핫한 재료": (True, ["트렌디"], None, None), "계절 음료": (False, [], "봄", None), "카페": (False, [], None, "디저트"), "비주얼 재료": (True, ["비주얼"], None, None), "": (False, [], None, None)}
+    p = rt.parse_question(F.col("s"))
+    got = spark.createDataFrame([(k,) for k in asks], "s string").select(*[v.alias(k) for k, v in p.items()]).collect()
+    assert [tuple(r) for r in got] == list(asks.values())
+
+
+def test_wilson_cases(spark):
+    def plain(k, n, z=1.96):
+        if not n:
+            return 0.0, 0.0
+        p, d = k / n, 1 + z * z / n
+        mid, spread = (p + z * z / (2 * n)) / d, z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
+        return max(0.0, mid - spread), min(1.0, mid + spread)
+
+    cases = [(49, 49), (0, 100), (50, 100), (0, 0), (0, 10), (5, 10)]
+    low, high = st.wilson(F.col("k"), F.col("n"))
+    got = spark.createDataFrame(cases, "k int, n int").select(low, high).collect()
+    assert all(abs(a - b) < 1e-12 for r, c in zip(got, cases) for a, b in zip(r, plain(*c)))
+
+
+def test_fences(spark):
+    body = '[{"name":"딸기"}]'
+    forms = [body, f"```json\n{body}\n```", f"```\n{body}\n```", f"```{body}```", f"```JSON\n{body}", f"  ```json\n{body}\n```  "]
+    got = one(spark, [(f,) for f in forms], "s string", gr.validation(F.col("s"), F.array(F.lit("딸기"))))
+    assert got == ["ok"] * len(forms)
+
+
 def test_clamp():
     assert [rt.clamp(n) for n in (-3, 0, 7, 50, 900)] == [1, 1, 7, 50, 50]
 
