@@ -81,11 +81,6 @@ def build(docs: DataFrame, tokens_of: Callable[[str], list[str]], flag: str | No
     return rows.mapInArrow(packed, SCHEMA)
 
 
-def lookups(blocks: DataFrame) -> DataFrame:
-    """(block, pos, token, used): the rows that travel to be looked up."""
-    return blocks.select("block", F.posexplode(F.arrays_zip("tokens", "used"))).select("block", "pos", F.col("col.tokens").alias("token"), F.col("col.used").alias("used"))
-
-
 BAG_SCHEMA = "block long, doc_ids array<long>, n_bytes array<long>, lens array<int>, gaps binary, counts binary, packs array<struct<part:int,n:int,data:binary>>"
 
 

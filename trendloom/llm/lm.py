@@ -17,8 +17,9 @@ of the whole filter instead.
 
 Scoring: log10 p(w | v) with Dirichlet smoothing, (c(v, w) + MU * p(w)) / (c(v)
 + MU), p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), all counts from probes. The
-exact unigram base, by contrast, joins each block's distinct tokens to
-exact counts.
+exact unigram base, by contrast, has exact counts: blocks send their distinct tokens with their numbers,
+packed by hash range, and a range adds them up and answers each block in its order. A token that
+all documents hold is one entry for each block.
 
 Defined results: null text is empty and consists of the end token; ASCII
 letters are lower-cased; a null doc_id is held out; if nothing is left to train on, N and V are
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import discard, doc_remainder, materialize, size_hint
+from .common import doc_remainder, materialize, size_hint
 
 #: False-positive rate of a probe round, by which slices are sized.
 RATE = 0.001
@@ -215,11 +216,6 @@ def answered(made: DataFrame, range_bits: int, bits: int | None, least_pair: int
     return asked(made, range_bits).groupBy("part").applyInArrow(answer, "block long, n_order long, part long, data binary")
 
 
-def ranges(docs: DataFrame) -> int:
-    """Bits of the key range: 2 MB of text to a range as Catalyst estimates it, at most 2**18 ranges (400 MB to a range at 100 TB)."""
-    return min(18, max(4, (size_hint(docs) >> 21).bit_length()))
-
-
 def built(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     marked = docs.select("doc_id", "text").withColumn("train", doc_remainder(F.col("doc_id"), modulus) != held)
     return materialize(blocks.build(marked, words, flag="train"), "lm-blocks")
@@ -237,27 +233,67 @@ def report(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None =
     return asked(built(docs, modulus, held), range_bits).groupBy("part").applyInArrow(one, "part long, levels long, bits long, fill double")
 
 
+def by_range(tokens: list[str], range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the hash range of each token, their order by range)."""
+    part = (token_keys(tokens) >> np.uint64(64 - range_bits)).astype(np.int64)
+    return part, np.argsort(part, kind="stable")
+
+
+def counted(made: DataFrame, range_bits: int) -> DataFrame:
+    """blocks -> (block, n_order, part, data, n, v): the packed exact counts of each block's tokens of a hash range, in the order of ``by_range``, as order 0; n and v are a range's totals, given once."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tokens, used = row["tokens"], np.array(row["used"], np.int64)
+                part, order = by_range(tokens, range_bits)
+                cuts = np.searchsorted(part[order], np.arange((1 << range_bits) + 1))
+                data = [(r, order[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                for lo in range(0, len(data), 64):
+                    some = data[lo : lo + 64]
+                    yield pa.record_batch({"part": pa.array([r for r, _ in some], pa.int64()), "block": pa.array([row["block"]] * len(some), pa.int64()), "tokens": pa.array([blocks.pack_tokens([tokens[i] for i in at]) for _, at in some], pa.binary()), "used": pa.array([blocks.squeeze(used[at]) for _, at in some], pa.binary())})
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        lists = [blocks.unpack_tokens(r["tokens"]) for r in rows]
+        code = pa.array([t for some in lists for t in some], pa.string()).dictionary_encode()
+        at = code.indices.to_numpy()
+        total = np.zeros(len(code.dictionary), np.int64)
+        np.add.at(total, at, np.concatenate([blocks.expand(r["used"], np.int64) for r in rows]))
+        ends = np.cumsum([len(some) for some in lists])
+        data = [blocks.squeeze(total[at[end - len(some) : end]]) for some, end in zip(lists, ends)]
+        once = [1] + [0] * (len(rows) - 1)
+        return pa.table({
+            "block": pa.array([r["block"] for r in rows], pa.int64()), "n_order": pa.array([0] * len(rows), pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()), "data": pa.array(data, pa.binary()),
+            "n": pa.array([k * int(total.sum()) for k in once], pa.int64()), "v": pa.array([k * int((total > 0).sum()) for k in once], pa.int64()),
+        })
+
+    asked_for = made.select("block", "tokens", "used").mapInArrow(ask, "part long, block long, tokens binary, used binary")
+    return materialize(asked_for.groupBy("part").applyInArrow(add, "block long, n_order long, part long, data binary, n long, v long"), "lm-counts")
+
+
+def ranges(docs: DataFrame) -> int:
+    """Bits of the key range: 2 MB of text to a range as Catalyst estimates it, at most 2**18 ranges (400 MB to a range at 100 TB)."""
+    return min(18, max(4, (size_hint(docs) >> 21).bit_length()))
+
+
 def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 2, mu: float = MU) -> DataFrame:
     """docs(doc_id, text, ...) -> RESULT for every document; those whose remainder is not ``held`` train."""
     made = built(docs, modulus, held)
-    asks = blocks.lookups(made)
-    # Summed where the blocks lie first; written, so that the join back has plain shuffles and can split the rows of a token that all blocks hold.
-    counts = materialize(asks.groupBy("token").agg(F.sum("used").cast("long").alias("c")), "lm-counts")
-    total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    found = materialize(asks.join(counts, "token").select("block", "pos", "c"), "lm-found")
-    discard(counts)
+    range_bits = ranges(docs)
+    counts = counted(made, range_bits)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
     whole = n + 0.1 * (v + 1)
-    levels = answered(made, ranges(docs), bits, least_pair)
+    levels = answered(made, range_bits, bits, least_pair)
 
     def scored(key: tuple, held_rows: pa.Table, got: pa.Table) -> pa.Table:
-        out, known = [], got.filter(pc.is_null(got["data"]))
-        exact = np.zeros(known.num_rows, np.int64)
-        exact[known["pos"].to_numpy()] = known["c"].to_numpy()
-        found = {1: [], 2: []}
-        for r in got.filter(pc.is_valid(got["data"])).sort_by("pos").to_pylist():
-            found[r["c"]].append(blocks.expand(r["data"], np.uint8))
+        out, found = [], {0: [], 1: [], 2: []}
+        for r in got.sort_by("part").to_pylist():
+            found[r["n_order"]].append(blocks.expand(r["data"], np.uint8 if r["n_order"] else np.int64))
         for row in held_rows.to_pylist():
+            exact = np.zeros(len(row["tokens"]), np.int64)
+            exact[by_range(row["tokens"], range_bits)[1]] = np.concatenate(found[0])
             flat, lens = blocks.expand(row["packed"], np.uint32), np.array(row["lens"], np.int64)
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
             one, two = (typical(np.concatenate(found[order]))[at] for order, (_, at, _) in enumerate(grams(row), 1))
@@ -273,9 +309,7 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None =
         cat = lambda i: np.concatenate([np.asarray(o[i]) for o in out])
         return pa.table({"doc_id": pa.array([d for o in out for d in o[0]], pa.int64()), "held_out": pa.array(cat(1)), "n_tokens": pa.array(cat(2), pa.int64()), "n_known": pa.array(cat(3), pa.int64()), "train_tokens": pa.array(np.full(len(cat(2)), n), pa.int64()), "base_score": pa.array(cat(4), pa.float64()), "score": pa.array(cat(5), pa.float64())})
 
-    # Levels travel with the exact counts: their order in the place of the count, their key range in that of the position.
-    none = F.lit(None).cast("binary").alias("data")
-    both = found.select("block", F.col("pos").cast("long").alias("pos"), "c", none).union(levels.select("block", "part", "n_order", "data"))
+    both = counts.select("block", "n_order", "part", "data").union(levels.select("block", "n_order", "part", "data"))
     return made.drop("used", "n_bytes").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(scored, RESULT)
 
 
