@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_punctuation, ngrams, tokens
-from ..session import cut
+from ..session import cut, spread
 
 
 def document_text(title: Column, description: Column) -> Column:
@@ -20,7 +20,7 @@ def document_text(title: Column, description: Column) -> Column:
 
 def term_sets(docs: DataFrame, id_col: str, text: Column, drop_empty: bool = False) -> DataFrame:
     """(id, terms): each document's distinct terms, written once, so that the texts are tokenised once however often the terms are read."""
-    words = docs.select(F.col(id_col), tokens(text, drop_empty).alias("words"))  # a column of its own, as several expressions read it
+    words = spread(docs).select(F.col(id_col), tokens(text, drop_empty).alias("words"))  # a column of its own, as several expressions read it
     return cut(words.select(id_col, F.array_union("words", ngrams(F.col("words"), 2)).alias("terms")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import banned, clean_related, clean_tags, ngrams, nouns, priority
 from ..schemas import SEASONS, combos, sentences
-from ..session import cut
+from ..session import cut, spread
 
 
 def phrase_weights(keywords: DataFrame, analyzer=nouns, ban=banned) -> DataFrame:
@@ -38,7 +38,7 @@ def substring_matches(new: DataFrame, base: DataFrame) -> DataFrame:
     two, lies within a word, or a pair, and is looked up among the substrings of the distinct words, or pairs, of all texts.
     What meets is then compared. Texts are named by a digest, so copies are looked up once.
     """
-    texts = new.select("keyword", F.md5(F.col("keyword").cast("binary")).alias("_k")).where("keyword is not null")
+    texts = spread(new.select("keyword")).select("keyword", F.md5(F.col("keyword").cast("binary")).alias("_k")).where("keyword is not null")
     split = texts.select("_k", F.split("keyword", " ").alias("w"))
     sets = cut(split.select("_k", F.array_union("w", ngrams(F.col("w"), 2)).alias("tokens")))
     tokens = sets.select("_k", F.explode("tokens").alias("token"))

@@ -47,13 +47,18 @@ def bind_vocabulary(tags: Column, season: Column, category: Column, vocab: dict[
 
 
 def ingredient_candidates(edges: DataFrame, totals: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Ingredients reached by a keyword's combos: by last date, then by the sum of counts over all (path, date) rows, then by name."""
-    e = edges.select("rel", "src", "dst").distinct()
+    """Ingredients reached by a keyword's combos: by last date, then by the sum of counts over all (path, date) rows, then by name.
+
+    A keyword's dates are counted before the paths meet them: a path stands for as many rows as its
+    keyword has dates, or one without any.
+    """
+    e = edges.where(F.col("rel").isin("INCLUDES", "IS_COMBO_WITH", "RECORDED_ON")).select("rel", "src", "dst").distinct()
     includes = e.where("rel = 'INCLUDES'").select(F.col("src").alias("combo"), F.col("dst").alias("ingredient"))
     combo_of = e.where("rel = 'IS_COMBO_WITH'").select(F.col("src").alias("name"), F.col("dst").alias("combo"))
-    dates = e.where("rel = 'RECORDED_ON'").select(F.col("src").alias("name"), F.col("dst").alias("date"))
-    rows = includes.join(combo_of, "combo").join(totals.select("name", "count"), "name").join(dates, "name", "left")
-    ranked = rows.groupBy("ingredient").agg(F.max("date").alias("latest"), F.sum("count").alias("freq"))
+    dates = e.where("rel = 'RECORDED_ON'").groupBy(F.col("src").alias("name")).agg(F.max("dst").alias("date"), F.count("*").alias("times"))
+    names = totals.select("name", "count").join(dates, "name", "left").select("name", "date", (F.col("count") * F.coalesce("times", F.lit(1))).alias("mentions"))
+    rows = combo_of.join(names, "name").groupBy("combo").agg(F.max("date").alias("date"), F.sum("mentions").alias("mentions")).join(includes, "combo")
+    ranked = rows.groupBy("ingredient").agg(F.max("date").alias("latest"), F.sum("mentions").alias("freq"))
     return ranked.orderBy(F.desc_nulls_last("latest"), F.desc_nulls_last("freq"), "ingredient").limit(limit)
 
 

@@ -15,17 +15,21 @@ YEAR = "1998"
 
 
 def edges(spark, d):
-    """Edges with the year of shipping as round for dates and combos, and 'base' for the rest; lineitem is read and deduplicated once."""
-    line = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("k"), F.concat(F.lit("s"), "l_suppkey").alias("s"), F.date_format("l_shipdate", "yyyy").alias("y")).distinct()
-    part = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("k"), "p_type", "p_brand", F.concat(F.lit("z"), F.col("p_size") % 4).alias("z"), F.concat(F.lit("p"), F.col("p_partkey") + 1000000 * (F.col("p_partkey") % 10 == 0).cast("int")).alias("r"))
-    supplier = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("s"), "n_name")
-    base = F.lit("base")
-    shipped = F.array(F.struct(g.edge("Keyword", F.col("k"), "RECORDED_ON", "Date", F.col("y")).alias("e"), F.col("y").alias("round")), F.struct(g.edge("Keyword", F.col("k"), "IS_COMBO_WITH", "Combo", F.col("s")).alias("e"), F.col("y").alias("round")))
-    made = F.array(*[F.struct(g.edge("Keyword", F.col("k"), rel, label, F.col(c)).alias("e"), base.alias("round")) for rel, label, c in (("HAS_TAG", "Tag", "p_type"), ("HAS_CATEGORY", "Category", "p_brand"), ("HAS_SEASON", "Season", "z"), ("RELATED", "Keyword", "r"))])
-    held = F.array(F.struct(g.edge("Combo", F.col("s"), "INCLUDES", "Ingredient", F.col("n_name")).alias("e"), base.alias("round")))
-    flat = lambda rows, xs: rows.select(F.explode(xs).alias("x")).select("x.e.*", "x.round")
-    own = flat(part, made).where("not (rel = 'RELATED' and src = dst)")
-    return flat(line, shipped).distinct().union(own.distinct()).union(flat(supplier, held).distinct())
+    """Edges with the year of shipping as round for dates and combos, and 'base' for the rest; deduplicated as numbers, before names are made."""
+    line = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.year("l_shipdate").alias("year")).distinct()
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size").distinct()
+    supplier = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey")).select("s_suppkey", "n_name").distinct()
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    year, base = F.col("year").cast("string"), F.lit("base")
+    of = lambda rows, *xs, when=None: (rows.where(when) if when is not None else rows).select(F.explode(F.array(*xs)).alias("e"), "round").select("e.*", "round")
+    out = of(line.select("l_partkey", "year").distinct().withColumn("round", year), g.edge("Keyword", name("p", "l_partkey"), "RECORDED_ON", "Date", year))
+    out = out.union(of(line.withColumn("round", year), g.edge("Keyword", name("p", "l_partkey"), "IS_COMBO_WITH", "Combo", name("s", "l_suppkey"))))
+    key = name("p", "p_partkey")
+    made = [g.edge("Keyword", key, "HAS_TAG", "Tag", F.col("p_type")), g.edge("Keyword", key, "HAS_CATEGORY", "Category", F.col("p_brand")), g.edge("Keyword", key, "HAS_SEASON", "Season", name("z", F.col("p_size") % 4))]
+    out = out.union(of(part.withColumn("round", base), *made))
+    # Every tenth part is related to one that isn't sold.
+    out = out.union(of(part.withColumn("round", base), g.edge("Keyword", key, "RELATED", "Keyword", name("p", F.col("p_partkey") + 1000000)), when=F.col("p_partkey") % 10 == 0))
+    return out.union(of(supplier.withColumn("round", base), g.edge("Combo", name("s", "s_suppkey"), "INCLUDES", "Ingredient", F.col("n_name"))))
 
 
 def graph(spark, d):

@@ -34,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/trendloom/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """A small input over all cores: a file of one row group is one task's, whatever is done with its rows.
+
+    Inputs beyond ``limit`` bytes, as Catalyst estimates them, have row groups enough and are not moved.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
