@@ -42,4 +42,5 @@ def spread(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     Inputs beyond ``limit`` bytes, as Catalyst estimates them, have row groups enough and are not moved.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, max(1, size >> 18))  # 256 KB to a part at the least
+    return df.repartition(parts) if size <= limit else df
