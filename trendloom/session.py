@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="trendloom-"))
+        folder = tempfile.mkdtemp(prefix="trendloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL.append(f"file://{folder}")
     return _LOCAL[0]
 
 
