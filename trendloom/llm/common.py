@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import math
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,10 +11,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Fixed value: the white space that separates words in every contract.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL: list[str] = []
 _SHIPPED: set[str] = set()
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -40,20 +40,8 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; in local mode a temporary one where it is unset (tests)."""
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="trendloom-"))
-    return _LOCAL[0]
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
