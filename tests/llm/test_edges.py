@@ -243,6 +243,28 @@ def test_chained_similarity_stays_linear(spark):
     assert sizes[0] < 50 and sizes[1] < 12 * 3000
 
 
+@pytest.mark.parametrize("bucket", [1024, 150])
+def test_dense_group(spark, monkeypatch, bucket):
+    """Units of more rows than are compared at once, whole and in tiles; some pairs are just under the threshold."""
+    monkeypatch.setattr(near, "BUCKET", bucket)
+    monkeypatch.setattr(near, "TILE", bucket)
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for _ in range(rnd.choice([1, 1, 1, 2])):
+            copy[rnd.randrange(100)] = f"n{k}x{rnd.randrange(9)}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in texts]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = {r["doc_id"]: r for r in near.near_classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert len(set(want)) > 30 and max(want) > 300
+    short = [want[i] - got[i]["n_links"] for i in got]
+    assert min(short) >= 0 and sum(short) <= 2 * math.ceil(1e-4 * sum(want)), short
+    assert {r["class_id"] for r in got.values()} == {0}
+
+
 def test_runs_miss_few_pairs():
     """Runs share one signature, so the share of pairs at 0.8 that no run finds is simulated, paths and all; it is stated in README."""
     rnd = np.random.default_rng(5)

@@ -48,7 +48,9 @@ COORDINATES = 48
 LEVELS = 3
 BUCKET = 1024
 TILE = 1024
-TOKENS_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE = 1_000_000
+#: Rows of a unit that are compared with the whole unit at once.
+ROWS_AT_ONCE = 128
 #: Signatures that agree in this share of coordinates (25 of 48) are checked; pairs at 0.8 fall below with probability 3e-6.
 ROUGHLY = 0.52
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -200,6 +202,42 @@ def earlier(lists: list[list[int]], bucket: int) -> np.ndarray:
     return overlaps(arrays) > 0 if any(map(len, arrays)) else out
 
 
+def close_pairs(key: np.ndarray, sig: np.ndarray, tile: np.ndarray, across: np.ndarray, small: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one key that agree in ``need`` coordinates, ordered by key; only rows flagged ``small`` are compared."""
+    a, b, live, d = [], [], np.flatnonzero(small), 1
+    while True:
+        live = live[live + d < len(key)]
+        live = live[key[live] == key[live + d]]
+        if not len(live):
+            break
+        hit = live[(sig[live] == sig[live + d]).sum(1) >= need]
+        hit = hit[~across[hit] | (tile[hit] != tile[hit + d])]
+        a.append(hit)
+        b.append(hit + d)
+        d += 1
+    a, b = np.concatenate(a or [live]), np.concatenate(b or [live])
+    order = np.argsort(key[a], kind="stable")
+    return a[order], b[order]
+
+
+def alike(sig: np.ndarray, tile: np.ndarray, across: bool, need: int, shared: np.ndarray | None = None) -> np.ndarray:
+    """Which members of a unit agree in ``need`` coordinates with another one, of the other tile if the unit is across tiles, and not in a ``shared`` pair."""
+    out = np.zeros(len(sig), bool)
+    for lo in range(0, len(sig), ROWS_AT_ONCE):
+        some = np.arange(lo, min(lo + ROWS_AT_ONCE, len(sig)))
+        agree = np.zeros((len(some), len(sig)), np.uint8)
+        for k in range(sig.shape[1]):
+            agree += sig[some, k][:, None] == sig[:, k][None]
+        hit = agree >= need
+        hit[np.arange(len(some)), some] = False
+        if across:
+            hit &= tile[some][:, None] != tile[None]
+        if shared is not None:
+            hit &= ~shared[some]
+        out[some] = hit.any(1)
+    return out
+
+
 def owners(units: DataFrame) -> DataFrame:
     """(unit, bucket, tile, across, rep, sig, buckets) -> (rep, bucket, unit, tile, across) of members that own a roughly similar pair in the unit."""
     need = math.ceil(ROUGHLY * COORDINATES)
@@ -209,32 +247,24 @@ def owners(units: DataFrame) -> DataFrame:
         for table in grouped(batches, "unit"):
             key, tile, across, bucket = (table[c].to_numpy() for c in ("unit", "tile", "across", "bucket"))
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            a, b, live, d = [], [], np.arange(len(key)), 1
-            while True:
-                live = live[live + d < len(key)]
-                live = live[key[live] == key[live + d]]
-                if not len(live):
-                    break
-                alike = live[(sig[live] == sig[live + d]).sum(1) >= need]
-                alike = alike[~across[alike] | (tile[alike] != tile[alike + d])]
-                a.append(alike)
-                b.append(alike + d)
-                d += 1
-            a, b = np.concatenate(a or [live]), np.concatenate(b or [live])
-            if not len(a):
-                continue
-            # Only members with a partner look at their lists; the rest of the unit is out already.
-            mine = np.zeros(len(key), bool)
-            some = np.unique(np.concatenate([a, b]))
-            lists = dict(zip(some.tolist(), table["buckets"].take(pa.array(some)).to_pylist()))
-            order = np.argsort(key[a], kind="stable")
-            a, b = a[order], b[order]
+            lists, mine = table["buckets"], np.zeros(len(key), bool)
+            units_here = list(runs_of(key))
+            # Small units together, neighbour by neighbour; large ones on their own.
+            small = np.concatenate([np.full(hi - lo, hi - lo <= ROWS_AT_ONCE) for lo, hi in units_here])
+            a, b = close_pairs(key, sig, tile, across, small, need)
             for lo, hi in runs_of(key[a]):
                 members, at = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
-                shared = earlier([lists[i] for i in members.tolist()], int(bucket[members[0]]))
+                shared = earlier([lists[i].as_py() for i in members.tolist()], int(bucket[members[0]]))
                 own = ~shared[at[: hi - lo], at[hi - lo :]]
                 mine[a[lo:hi][own]] = mine[b[lo:hi][own]] = True
-            yield from table.select(kept).filter(pa.array(mine)).combine_chunks().to_batches()
+            for lo, hi in units_here:
+                # Only members with a partner look at their lists; the rest of the unit is out already.
+                some = lo + np.flatnonzero(alike(sig[lo:hi], tile[lo:hi], across[lo], need)) if hi - lo > ROWS_AT_ONCE else ()
+                if len(some):
+                    shared = earlier([lists[i].as_py() for i in some.tolist()], int(bucket[lo]))
+                    mine[some] = alike(sig[some], tile[some], across[lo], need, shared)
+            if mine.any():
+                yield from table.select(kept).filter(pa.array(mine)).combine_chunks().to_batches()
 
     return units.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(run, "rep long, bucket long, unit long, tile int, across boolean")
 
@@ -264,7 +294,7 @@ def add_overlaps(sets: list[np.ndarray], out: np.ndarray) -> None:
     owner, column = owner[shared], rank[code[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    total, width = int((count > 1).sum()), 4096
+    total, width = int((count > 1).sum()), 1024
     for lo in range(0, total, width):
         a, b = np.searchsorted(column, (lo, lo + width))
         m = np.zeros((n, min(width, total - lo)), np.float32)
@@ -272,14 +302,16 @@ def add_overlaps(sets: list[np.ndarray], out: np.ndarray) -> None:
         out += m @ m.T
 
 
-def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Matrix of pairs at or over the threshold; exact in whole numbers, false on the diagonal."""
+def similar(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(some rows, their matrix of pairs at or over the threshold with all), exact in whole numbers, false on the diagonal."""
     size = np.array([len(s) for s in sets], np.float64)
-    both = overlaps(sets).astype(np.float64)
-    union = size[:, None] + size[None] - both
-    hit = both >= threshold * union - 1e-9
-    np.fill_diagonal(hit, False)
-    return hit
+    both = overlaps(sets)
+    for lo in range(0, len(sets), ROWS_AT_ONCE):
+        some = np.arange(lo, min(lo + ROWS_AT_ONCE, len(sets)))
+        part = both[some].astype(np.float64)
+        hit = part >= threshold * (size[some, None] + size[None] - part) - 1e-9
+        hit[np.arange(len(some)), some] = False
+        yield some, hit
 
 
 def checked(units: DataFrame, threshold: float) -> DataFrame:
@@ -288,18 +320,22 @@ def checked(units: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "unit"):
             key, rep = table["unit"].to_numpy(), table["rep"].to_numpy()
-            table = table.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])])))
-            key, rep, copies, tile, across, bucket = (table[c].to_numpy() for c in ("unit", "rep", "copies", "tile", "across", "bucket"))
-            sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-            lists = table["buckets"].to_pylist()
+            once = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])]))
+            key, rep, copies, tile, across, bucket = (table[c].to_numpy()[once] for c in ("unit", "rep", "copies", "tile", "across", "bucket"))
+            tokens, lists = table["tokens"], table["buckets"]
             links, root = np.zeros(len(key), np.int64), rep.copy()
             for lo, hi in runs_of(key):
-                hit = similar(sets[lo:hi], threshold) & ~earlier(lists[lo:hi], int(bucket[lo]))
-                if across[lo]:
-                    hit &= tile[lo:hi, None] != tile[None, lo:hi]
-                links[lo:hi] = hit @ copies[lo:hi]
-                a, b = np.nonzero(np.triu(hit))
-                root[lo:hi] = rep[lo:hi][forest(hi - lo, a, b)]
+                mine = once[lo:hi].tolist()
+                before = earlier([lists[i].as_py() for i in mine], int(bucket[lo]))
+                label = np.arange(hi - lo)
+                for some, hit in similar([np.frombuffer(tokens[i].as_buffer(), np.uint64) for i in mine], threshold):
+                    hit &= ~before[some]
+                    if across[lo]:
+                        hit &= tile[lo:hi][some][:, None] != tile[lo:hi][None]
+                    links[lo + some] = hit @ copies[lo:hi]
+                    a, b = np.nonzero(hit)
+                    label = forest(hi - lo, label[some[a]], label[b])[label]
+                root[lo:hi] = rep[lo:hi][label]
             yield pa.record_batch({"rep": rep, "links": links, "root": root})
 
     return units.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(run, "rep long, links long, root long")
