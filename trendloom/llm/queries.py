@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import langid, lm, media, mixing, near, packing, secrets, suffixes, token_counts, topk
+from . import langid, lm, media, merkle, mixing, near, packing, secrets, suffixes, token_counts, topk
 from .common import doc_remainder, ship
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -76,6 +76,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = F.col("doc_id").isNotNull() & (doc_remainder(F.col("doc_id"), 2) == 0)
+    found = merkle.manifest(docs, tampered={"text": F.when(marked, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+    rows = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), merkle.folded(F.col("other"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_language_id, op5_media_columns, op6_mixing, op7_token_counts, op8_exact_top_k, op9_suffix_array_dedup, op10_best_fit_packing, pipeline)
+    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_language_id, op5_media_columns, op6_mixing, op7_token_counts, op8_exact_top_k, op9_suffix_array_dedup, op10_best_fit_packing, op13_merkle_manifest, pipeline)
 }
 
 OP1 = r"""
@@ -143,4 +151,45 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op6_mixing": OP6, "op8_exact_top_k": OP8}
+#: Unsigned CRC-32, bit by bit, of the bytes whose hex text is {0}.
+CRC = r"xor(list_reduce([4294967295] || flatten(list_transform(range(0, length({0}) // 2), lambda i: list_transform(range(0, 8), lambda k: (('0x' || substr({0}, 2 * i + 1, 2))::BIGINT >> k) & 1))), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+
+OP13 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text, CASE WHEN {CRC.format("hex(encode(doc_id::VARCHAR))")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents
+), x AS (
+  SELECT doc_id, source, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS front,
+         coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(cut) || ':' || cut, '-') AS other FROM d
+), l AS (
+  SELECT doc_id, leaf, other, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS width, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM (SELECT doc_id, source, sha256(front || body) AS leaf, sha256(front || other) AS other FROM x)
+), n AS (
+  SELECT tree, 0 AS level, place AS pos, leaf AS h, width FROM l
+  UNION ALL SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (width + 2) // 3 FROM n WHERE width > 1 GROUP BY tree, level, pos // 3, width
+), s AS (
+  SELECT tree, h AS subroot, count(*) OVER () AS trees FROM n WHERE width = 1
+), u AS (
+  SELECT 0 AS level, tree AS pos, subroot AS h, trees AS width FROM s
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (width + 2) // 3 FROM u WHERE width > 1 GROUP BY level, pos // 3, width
+), sib AS (
+  SELECT p.tree, p.pos, 0 AS part, q.level, q.pos AS other, q.h, q.pos < p.pos // (3 ** q.level)::BIGINT AS before FROM (SELECT tree, place AS pos FROM l) p
+  JOIN n q ON q.tree = p.tree AND q.width > 1 AND q.pos // 3 = p.pos // (3 ** (q.level + 1))::BIGINT AND q.pos <> p.pos // (3 ** q.level)::BIGINT
+  UNION ALL SELECT p.tree, p.place, 1, q.level, q.pos, q.h, q.pos < p.tree // (3 ** q.level)::BIGINT FROM l p
+  JOIN u q ON q.width > 1 AND q.pos // 3 = p.tree // (3 ** (q.level + 1))::BIGINT AND q.pos <> p.tree // (3 ** q.level)::BIGINT
+), lev AS (
+  SELECT place, tree, part, level FROM (SELECT l.place, l.tree, 0 AS part, n.level FROM l JOIN (SELECT DISTINCT tree, level FROM n WHERE width > 1) n ON n.tree = l.tree UNION ALL SELECT l.place, l.tree, 1, u.level FROM l, (SELECT DISTINCT level FROM u WHERE width > 1) u)
+), st AS (
+  SELECT lev.tree, lev.place, lev.part, lev.level, coalesce(string_agg(h, '' ORDER BY other), '') AS h,
+         coalesce(string_agg(h, '' ORDER BY other) FILTER (before), '') || ':' || coalesce(string_agg(h, '' ORDER BY other) FILTER (NOT before), '') AS step
+  FROM lev LEFT JOIN sib ON sib.tree = lev.tree AND sib.pos = lev.place AND sib.part = lev.part AND sib.level = lev.level GROUP BY lev.tree, lev.place, lev.part, lev.level
+), pr AS (
+  SELECT tree, place, string_agg(h, '' ORDER BY part, level) AS proof, list(step ORDER BY part, level) AS steps FROM st GROUP BY tree, place
+), r AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT h FROM u WHERE width = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce([l.other] || coalesce(steps, []), lambda c, e: sha256(split_part(e, ':', 1) || c || split_part(e, ':', 2))) AS folded_root
+  FROM l JOIN s ON s.tree = l.tree LEFT JOIN pr ON pr.tree = l.tree AND pr.place = l.place
+)
+SELECT *, folded_root = root AS verified FROM r
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op6_mixing": OP6, "op8_exact_top_k": OP8, "op13_merkle_manifest": OP13}
