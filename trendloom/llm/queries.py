@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import langid, lm, media, merkle, mixing, near, packing, secrets, suffixes, token_counts, topk
+from . import decontam, langid, lm, media, merkle, mixing, near, packing, secrets, suffixes, token_counts, topk
 from .common import doc_remainder, ship
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -76,6 +76,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    rows = found.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marked = F.col("doc_id").isNotNull() & (doc_remainder(F.col("doc_id"), 2) == 0)
@@ -92,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_language_id, op5_media_columns, op6_mixing, op7_token_counts, op8_exact_top_k, op9_suffix_array_dedup, op10_best_fit_packing, op13_merkle_manifest, pipeline)
+    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_language_id, op5_media_columns, op6_mixing, op7_token_counts, op8_exact_top_k, op9_suffix_array_dedup, op10_best_fit_packing, op11_decontamination, op13_merkle_manifest, pipeline)
 }
 
 OP1 = r"""
@@ -151,6 +157,21 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: Words of a text, A-Z lower-cased.
+NORMAL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, {NORMAL} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {NORMAL} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM b)),
+p AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT doc_id, p.n, i, item_id FROM p JOIN win ON win.n = p.n AND win.s = array_to_string(w[i:i + p.n - 1], ' ')),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) FROM hit) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
 #: Unsigned CRC-32, bit by bit, of the bytes whose hex text is {0}.
 CRC = r"xor(list_reduce([4294967295] || flatten(list_transform(range(0, length({0}) // 2), lambda i: list_transform(range(0, 8), lambda k: (('0x' || substr({0}, 2 * i + 1, 2))::BIGINT >> k) & 1))), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
 
@@ -192,4 +213,4 @@ WITH RECURSIVE d AS (
 SELECT *, folded_root = root AS verified FROM r
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op6_mixing": OP6, "op8_exact_top_k": OP8, "op13_merkle_manifest": OP13}
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op6_mixing": OP6, "op8_exact_top_k": OP8, "op11_decontamination": OP11, "op13_merkle_manifest": OP13}
