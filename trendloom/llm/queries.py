@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import decontam, langid, lm, media, merkle, mixing, near, packing, secrets, suffixes, token_counts, topk
+from . import decontam, langid, lm, media, merkle, mixing, near, packing, resample, secrets, suffixes, token_counts, topk
 from .common import doc_remainder, ship
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -82,6 +82,11 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample.weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resample.draw(rows, per_cent=25).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marked = F.col("doc_id").isNotNull() & (doc_remainder(F.col("doc_id"), 2) == 0)
@@ -98,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_language_id, op5_media_columns, op6_mixing, op7_token_counts, op8_exact_top_k, op9_suffix_array_dedup, op10_best_fit_packing, op11_decontamination, op13_merkle_manifest, pipeline)
+    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_language_id, op5_media_columns, op6_mixing, op7_token_counts, op8_exact_top_k, op9_suffix_array_dedup, op10_best_fit_packing, op11_decontamination, op12_importance_resampling, op13_merkle_manifest, pipeline)
 }
 
 OP1 = r"""
@@ -175,6 +180,24 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 #: Unsigned CRC-32, bit by bit, of the bytes whose hex text is {0}.
 CRC = r"xor(list_reduce([4294967295] || flatten(list_transform(range(0, length({0}) // 2), lambda i: list_transform(range(0, 8), lambda k: (('0x' || substr({0}, 2 * i + 1, 2))::BIGINT >> k) & 1))), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
 
+OP12 = rf"""
+WITH a AS (SELECT doc_id, FALSE AS target, {NORMAL} AS w FROM documents UNION ALL SELECT NULL, TRUE, {NORMAL} FROM benchmark),
+f AS (
+  SELECT doc_id, target, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS f FROM a
+), c AS (SELECT doc_id, target, f, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT f, ({CRC.format("hex(encode(f))")} % 10000)::BIGINT AS bucket, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM c GROUP BY f),
+g AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM k GROUP BY bucket),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM g),
+x AS (SELECT bucket, floor(1000 * ln(((g.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE) / ((g.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS gain FROM g, z),
+m AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM c JOIN k USING (f) JOIN x USING (bucket) WHERE NOT target GROUP BY doc_id),
+r AS (
+  SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(n_features, 0) >= 39 AS able,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
+), o AS (SELECT *, row_number() OVER (ORDER BY able DESC, score DESC, doc_id) AS place, floor(25 * count(*) FILTER (able) OVER () / 100) AS most FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= most THEN place END::BIGINT AS rank FROM o
+"""
+
 OP13 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, lang, n_chars, text, CASE WHEN {CRC.format("hex(encode(doc_id::VARCHAR))")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents
@@ -213,4 +236,4 @@ WITH RECURSIVE d AS (
 SELECT *, folded_root = root AS verified FROM r
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op6_mixing": OP6, "op8_exact_top_k": OP8, "op11_decontamination": OP11, "op13_merkle_manifest": OP13}
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op6_mixing": OP6, "op8_exact_top_k": OP8, "op11_decontamination": OP11, "op12_importance_resampling": OP12, "op13_merkle_manifest": OP13}
