@@ -1,10 +1,10 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 The filter holds n-gram counts in quantised logarithmic form: an n-gram seen c
-times is entered once for each level 1 .. 1 + floor(log2(c)). Its count is read
-back by probing level after level until one is missing, which costs a false
-positive only an over-estimate by one level with small probability. Unigrams and
-the bigrams seen at least twice are entered, over all training documents.
+times is entered once for each level up to that of c. Counts up to ``EXACT`` have levels of their own, beyond there are
+``STEPS`` levels to each doubling. A count is read back by probing level after level until one is missing, which costs a false
+positive only an over-estimate by one level with small probability. All unigrams and
+bigrams of the training documents are entered, those seen once too: they are nearly half of all bigrams' mass.
 
 Building: blocks of documents send (n-gram key, count) runs, sorted and packed by key
 range; each range sums its keys, counts the levels to enter and makes its own slice
@@ -13,11 +13,13 @@ a probe round, whatever the input. A slice never leaves its range: it answers
 there for all n-grams that the blocks sent (those of held-out documents too), and
 only levels go back to the blocks. Nothing is collected or broadcast.
 ``report`` gives each slice's levels, bits and fill. A given ``bits`` fixes the size
-of the whole filter instead.
+of the whole filter instead. A block sends a message to each range of about ``RANGE_BYTES`` of text, so messages are
+blocks times ranges; a range's memory follows RANGE_BYTES up to 2**18 ranges.
 
 Scoring: log10 p(w | v) with Dirichlet smoothing, (c(v, w) + MU * p(w)) / (c(v)
-+ MU), p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), all counts from probes. The
-exact unigram base, by contrast, has exact counts: blocks send their distinct tokens with their numbers,
++ MU), p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). Bigram counts come from probes; a bigram of which the filter lacks a word counts 0.
+c(v), c(w), N and V are the exact counts of the unigram base, so the probabilities after a context sum to 1 but for what quantisation (none up to EXACT, half a step beyond) and
+false positives add. For the base blocks send their distinct tokens with their numbers,
 packed by hash range, and a range adds them up and answers each block in its order. A token that
 all documents hold is one entry for each block.
 
@@ -43,11 +45,15 @@ from . import blocks
 from .common import doc_remainder, materialize, size_hint
 
 #: False-positive rate of a probe round, by which slices are sized.
-RATE = 0.001
+RATE = 0.00001
+#: Counts that have levels of their own, and levels to a doubling beyond.
+EXACT, STEPS = 8, 4
+#: Bytes of documents, as Catalyst estimates them, to a key range.
+RANGE_BYTES = 8 << 20
 MU = 20.0
 END = "\n"  # white space, so no word
 KEY_BITS = 40
-HASHES = 4
+HASHES = 8
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Odd multipliers of the mixing function.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -91,13 +97,24 @@ def split(keys: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> np.uint64(64 - range_bits)).astype(np.int64), low
 
 
-def probes(low: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+class probes:
     """Positions in a slice of ``bits`` bits for the hash functions at a level."""
-    with np.errstate(over="ignore"):
-        h = mix(low * M1 + np.uint64(level) * M3)
-        step = (mix(h ^ M1) << np.uint64(1)) | np.uint64(1)
-        for i in range(HASHES):
-            yield ((h + np.uint64(i) * step) >> np.uint64(20)) % np.uint64(bits)
+
+    def __init__(self, low: np.ndarray, level: int, bits: int) -> None:
+        with np.errstate(over="ignore"):
+            self.h = mix(low * M1 + np.uint64(level) * M3)
+            self.step = (mix(self.h ^ M1) << np.uint64(1)) | np.uint64(1)
+        self.bits = np.uint64(bits)
+
+    def __call__(self, i: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (((self.h + np.uint64(i) * self.step) >> np.uint64(20)) % self.bits).astype(np.int64)
+
+    def keep(self, found: np.ndarray) -> probes:
+        """The same for some of the keys."""
+        if not found.all():
+            self.h, self.step = self.h[found], self.step[found]
+        return self
 
 
 class Filter:
@@ -109,11 +126,13 @@ class Filter:
     def level(self, low: np.ndarray) -> np.ndarray:
         """The last level found of each key, 0 if absent."""
         level, alive = np.zeros(len(low), np.uint8), np.arange(len(low))
-        for q in range(1, 64):
-            found = np.ones(len(alive), bool)
-            for at in probes(low[alive], q, len(self.held)):
-                found &= self.held[at.astype(np.int64)]
-            alive = alive[found]
+        for q in range(1, 256):
+            # A key leaves at the first bit that isn't set.
+            at = probes(low[alive], q, len(self.held))
+            for i in range(HASHES):
+                found = self.held[at(i)]
+                alive = alive[found]
+                at = at.keep(found)
             if not len(alive):
                 break
             level[alive] = q
@@ -123,26 +142,34 @@ class Filter:
         return float(self.held.mean())
 
 
+def bounds(level: np.ndarray) -> np.ndarray:
+    """The largest count of a level."""
+    return np.where(level <= EXACT, level, np.floor(EXACT * 2.0 ** ((level - EXACT) / STEPS)))
+
+
 def typical(level: np.ndarray) -> np.ndarray:
-    """Estimated counts: level q stands for 2**(q - 1) .. 2**q - 1, of which the geometric middle is taken; 0 if absent."""
-    return np.where(level > 1, 2.0 ** (level - 0.5), level)
+    """Estimated counts: the mean of a level's counts; 0 if absent."""
+    level = level.astype(np.float64)
+    return np.where(level <= EXACT, level, (bounds(level - 1) + 1 + bounds(level)) / 2)
 
 
 def bits_for(levels: int, rate: float = RATE) -> int:
     """Bits, in whole bytes, in which so many levels have that false-positive rate."""
-    return max(64, 8 * math.ceil(levels * HASHES / -math.log1p(-(rate ** (1 / HASHES))) / 8))
+    return max(4096, 8 * math.ceil(levels * HASHES / -math.log1p(-(rate ** (1 / HASHES))) / 8))
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log2(counts)).astype(np.int64)
+    """The level of a count."""
+    return np.where(counts <= EXACT, counts, EXACT + np.ceil(STEPS * np.log2(np.maximum(counts, EXACT) / EXACT) - 1e-9)).astype(np.int64)
 
 
 def slice_of(low: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     """Bits of a slice that holds the keys at all levels of their counts."""
     out, top = np.zeros(bits, bool), quantised(counts)
     for level in range(1, int(top.max(initial=0)) + 1):
-        for at in probes(low[top >= level], level, bits):
-            out[at.astype(np.int64)] = True
+        at = probes(low[top >= level], level, bits)
+        for i in range(HASHES):
+            out[at(i)] = True
     return out
 
 
@@ -156,21 +183,25 @@ def grams(row: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def asked(made: DataFrame, range_bits: int) -> DataFrame:
-    """blocks -> their n-grams, packed by key range: (part, block, n_order, low, n)."""
+    """blocks -> their n-grams, packed by key range: (part, block, n_one, low, n), tokens first, of which there are n_one, then pairs."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for order, (k, _, c) in enumerate(grams(row), 1):
+                orders = []
+                for k, _, c in grams(row):
                     which, low = split(k, range_bits)
-                    cuts = np.searchsorted(which, np.arange((1 << range_bits) + 1))
-                    data = [(r, low[a:b], c[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-                    for lo in range(0, len(data), 64):
-                        some = data[lo : lo + 64]
-                        five = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for _, x, _ in some]
-                        yield pa.record_batch({"part": [r for r, _, _ in some], "block": pa.array([row["block"]] * len(some), pa.int64()), "n_order": pa.array([order] * len(some), pa.int64()), "low": pa.array(five, pa.binary()), "n": pa.array([blocks.squeeze(c.astype(np.uint32)) for _, _, c in some], pa.binary())})
+                    orders.append((low, c.astype(np.uint32), np.searchsorted(which, np.arange((1 << range_bits) + 1))))
+                sizes = sum(np.diff(cuts) for _, _, cuts in orders)
+                of = lambda i, r: np.concatenate([o[i][o[2][r] : o[2][r + 1]] for o in orders])  # noqa: B023, E731
+                five = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                data = np.flatnonzero(sizes).tolist()
+                for lo in range(0, len(data), 64):
+                    some = data[lo : lo + 64]
+                    first = orders[0][2]
+                    yield pa.record_batch({"part": pa.array(some, pa.int64()), "block": pa.array([row["block"]] * len(some), pa.int64()), "n_one": pa.array([int(first[r + 1] - first[r]) for r in some], pa.int64()), "low": pa.array([five(of(0, r)) for r in some], pa.binary()), "n": pa.array([blocks.squeeze(of(1, r)) for r in some], pa.binary())})
 
-    return made.mapInArrow(runs, "part long, block long, n_order long, low binary, n binary")
+    return made.mapInArrow(runs, "part long, block long, n_one long, low binary, n binary")
 
 
 def wide(data: bytes) -> np.ndarray:
@@ -180,22 +211,21 @@ def wide(data: bytes) -> np.ndarray:
     return full.reshape(-1).view(np.uint64)
 
 
-def slice_for(table: pa.Table, least_pair: int, slice_bits: int | None) -> tuple[Filter, int, list[tuple[list[dict], np.ndarray, np.ndarray]]]:
-    """A range's slice, the levels entered, and by order: what was asked, the distinct keys, and each asked key's position among them."""
+def slice_for(table: pa.Table, least_pair: int, slice_bits: int | None) -> tuple[Filter, int, list[tuple[np.ndarray, np.ndarray]], list[dict]]:
+    """A range's slice, the levels entered, by order the distinct keys and each asked key's position among them, and what was asked."""
+    rows = [{k: r[k] for k in ("part", "block", "n_one")} | {"low": wide(r["low"]), "n": blocks.expand(r["n"], np.uint32)} for r in table.to_pylist()]
     entered, orders = [], []
-    for order, least in ((1, 1), (2, max(1, least_pair))):
-        rows = table.filter(pc.equal(table["n_order"], order)).to_pylist()
-        if rows:
-            low, at = np.unique(np.concatenate([wide(r["low"]) for r in rows]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([blocks.expand(r["n"], np.uint32) for r in rows]), len(low)).astype(np.int64)
-            entered.append((low[n >= least], n[n >= least]))
-            orders.append((rows, low, at))
+    for least, cut in ((1, lambda x, k: x[:k]), (max(1, least_pair), lambda x, k: x[k:])):
+        low, at = np.unique(np.concatenate([cut(r["low"], r["n_one"]) for r in rows]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([cut(r["n"], r["n_one"]) for r in rows]), len(low)).astype(np.int64)
+        entered.append((low[n >= least], n[n >= least]))
+        orders.append((low, at))
     levels = sum(int(quantised(n).sum()) for _, n in entered)
     bits = slice_bits or bits_for(levels)
     held = np.zeros(bits, bool)
     for low, n in entered:
         held |= slice_of(low, n, bits)
-    return Filter(held), levels, orders
+    return Filter(held), levels, orders, rows
 
 
 def answered(made: DataFrame, range_bits: int, bits: int | None, least_pair: int) -> DataFrame:
@@ -203,15 +233,15 @@ def answered(made: DataFrame, range_bits: int, bits: int | None, least_pair: int
     slice_bits = bits and bits >> range_bits
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        lm, _, orders = slice_for(table, least_pair, slice_bits)
-        out = []
-        for rows, low, at in orders:
-            level, done = lm.level(low)[at], 0
-            for r in rows:
-                size = len(r["low"]) // 5
-                out.append((r["block"], r["n_order"], r["part"], blocks.squeeze(level[done : done + size])))
-                done += size
-        return pa.table({name: pa.array([o[i] for o in out], kind) for i, (name, kind) in enumerate((("block", pa.int64()), ("n_order", pa.int64()), ("part", pa.int64()), ("data", pa.binary())))})
+        lm, _, orders, rows = slice_for(table, least_pair, slice_bits)
+        one, two = (lm.level(low)[at] for low, at in orders)
+        data, a, b = [], 0, 0
+        for r in rows:
+            x, y = r["n_one"], len(r["low"]) - r["n_one"]
+            data.append(r["n_one"].to_bytes(8, "little") + blocks.squeeze(np.concatenate([one[a : a + x], two[b : b + y]])))
+            a, b = a + x, b + y
+        n = len(rows)
+        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "n_order": pa.array([1] * n, pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()), "data": pa.array(data, pa.binary())})
 
     return asked(made, range_bits).groupBy("part").applyInArrow(answer, "block long, n_order long, part long, data binary")
 
@@ -221,13 +251,13 @@ def built(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     return materialize(blocks.build(marked, words, flag="train"), "lm-blocks")
 
 
-def report(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 2) -> DataFrame:
+def report(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 1) -> DataFrame:
     """docs(doc_id, text, ...) -> (part, levels, bits, fill) of each slice of the filter."""
     range_bits = ranges(docs)
     slice_bits = bits and bits >> range_bits
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        lm, levels, _ = slice_for(table, least_pair, slice_bits)
+        lm, levels, _, _ = slice_for(table, least_pair, slice_bits)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels], pa.int64()), "bits": pa.array([len(lm.held)], pa.int64()), "fill": pa.array([lm.fill()], pa.float64())})
 
     return asked(built(docs, modulus, held), range_bits).groupBy("part").applyInArrow(one, "part long, levels long, bits long, fill double")
@@ -273,11 +303,16 @@ def counted(made: DataFrame, range_bits: int) -> DataFrame:
 
 
 def ranges(docs: DataFrame) -> int:
-    """Bits of the key range: 2 MB of text to a range as Catalyst estimates it, at most 2**18 ranges (400 MB to a range at 100 TB)."""
-    return min(18, max(4, (size_hint(docs) >> 21).bit_length()))
+    """Bits of the key range: RANGE_BYTES to a range, at most 2**18 ranges (400 MB to a range at 100 TB)."""
+    return min(18, max(5, (size_hint(docs) // RANGE_BYTES).bit_length()))
+
+
+def smoothed(pair: np.ndarray, context: np.ndarray, word: np.ndarray, whole: float, mu: float = MU) -> np.ndarray:
+    """Probability of words after contexts, of the counts of the pair, the context and the word."""
+    return (pair + mu * (word + 0.1) / whole) / (context + mu)
 
 
-def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 2, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None = None, least_pair: int = 1, mu: float = MU) -> DataFrame:
     """docs(doc_id, text, ...) -> RESULT for every document; those whose remainder is not ``held`` train."""
     made = built(docs, modulus, held)
     range_bits = ranges(docs)
@@ -290,7 +325,12 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None =
     def scored(key: tuple, held_rows: pa.Table, got: pa.Table) -> pa.Table:
         out, found = [], {0: [], 1: [], 2: []}
         for r in got.sort_by("part").to_pylist():
-            found[r["n_order"]].append(blocks.expand(r["data"], np.uint8 if r["n_order"] else np.int64))
+            if r["n_order"]:
+                levels, n_one = blocks.expand(r["data"][8:], np.uint8), int.from_bytes(r["data"][:8], "little")
+                found[1].append(levels[:n_one])
+                found[2].append(levels[n_one:])
+            else:
+                found[0].append(blocks.expand(r["data"], np.int64))
         for row in held_rows.to_pylist():
             exact = np.zeros(len(row["tokens"]), np.int64)
             exact[by_range(row["tokens"], range_bits)[1]] = np.concatenate(found[0])
@@ -298,10 +338,9 @@ def score(docs: DataFrame, modulus: int = 10, held: int = 0, bits: int | None =
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
             one, two = (typical(np.concatenate(found[order]))[at] for order, (_, at, _) in enumerate(grams(row), 1))
             context = np.empty(len(flat))
-            context[1:] = one[flat[:-1]]
-            context[starts] = one[row["tokens"].index(END)]  # as many starts as ends
-            two = np.minimum(two, np.minimum(context, one[flat]))
-            p = (two + mu * (one[flat] + 0.1) / whole) / (context + mu)
+            context[1:] = exact[flat[:-1]]
+            context[starts] = exact[row["tokens"].index(END)]  # as many starts as ends
+            p = smoothed(np.where(one[flat] > 0, np.minimum(two, context), 0.0), context, exact[flat], whole, mu)
             base = np.log10((exact + 0.1) / whole)[flat]
             cols = (np.add.reduceat(x, starts) for x in ((exact[flat] > 0).astype(np.int64), base, np.log10(p)))
             known, base_sum, score_sum = cols
