@@ -13,9 +13,13 @@ repetition cut a candidate, what is left on either side is a candidate of its ow
 without the separators at the cut. An allow-list suppresses UUIDs, labelled digests,
 dates, versions and paths.
 
-Positions come from a single extraction of (gap, match) pairs, whose lengths
+Positions come from the (gap, match) pairs of a text, whose lengths
 are summed, ``GROUP`` matches at a time, so that the work follows the number of matches. The gap is
-lazy and the pattern ends with an alternative for the end of the text, so a text is passed over once.
+lazy and the pattern ends with an alternative for the end of the text. A pattern passes over a text once to see whether it
+matches at all, and twice more, for pairs and gaps, if it does. What lies between spans is read from pieces of ``PIECE``
+characters, so that no step counts characters from the text's start; spans of patterns are masked in a copy
+of the text, from which each candidate learns what of it they cover. So scanning and redacting take time in
+proportion to text and spans.
 
 Defined results: null text is empty and has no spans; spans count code points,
 end exclusive; added spans never overlap a pattern's span; the
@@ -45,8 +49,10 @@ WINDOW = 20
 CHUNK = 4096
 #: Counters to a whole number, and bits to a counter (a count is at most WINDOW).
 FIELDS, BITS = 12, 5
-#: Matches whose positions are summed together.
-GROUP = 256
+#: Matches whose positions are summed together, and characters to a piece of a text.
+GROUP, PIECE = 256, 4096
+#: Fixed value: stands for masked characters; no token character.
+MASK = "\x01"
 #: Least entropy, in bits, of a window of 20 characters by class.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.7}
 #: Candidates that are no secrets, matched against the whole candidate. A last segment of letters and digits is bounded, so that no key passes as one.
@@ -64,40 +70,92 @@ FILLER = r"()(^(?<r>.{1,4})\k<r>{4,}|(?i:example|placeholder|changeme|dummy|samp
 
 
 def segments(text: Column, pattern: str) -> Column:
-    """array<struct<gap, head, body>> over the text; the last has an empty match."""
+    """array<struct<gap, hit>> over the text: hit is what the pattern matches and gap the text before; the last has an empty match."""
     whole = F.lit(rf"(?s)(.*?)(?:{pattern}|\z)")
-    part = lambda k: F.regexp_extract_all(text, whole, k)
-    return F.arrays_zip(part(1).alias("gap"), part(2).alias("head"), part(3).alias("body"))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, whole, 0).alias("both"), F.regexp_extract_all(text, whole, 1).alias("gap"))
+    return F.transform(pairs, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.substring(p["both"], F.length(p["gap"]) + 1, F.length(p["both"])).alias("hit")))
 
 
 def groups(items: Column) -> Column:
     """The array in runs of GROUP elements, so that no step appends to an array of unbounded length."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / GROUP).cast("int")), lambda k: F.slice(items, k * GROUP + 1, F.lit(GROUP)))
+    one = F.array(F.struct(items.alias("all")))  # a field, which a lambda reads without evaluating it anew
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["all"]) - 1) / GROUP).cast("int")), lambda k: F.slice(x["all"], k * GROUP + 1, F.lit(GROUP)))
+    return F.element_at(F.transform(one, cut), 1)
+
+
+def grouped(items: Column, width: Column, start: Column, add, kind: str) -> Column:
+    """array<struct<parts, at>>: ``items`` in groups with the running value before each; ``width`` of a group's items and ``add`` give the next."""
+    sized = F.transform(groups(items), lambda g: F.struct(g.alias("parts"), width(g).alias("width")))
+    seed = F.struct(start.alias("at"), F.array().cast(f"array<struct<parts:array<{kind}>,at:int>>").alias("out"))
+    step = lambda acc, g: F.struct(add(acc["at"], g["width"]).alias("at"), F.concat(acc["out"], F.array(F.struct(g["parts"].alias("parts"), acc["at"].alias("at")))).alias("out"))
+    return F.aggregate(sized, seed, step, lambda acc: acc["out"])
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
-    """array<struct<start, kind, end, body>> of the non-overlapping matches in order."""
+    """array<struct<start, kind, end, body>> of the non-overlapping matches in order; body is all that matched."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int,body:string>>")
-    width = lambda s: F.length(s["gap"]) + F.length(s["head"]) + F.length(s["body"])
+    width = lambda s: s["gap"] + F.length(s["hit"])
 
     def placed(run: Column) -> Column:
         seed = F.struct(run["at"].alias("at"), none.alias("found"))
 
         def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + F.length(s["gap"])
+            start = acc["at"] + s["gap"]
             end = acc["at"] + width(s)
-            one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["body"].alias("body")))
+            one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["hit"].alias("body")))
             return F.struct(end.alias("at"), F.when(end > start, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
         return F.aggregate(run["parts"], seed, step, lambda acc: acc["found"])
 
     # Each group's start first, from the groups' lengths; then the matches of each group.
-    sized = F.transform(groups(segments(text, pattern)), lambda g: F.struct(g.alias("parts"), F.aggregate(g, F.lit(0), lambda n, s: n + width(s)).alias("width")))
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<parts:array<struct<gap:string,head:string,body:string>>,at:int>>").alias("out"))
-    runs = F.aggregate(sized, seed, lambda acc, g: F.struct((acc["at"] + g["width"]).alias("at"), F.concat(acc["out"], F.array(F.struct(g["parts"].alias("parts"), acc["at"].alias("at")))).alias("out")), lambda acc: acc["out"])
+    runs = grouped(segments(text, pattern), lambda g: F.aggregate(g, F.lit(0), lambda n, s: n + width(s)), F.lit(0), lambda at, w: at + w, "struct<gap:int,hit:string>")
     return F.when(F.regexp_like(text, F.lit(pattern)), F.flatten(F.transform(runs, placed))).otherwise(none)
 
 
+def gaps(spans: Column, start: Column) -> Column:
+    """array<struct<start, end>>: the stretch before each maximal run of overlapping or touching sorted spans, from ``start`` on (a span at ``start`` has an empty one)."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def placed(run: Column) -> Column:
+        seed = F.struct(run["at"].alias("at"), none.alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            one = F.array(F.struct(F.greatest(acc["at"], start).alias("start"), s["start"].alias("end")))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(run["parts"], seed, step, lambda acc: acc["out"])
+
+    bare = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    runs = grouped(bare, lambda g: F.array_max(F.transform(g, lambda s: s["end"])), start - 1, lambda at, top: F.greatest(at, top), "struct<start:int,end:int>")
+    return F.when(F.size(spans) > 0, F.flatten(F.transform(runs, placed))).otherwise(none)
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(held: Column, start: Column, end: Column) -> Column:
+    """Characters start .. end of a text in pieces; only the pieces that they lie in are read."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    near = F.array_join(F.slice(held, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(near, start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
+
+
+def filled(text: Column, spans: Column, mark) -> Column:
+    """The text with each maximal stretch of overlapping or touching sorted spans replaced by ``mark(length)``."""
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    # Fields first: a lambda would evaluate an expression anew for each element.
+    one = F.array(F.struct(pieces(text).alias("held"), gaps(spans, F.lit(0)).alias("gaps"), last.alias("last"), F.length(text).alias("n")))
+
+    def whole(x: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(x["gaps"], F.lit(2), F.size(x["gaps"])), lambda g: g["start"]), F.array(x["last"]))
+        parts = F.zip_with(x["gaps"], ends, lambda g, to: F.concat(between(x["held"], g["start"], g["end"]), mark(to - g["end"])))
+        return F.concat(F.array_join(parts, ""), between(x["held"], x["last"], x["n"]))
+
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(one, whole), 1)).otherwise(text)
+
+
 def entropy_span(body: Column, threshold: Column) -> Column:
     """struct<first, last>: the stretch of ``body`` that windows of at least the threshold cover; last is -1 if there is none.
 
@@ -156,37 +214,36 @@ def most_sum(entropy: float) -> int:
 
 def stretches(c: Column, cuts: Column) -> Column:
     """array<struct<start, end, body>>: what sorted ``cuts`` leave of a candidate, without the separators at a cut."""
-    seed = F.struct(c["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        left = F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], left)).otherwise(acc["out"]).alias("out"))
-
-    def last(acc: Column) -> Column:
-        return F.when(acc["at"] < c["end"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), c["end"].alias("end"))))).otherwise(acc["out"])
+    last = F.coalesce(F.array_max(F.transform(cuts, lambda s: s["end"])), c["start"])
+    left = F.concat(gaps(cuts, c["start"]), F.array(F.struct(last.alias("start"), c["end"].alias("end"))))
 
     def trimmed(s: Column) -> Column:
-        body = F.substring(c["body"], s["start"] - c["start"] + 1, s["end"] - s["start"])
+        body = between(c["held"], s["start"] - c["start"], s["end"] - c["start"])
         front = F.when(s["start"] > c["start"], F.length(F.regexp_extract(body, r"^[+/_=-]*", 0))).otherwise(F.lit(0))
         back = F.when(s["end"] < c["end"], F.length(F.regexp_extract(body, r"(?<![+/_=-])[+/_=-]*$", 0))).otherwise(F.lit(0))
         return F.struct((s["start"] + front).alias("start"), (s["end"] - back).alias("end"), F.substring(body, front + 1, s["end"] - s["start"] - front - back).alias("body"))
 
-    parts = F.transform(F.aggregate(cuts, seed, step, last), trimmed)
+    parts = F.transform(F.filter(left, lambda s: s["end"] - s["start"] >= WINDOW), trimmed)
     return F.filter(parts, lambda s: (F.length(s["body"]) >= WINDOW) & F.regexp_like(s["body"], F.lit("[0-9]")))
 
 
-def entropy_spans(candidates: Column, base: Column) -> Column:
+def entropy_spans(candidates: Column, base: Column, text: Column) -> Column:
     """Spans of kind entropy within what ``base`` and fillers leave of candidates, off the allow-list."""
     allowed = "^(?:" + "|".join(f"(?:{p})" for p in ALLOWED) + ")$"
     off = lambda c: F.regexp_like(c["body"], F.lit(allowed))
 
     def left(c: Column) -> Column:
-        bare = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"))
-        over = F.transform(F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), lambda b: bare(b, F.lit(0)))
-        fill = F.transform(matches(c["body"], FILLER, 3), lambda m: bare(m, c["start"]))
-        return stretches(c, F.sort_array(F.concat(over, fill)))
-
-    kept = F.filter(F.flatten(F.transform(F.filter(candidates, lambda c: ~off(c)), left)), lambda c: ~off(c))
+        moved = lambda m: F.struct((m["start"] + c["start"]).alias("start"), (m["end"] + c["start"]).alias("end"))
+        cuts = F.concat(F.transform(matches(c["masked"], f"(){MASK}+", 3), moved), F.transform(matches(c["body"], FILLER, 3), moved))
+        one = F.array(F.struct(c["start"].alias("start"), c["end"].alias("end"), pieces(c["body"]).alias("held"), F.sort_array(cuts).alias("cuts")))
+        return F.element_at(F.transform(one, lambda x: stretches(x, x["cuts"])), 1)
+
+    # Each candidate beside the same stretch of the text in which base spans are masked.
+    masked = F.array(F.struct(pieces(filled(text, base, lambda n: F.repeat(F.lit(MASK), n))).alias("held"), F.filter(candidates, lambda c: ~off(c)).alias("found")))
+    beside = lambda x: F.transform(x["found"], lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["body"].alias("body"), between(x["held"], c["start"], c["end"]).alias("masked")))
+    bare = F.transform(F.filter(candidates, lambda c: ~off(c)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["body"].alias("body"), c["body"].alias("masked")))
+    found = F.when(F.size(base) > 0, F.element_at(F.transform(masked, beside), 1)).otherwise(bare)
+    kept = F.filter(F.flatten(F.transform(found, left)), lambda c: ~off(c))
 
     def one(c: Column) -> Column:
         limit = F.when(F.regexp_like(c["body"], F.lit("^[0-9a-fA-F]+$")), most_sum(THRESHOLDS["hex"])).when(F.regexp_like(c["body"], F.lit("^[A-Za-z0-9]+$")), most_sum(THRESHOLDS["alnum"])).otherwise(most_sum(THRESHOLDS["base64"]))
@@ -202,10 +259,10 @@ def scan(docs: DataFrame) -> DataFrame:
     kept = docs.columns
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     df = df.withColumns({"_a": matches(F.col("_text"), ASSIGN, 0), "_k": matches(F.col("_text"), ACCESS, 1), "_h": matches(F.col("_text"), HEX, 2), "_c": matches(F.col("_text"), CANDIDATE, 3)})
-    enough = F.concat(F.filter("_a", lambda m: F.length(m["body"]) >= 8), F.filter("_k", lambda m: m["end"] - m["start"] >= 16), F.col("_h"))
+    enough = F.concat(F.filter("_a", lambda m: F.length(F.regexp_extract(m["body"], ASSIGN, 2)) >= 8), F.filter("_k", lambda m: m["end"] - m["start"] >= 16), F.col("_h"))
     bare = F.transform(enough, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     df = df.withColumn("base", F.sort_array(bare))
-    df = df.withColumn("spans", F.when(F.size("_c") > 0, F.sort_array(F.concat("base", entropy_spans(F.col("_c"), F.col("base"))))).otherwise(F.col("base")))
+    df = df.withColumn("spans", F.when(F.size("_c") > 0, F.sort_array(F.concat("base", entropy_spans(F.col("_c"), F.col("base"), F.col("_text"))))).otherwise(F.col("base")))
     return df.select(*kept, "base", "spans")
 
 
@@ -221,13 +278,4 @@ def counted(spans: Column, kind: str) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with each maximal stretch of overlapping or touching spans replaced by a mark."""
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = (s["start"] > acc["at"]) | (F.size(acc["out"]) == 0)
-        out = F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(spans, seed, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return filled(text, spans, lambda n: F.lit(mark))
