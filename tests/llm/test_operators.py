@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oracles import DATA
 from trendloom.llm import common, langid, lm, media, mixing, near, packing, secrets, suffixes, token_counts, topk
 
 
@@ -334,19 +335,50 @@ def test_lm_filter_grows_with_the_input(spark):
         toks = {i: [*t.split(), lm.END] for i, t in some}
         one = Counter(w for i, ws in toks.items() if rem(i) for w in ws)
         two = Counter(p for i, ws in toks.items() if rem(i) for p in zip([None, *ws[:-1]], ws))
-        two = Counter({p: n for p, n in two.items() if n > 1})
         got = lm.report(docs).collect()
-        assert sum(r["levels"] for r in got) == sum(1 + int(math.log2(n)) for c in (one, two) for n in c.values())
-        assert all(r["fill"] < 0.25 and (r["bits"] <= 32 * r["levels"] or r["bits"] == 64) for r in got)
-        mid = lambda n: 2.0 ** (int(math.log2(n)) + 0.5) if n > 1 else float(n)
+        level = lambda n: n if n <= 8 else 8 + math.ceil(4 * math.log2(n / 8) - 1e-9)
+        assert sum(r["levels"] for r in got) == sum(level(n) for c in (one, two) for n in c.values())
+        assert all(r["fill"] < 0.3 and (r["bits"] <= 32 * r["levels"] or r["bits"] == 4096) for r in got)
+        top = lambda q: q if q <= 8 else math.floor(8 * 2 ** ((q - 8) / 4))
+        mid = lambda n: (top(level(n) - 1) + 1 + top(level(n))) / 2 if n else 0.0
         whole = sum(one.values()) + 0.1 * (len(one) + 1)
+        off = []
         for r in lm.score(docs).collect():
             want, before = 0.0, None
             for w in toks[r["doc_id"]]:
-                context, mine = mid(one[lm.END if before is None else before]), mid(one[w])
-                want += math.log10((min(mid(two[before, w]), context, mine) + 20 * (mine + 0.1) / whole) / (context + 20))
+                context = one[lm.END if before is None else before]
+                want += math.log10((min(mid(two[before, w]), context) + 20 * (one[w] + 0.1) / whole) / (context + 20))
                 before = w
-            assert abs(r["score"] - want) < 0.02 * r["n_tokens"]
+            off.append(abs(r["score"] - want))
+        # A false positive moves one token's count by a level.
+        assert sum(x > 1e-6 for x in off) <= 4 and max(off) < 0.5
+
+
+def test_lm_probabilities_of_a_context_sum_to_one():
+    rnd = random.Random(4)
+    text = [min(int(rnd.expovariate(0.05)), 199) for _ in range(20_000)]
+    one, two = Counter(text), Counter(zip(text, text[1:]))
+    ids = {p: k for k, p in enumerate(two)}
+    keys = lm.token_keys([f"{a} {b}" for a, b in ids])
+    low = lm.split(keys, 4)[1]
+    counts = np.array([two[p] for p in ids])
+    levels = lm.quantised(counts)
+    f = lm.Filter(lm.slice_of(low, counts, lm.bits_for(int(levels.sum()))))
+    whole = len(text) + 0.1 * (len(one) + 1)
+    for v in one:
+        every = lm.split(lm.token_keys([f"{v} {w}" for w in one]), 4)[1]
+        got = np.minimum(lm.typical(f.level(every)), one[v])
+        p = lm.smoothed(got, np.full(len(one), float(one[v])), np.array([one[w] for w in one], float), whole)
+        unseen = lm.smoothed(np.zeros(1), np.array([float(one[v])]), np.zeros(1), whole)
+        # Exact where no count is beyond EXACT, up to the last word of the text, which nothing follows; else half a level's width.
+        exact = all(two[v, w] <= lm.EXACT for w in one)
+        assert abs(p.sum() + unseen[0] - 1) < (0.06 if not exact else 1 / (one[v] + 20) if v == text[-1] else 1e-9)
+
+
+def test_lm_beats_its_base_on_texts_held_out(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet")) if (DATA / "sf0.01").is_dir() else pytest.skip("no tables here")
+    held = lm.score(docs).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.count("*").alias("n"), F.count_if(F.col("score") > F.col("base_score")).alias("better")).first()
+    assert held["score"] > held["base"] and held["better"] > 0.5 * held["n"]
 
 
 def test_secrets_beside_other_spans(spark):
