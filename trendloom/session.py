@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Applications whose part of the shared folder has been made.
+_MADE: set[str] = set()
 
 
 def session(app: str = "trendloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -33,9 +35,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/trendloom/{app}"
+    if app not in _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(app)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written as a table in the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/trendloom/cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
