@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import io
 import math
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import scratch
 
 #: Fixed value: the white space that separates words in every contract.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,7 +40,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
