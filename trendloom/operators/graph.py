@@ -145,20 +145,23 @@ def expand(edges: DataFrame, centre: DataFrame, most: int = 600) -> DataFrame:
     return edges.join(c, ["src_label", "src"]).select("src_label", "src", "rel", "dst_label", "dst").distinct().orderBy("src_label", "src", "rel", "dst_label", "dst").limit(most)
 
 
+#: Lists of a neighbourhood by relation.
+LISTS = {"HAS_TAG": "tags", "HAS_CATEGORY": "categories", "HAS_SEASON": "seasons", "IS_COMBO_WITH": "combos", "RELATED": "related", "RECORDED_ON": "dates"}
+
+
 def neighbourhood(edges: DataFrame, centre: DataFrame | None = None) -> DataFrame:
-    """keyword -> tags, categories, seasons, combos with their ingredients, related (both directions), dates: one aggregate for each relation, joined.
+    """keyword -> tags, categories, seasons, combos with their ingredients, related (both directions), dates: one aggregate of all relations.
 
     A keyword's lists are one row, as the lookup of single keywords wants them; ``centre``(k) limits the
     work to the keywords asked for before anything is collected.
     """
-    mine = edges.where("src_label = 'Keyword'").select(F.col("src").alias("k")).distinct()
-    mine = mine.join(centre.select("k").distinct(), "k") if centre is not None else mine
-    lists = lambda e, name: e.join(mine, "k").groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias(name))
-    of = lambda rel: edges.where(F.col("rel") == rel).select(F.col("src").alias("k"), F.col("dst").alias("v"))
-    related = of("RELATED").union(edges.where("rel = 'RELATED'").select("dst", "src"))
     held = edges.where("rel = 'INCLUDES'").groupBy(F.col("src").alias("v")).agg(F.array_join(F.array_sort(F.collect_set("dst")), "+").alias("held"))
-    combos = of("IS_COMBO_WITH").distinct().join(held, "v", "left").select("k", F.concat("v", F.lit("("), F.coalesce("held", F.lit("")), F.lit(")")).alias("v"))
-    out = mine
-    for name, e in (("tags", of("HAS_TAG")), ("categories", of("HAS_CATEGORY")), ("seasons", of("HAS_SEASON")), ("combos", combos), ("related", related), ("dates", of("RECORDED_ON"))):
-        out = out.join(lists(e, name), "k", "left")
-    return out
+    own = edges.where(F.col("rel").isin(*LISTS) & ((F.col("src_label") == "Keyword") | (F.col("rel") == "RELATED"))).select(F.col("src").alias("k"), "rel", F.col("dst").alias("v"), F.col("src_label") == "Keyword")
+    combos = edges.where("rel = 'IS_COMBO_WITH'").select(F.col("src").alias("k"), F.col("dst").alias("v"), (F.col("src_label") == "Keyword").alias("mine")).distinct().join(held, "v", "left")
+    combos = combos.select("k", F.lit("IS_COMBO_WITH"), F.concat("v", F.lit("("), F.coalesce("held", F.lit("")), F.lit(")")), "mine")
+    back = edges.where("rel = 'RELATED'").select("dst", "rel", "src", F.lit(False))
+    rows = own.where("rel <> 'IS_COMBO_WITH'").union(combos).union(back).toDF("k", "rel", "v", "mine")
+    rows = rows.join(centre.select("k").distinct(), "k", "left_semi") if centre is not None else rows
+    lists = [F.collect_set(F.when(F.col("rel") == rel, F.col("v"))).alias(name) for rel, name in LISTS.items()]
+    out = rows.groupBy("k").agg(F.max("mine").alias("_mine"), *lists).where("_mine")
+    return out.select("k", *[F.when(F.size(name) > 0, F.array_join(F.array_sort(name), ",")).alias(name) for name in LISTS.values()])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,37 +33,80 @@ def whitelist(picks: DataFrame, weights: DataFrame) -> DataFrame:
     return picks.join(weights, "phrase").select("pos", F.col("phrase").alias("keyword"), F.col("weight").alias("count"))
 
 
-def substring_matches(new: DataFrame, base: DataFrame) -> DataFrame:
+#: Characters of keywords to an automaton (some 100 bytes of it for each).
+AUTOMATON_CHARS = 2 << 20
+
+
+def automata(base: DataFrame, limit: int = AUTOMATON_CHARS) -> list[tuple[Column, int]]:
+    """base(part, count, times) -> a condition on ``part`` and a number of characters for each automaton needed.
+
+    Keywords are split by their first characters until each range of them has ``limit`` characters at the most;
+    a range of keywords that share as many as they have is the one that may be larger.
+    """
+    out, open_ranges, depth = [], [F.lit(True)], 0
+    while open_ranges:
+        depth += 1
+        head = F.substring("part", 1, depth)
+        todo = []
+        for within in open_ranges:
+            sizes = base.where(within).groupBy(head.alias("head")).agg(F.sum(F.length("part")).alias("n"), F.max(F.length("part")).alias("longest")).orderBy("head")
+            run, held = [], 0
+            # As many rows as there are first characters beyond the ones shared so far.
+            for r in sizes.toLocalIterator():
+                if r["n"] > limit and r["longest"] > depth:
+                    todo.append(within & (head == r["head"]))
+                    continue
+                if run and held + r["n"] > limit:
+                    out.append((within & head.isin(run), held))
+                    run, held = [], 0
+                run.append(r["head"])
+                held += r["n"]
+            if run:
+                out.append((within & head.isin(run), held))
+        open_ranges = todo
+    return out
+
+
+def substring_matches(new: DataFrame, base: DataFrame, limit: int = AUTOMATON_CHARS) -> DataFrame:
     """new(keyword, ...) + new_count and matched_parts of the base(keyword, count) keywords contained in each; a null keyword contains none, and the empty one is in none.
 
-    Both sides meet by equality, never pair by pair. A base keyword of three words or more can only be in texts that
-    have its inner words (an inner pair of neighbours, where there is one) between blanks too, so texts are looked up by their words and pairs of words; one of one word, or
-    two, lies within a word, or a pair, and is looked up among the substrings of the distinct words, or pairs, of all texts.
-    What meets is then compared. Texts are named by a digest, so copies are looked up once.
+    The base keywords make a trie with failure links, through which a text passes once, however many keywords there
+    are and however long its words. Keywords are counted first: they are fetched and broadcast in shares of ``limit`` characters at the most, by their
+    first characters, and texts pass automaton by automaton; what one finds is a column that the next adds to.
     """
-    texts = spread(new.select("keyword")).select("keyword", F.md5(F.col("keyword").cast("binary")).alias("_k")).where("keyword is not null")
-    split = texts.select("_k", F.split("keyword", " ").alias("w"))
-    sets = cut(split.select("_k", F.array_union("w", ngrams(F.col("w"), 2)).alias("tokens")))
-    tokens = sets.select("_k", F.explode("tokens").alias("token"))
-    b = base.where("keyword <> ''").groupBy(F.col("keyword").alias("part")).agg(F.sum("count").alias("count"), F.count("*").cast("int").alias("times"))
-    words = F.split("part", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    b = cut(b.withColumns({"words": F.size(words), "token": F.coalesce(longest(ngrams(inner, 2)), longest(inner))}))
-    met = tokens.join(b.where("words > 2").select("token", "part"), "token").select("_k", "part")
-    for n in (1, 2):
-        short = b.where(F.col("words") == n).select("part")
-        # At most as many lengths as the longest of these keywords has characters.
-        lengths = sorted(r[0] for r in short.select(F.length("part")).distinct().collect())
-        if lengths:
-            letters = tokens.select("token").where(F.size(F.split("token", " ")) == n).distinct().select("token", F.filter(F.split("token", ""), lambda c: c != "").alias("c"))
-            run = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - size + 1, F.lit(1))), lambda i: F.array_join(F.slice("c", i, F.lit(size)), ""))
-            within = letters.select("token", F.explode(F.array_distinct(F.concat(*map(run, lengths)))).alias("part")).join(short, "part")
-            met = met.union(tokens.join(within, "token").select("_k", "part"))
-    met = met.distinct().join(b.select("part", "count", "times"), "part").join(texts, "_k").where(F.contains("keyword", "part")).select("_k", "part", "count", "times").distinct()
-    found = met.groupBy("_k").agg(F.sum("count").alias("_n"), F.array_sort(F.flatten(F.collect_list(F.array_repeat("part", F.col("times"))))).alias("_parts"))
-    out = new.withColumn("_k", F.md5(F.col("keyword").cast("binary"))).join(found, "_k", "left")
-    return out.select(*new.columns, F.coalesce("_n", F.lit(0)).alias("new_count"), F.coalesce("_parts", F.array().cast("array<string>")).alias("matched_parts"))
+    spark = new.sparkSession
+    b = cut(base.where("keyword <> ''").groupBy(F.col("keyword").alias("part")).agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("count"), F.count("*").cast("int").alias("times")))
+    names = [c for c in new.columns if c not in ("new_count", "matched_parts")]
+    out = new.select(*names, F.lit(0).cast("long").alias("new_count"), F.array().cast("array<string>").alias("matched_parts"))
+    schema = out.schema
+    shares = automata(b, limit)
+    for k, (within, _) in enumerate(shares):
+        held = spark.sparkContext.broadcast([tuple(r) for r in b.where(within).select("part", "count", "times").toLocalIterator()])
+        out = (spread(out) if k == 0 else cut(out)).mapInArrow(finder(held), schema)
+    return out
+
+
+def finder(held):
+    """Adds to new_count and matched_parts of each row what the broadcast (part, count, times) rows find in its keyword."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        trie, rows = ahocorasick.Automaton(), held.value
+        for i, (part, _, _) in enumerate(rows):
+            trie.add_word(part, i)
+        trie.make_automaton()
+        for batch in batches:
+            counts, parts = [], []
+            for text, n, before in zip(batch["keyword"], batch["new_count"].to_pylist(), batch["matched_parts"].to_pylist()):
+                text = text.as_py()
+                found = {i for _, i in trie.iter(text)} if text else ()
+                counts.append(n + sum(rows[i][1] for i in found))
+                parts.append(sorted([*before, *(rows[i][0] for i in found for _ in range(rows[i][2]))]) if found else before)
+            columns = {"new_count": pa.array(counts, pa.int64()), "matched_parts": pa.array(parts, pa.list_(pa.string()))}
+            yield pa.record_batch([columns[c] if c in columns else batch[c] for c in batch.schema.names], names=batch.schema.names)
+
+    return run
 
 
 def importance(counts: DataFrame, count: str = "count") -> DataFrame:

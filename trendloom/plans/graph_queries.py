@@ -14,22 +14,35 @@ from .text_queries import query, table
 YEAR = "1998"
 
 
-def edges(spark, d):
-    """Edges with the year of shipping as round for dates and combos, and 'base' for the rest; deduplicated as numbers, before names are made."""
-    line = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.year("l_shipdate").alias("year")).distinct()
-    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size").distinct()
-    supplier = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey")).select("s_suppkey", "n_name").distinct()
-    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
-    year, base = F.col("year").cast("string"), F.lit("base")
-    of = lambda rows, *xs, when=None: (rows.where(when) if when is not None else rows).select(F.explode(F.array(*xs)).alias("e"), "round").select("e.*", "round")
-    out = of(line.select("l_partkey", "year").distinct().withColumn("round", year), g.edge("Keyword", name("p", "l_partkey"), "RECORDED_ON", "Date", year))
-    out = out.union(of(line.withColumn("round", year), g.edge("Keyword", name("p", "l_partkey"), "IS_COMBO_WITH", "Combo", name("s", "l_suppkey"))))
+def edges(spark, d, *rels):
+    """Edges, of some relations or of all, with the year of shipping as round for dates and combos, and 'base' for the rest.
+
+    Deduplicated as numbers, before names are made. Each relation is a branch of its own with a constant
+    name, so what reads one relation computes no other.
+    """
+    line = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy").alias("year"))
+    part = table(spark, d, "part")
+    supplier = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey")).select("s_suppkey", "n_name")
+    name = lambda letter, c: F.concat(F.lit(letter), (F.col(c) if isinstance(c, str) else c).cast("string"))
     key = name("p", "p_partkey")
-    made = [g.edge("Keyword", key, "HAS_TAG", "Tag", F.col("p_type")), g.edge("Keyword", key, "HAS_CATEGORY", "Category", F.col("p_brand")), g.edge("Keyword", key, "HAS_SEASON", "Season", name("z", F.col("p_size") % 4))]
-    out = out.union(of(part.withColumn("round", base), *made))
-    # Every tenth part is related to one that isn't sold.
-    out = out.union(of(part.withColumn("round", base), g.edge("Keyword", key, "RELATED", "Keyword", name("p", F.col("p_partkey") + 1000000)), when=F.col("p_partkey") % 10 == 0))
-    return out.union(of(supplier.withColumn("round", base), g.edge("Combo", name("s", "s_suppkey"), "INCLUDES", "Ingredient", F.col("n_name"))))
+    base = F.lit("base")
+    # By relation: distinct numbers, the edge made of them, its round.
+    made = {
+        "RECORDED_ON": (line.select("l_partkey", "year"), g.edge("Keyword", name("p", "l_partkey"), "RECORDED_ON", "Date", F.col("year")), F.col("year")),
+        "IS_COMBO_WITH": (line, g.edge("Keyword", name("p", "l_partkey"), "IS_COMBO_WITH", "Combo", name("s", "l_suppkey")), F.col("year")),
+        "HAS_TAG": (part.select("p_partkey", "p_type"), g.edge("Keyword", key, "HAS_TAG", "Tag", F.col("p_type")), base),
+        "HAS_CATEGORY": (part.select("p_partkey", "p_brand"), g.edge("Keyword", key, "HAS_CATEGORY", "Category", F.col("p_brand")), base),
+        "HAS_SEASON": (part.select("p_partkey", (F.col("p_size") % 4).alias("z")), g.edge("Keyword", key, "HAS_SEASON", "Season", name("z", "z")), base),
+        # Every tenth part is related to one that isn't sold.
+        "RELATED": (part.where(F.col("p_partkey") % 10 == 0).select("p_partkey"), g.edge("Keyword", key, "RELATED", "Keyword", name("p", F.col("p_partkey") + 1000000)), base),
+        "INCLUDES": (supplier, g.edge("Combo", name("s", "s_suppkey"), "INCLUDES", "Ingredient", F.col("n_name")), base),
+    }
+    out = None
+    for rel in rels or made:
+        rows, e, r = made[rel]
+        one = rows.distinct().select(e.alias("e"), r.alias("round")).select("e.*", "round")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def graph(spark, d):
@@ -38,10 +51,21 @@ def graph(spark, d):
     return cut(nodes(spark, d, e)), e
 
 
+def keywords(spark, d):
+    """Keywords by year with the year's quantity as count."""
+    line = table(spark, d, "lineitem").groupBy("l_partkey", F.date_format("l_shipdate", "yyyy").alias("round")).agg(F.sum("l_quantity").cast("long").alias("count"))
+    return line.select(F.lit("Keyword").alias("label"), F.concat(F.lit("p"), "l_partkey").alias("key"), "round", "count")
+
+
+def totals(spark, d):
+    """Counts of keywords over all rounds, those that are only related with 0; no other node is built."""
+    stubs = edges(spark, d, "RELATED").select(F.lit("Keyword").alias("label"), F.col("dst").alias("key"), "round", F.lit(0).cast("long").alias("count"))
+    return g.keyword_totals(keywords(spark, d).union(stubs).withColumn("importance", F.lit(None).cast("double")))
+
+
 def nodes(spark, d, e):
-    """Keywords by year with the year's quantity as count; other labels from the edges and from all nations."""
-    line = table(spark, d, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("key"), F.date_format("l_shipdate", "yyyy").alias("round")).agg(F.sum("l_quantity").cast("long").alias("count"))
-    own = line.select(F.lit("Keyword").alias("label"), "key", "round", "count")
+    """Keywords by year; other labels from the edges and from all nations."""
+    own = keywords(spark, d)
     ends = e.where("dst_label <> 'Keyword' or rel = 'RELATED'")
     ends = ends.select(F.col("dst_label").alias("label"), F.col("dst").alias("key"), "round", F.when(F.col("rel") == "RELATED", F.lit(0)).cast("long").alias("count")).distinct()
     extra = table(spark, d, "nation").select(F.lit("Ingredient").alias("label"), F.concat("n_name", F.lit("_X")).alias("key"), F.lit("base").alias("round"), F.lit(None).cast("long").alias("count")).where("key like '%_1_X'")
@@ -94,8 +118,12 @@ def untagged_keywords(spark, d):
 SELECT i.dst AS ingredient, max(r.dst) AS latest, sum(t.count)::BIGINT AS freq FROM de i JOIN de c ON i.rel = 'INCLUDES' AND c.rel = 'IS_COMBO_WITH' AND c.dst = i.src JOIN tot t ON t.name = c.src LEFT JOIN de r ON r.rel = 'RECORDED_ON' AND r.src = c.src
 GROUP BY i.dst ORDER BY latest DESC NULLS LAST, freq DESC NULLS LAST, ingredient LIMIT 10""")
 def ingredient_candidates(spark, d):
-    n, e = graph(spark, d)
-    return rt.ingredient_candidates(e, g.keyword_totals(n))
+    return rt.ingredient_candidates(edges(spark, d, "INCLUDES", "IS_COMBO_WITH", "RECORDED_ON"), totals(spark, d))
+
+
+def conditions(spark, d):
+    """The relations that questions put conditions on."""
+    return edges(spark, d, "HAS_TAG", "HAS_SEASON", "HAS_CATEGORY")
 
 
 #: (qid, tags, season, category); some match much, some little, some nothing.
@@ -128,8 +156,7 @@ rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, rung ORDER
 @query(f"WITH {GRAPH}, {ASKED}, {RUNG_ROWS} SELECT qid, rank, keyword, count FROM rk WHERE rung = 0")
 def menu_candidates(spark, d):
     cond = questions(spark).withColumn("rung", F.lit(0))
-    n, e = graph(spark, d)
-    rows = rt.menu_rows(cond, g.keyword_totals(n), e)
+    rows = rt.menu_rows(cond, cut(totals(spark, d)), conditions(spark, d))
     return rt.top_rows(rows, ["qid"]).select("qid", "rank", "keyword", "count")
 
 
@@ -138,8 +165,7 @@ ch AS (SELECT qid, coalesce(min(rung) FILTER (n >= 3), max(rung)) AS rung FROM s
 SELECT c.qid, rank, keyword, count, relaxed FROM c JOIN rk ON rk.qid = c.qid AND rk.rung = c.rung
 UNION ALL SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY count DESC NULLS LAST, keyword)::INTEGER, keyword, count, concat_ws(',', nullif(relaxed, ''), 'all') FROM c, pop WHERE n = 0""")
 def relaxation_ladder(spark, d):
-    n, e = graph(spark, d)
-    return rt.relaxation_ladder(questions(spark), cut(g.keyword_totals(n)), e)
+    return rt.relaxation_ladder(questions(spark), cut(totals(spark, d)), conditions(spark, d))
 
 
 @query(f"""WITH {GRAPH}, d0 AS (SELECT src, count(DISTINCT dst) AS dates, max((dst = '{YEAR}')::INTEGER) AS here FROM e WHERE rel = 'RECORDED_ON' GROUP BY src)
@@ -181,13 +207,12 @@ def delete_round(spark, d):
 SELECT k.k, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_TAG') AS tags, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_CATEGORY') AS categories, string_agg(v, ',' ORDER BY v) FILTER (rel = 'HAS_SEASON') AS seasons,
 string_agg(v || '(' || coalesce(held, '') || ')', ',' ORDER BY v || '(' || coalesce(held, '') || ')') FILTER (rel = 'IS_COMBO_WITH') AS combos, string_agg(v, ',' ORDER BY v) FILTER (rel = 'RELATED') AS related, string_agg(v, ',' ORDER BY v) FILTER (rel = 'RECORDED_ON') AS dates FROM k LEFT JOIN l ON l.k = k.k LEFT JOIN (SELECT src AS c, string_agg(DISTINCT dst, '+' ORDER BY dst) AS held FROM e WHERE rel = 'INCLUDES' GROUP BY src) ON rel = 'IS_COMBO_WITH' AND c = v GROUP BY k.k""")
 def neighborhood(spark, d):
-    return g.neighbourhood(cut(edges(spark, d)))
+    return g.neighbourhood(edges(spark, d))
 
 
 @query(f"WITH {GRAPH} SELECT name, count, latest FROM tot LEFT JOIN (SELECT src, max(dst) AS latest FROM e WHERE rel = 'RECORDED_ON' GROUP BY src) ON src = name ORDER BY latest DESC NULLS LAST, count DESC NULLS LAST, name LIMIT 10")
 def trending(spark, d):
-    n, e = graph(spark, d)
-    return rt.trending(e, g.keyword_totals(n)).select("name", "count", "latest")
+    return rt.trending(edges(spark, d, "RECORDED_ON"), totals(spark, d)).select("name", "count", "latest")
 
 
 @query("SELECT doc_id, source FROM documents WHERE text ILIKE '%secret%' OR text ILIKE '%token_=%' ORDER BY doc_id LIMIT 5")
