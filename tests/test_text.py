@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trendloom.functions import grounding as gr
@@ -63,15 +65,17 @@ def test_wilson_and_percentiles(spark):
     x = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, 100.0, None)], "v double")
     n = F.col("n")
     places = {"a": st.nearest_rank(n, 0.95), "b": st.rounded_index(n, 0.5), "c": st.upper_median(n), "d": st.low_index(n, 0.95)}
-    assert tuple(cp.order_statistics(x, [], "v", places).first()) == (5, 100.0, 3.0, 3.0, 4.0)
-    assert tuple(cp.order_statistics(x.limit(0), [], "v", places).first()) == (None,) * 5
+    for most_rows in (0, 100):
+        assert tuple(cp.order_statistics(x, [], "v", places, most_rows).first()) == (5, 100.0, 3.0, 3.0, 4.0)
+        assert tuple(cp.order_statistics(x.limit(0), [], "v", places, most_rows).first()) == (None,) * 5
 
 
-def test_order_statistics_of_a_hot_group(spark):
+@pytest.mark.parametrize("most_rows", [0, 1 << 20])
+def test_order_statistics_of_a_hot_group(spark, most_rows):
     rnd = random.Random(6)
     rows = [("hot" if rnd.random() < 0.9 else None if i % 2 else f"k{i % 5}", rnd.choice([7.0, rnd.random() * 100])) for i in range(5000)]
     n = F.col("n")
-    got = cp.order_statistics(spark.createDataFrame(rows, "`the key` string, v double").repartition(8), ["the key"], "v", {"low": F.lit(1), "mid": st.upper_median(n), "p95": st.nearest_rank(n, 0.95), "top": n}).collect()
+    got = cp.order_statistics(spark.createDataFrame(rows, "`the key` string, v double").repartition(8), ["the key"], "v", {"low": F.lit(1), "mid": st.upper_median(n), "p95": st.nearest_rank(n, 0.95), "top": n}, most_rows).collect()
     by = {}
     for k, v in rows:
         by.setdefault(k, []).append(v)
@@ -111,16 +115,17 @@ def brute_asof(left, right, key):
     return sorted((i, *min(((t, v) for k, t, v in right if t is not None and t >= at and k == k2 and k is not None), default=(None, None))) if at is not None else (i, None, None) for i, k2, at in left) if key else None
 
 
-def test_asof_on_a_hot_key(spark):
+@pytest.mark.parametrize("most_rows", [0, 1 << 20])
+def test_asof_on_a_hot_key(spark, most_rows):
     rnd = random.Random(3)
     left = [(i, "hot" if rnd.random() < 0.9 else rnd.choice(["x", None]), rnd.choice([None, *range(200)])) for i in range(800)]
     right = [("hot" if rnd.random() < 0.9 else rnd.choice(["x", None]), rnd.choice([None, rnd.randrange(180)]), rnd.randrange(50)) for _ in range(150)]
     l_rows = spark.createDataFrame(left, "i int, k string, at int").withColumn("_t", F.lit("kept")).repartition(6)
     r_rows = spark.createDataFrame(right, "k string, t int, v int").repartition(6)
-    got = cp.asof_forward(l_rows, r_rows, "at", "t", "v", ["k"])
+    got = cp.asof_forward(l_rows, r_rows, "at", "t", "v", ["k"], most_rows)
     assert got.columns == ["i", "k", "at", "_t", "match_time", "match_value"]
     assert sorted((r["i"], r["match_time"], r["match_value"]) for r in got.collect()) == brute_asof(left, right, True)
-    free = cp.asof_forward(l_rows.where("at is not null"), r_rows, "at", "t", "v").collect()
+    free = cp.asof_forward(l_rows.where("at is not null"), r_rows, "at", "t", "v", None, most_rows).collect()
     pairs = [(t, v) for _, t, v in right if t is not None]
     assert all((r["match_time"], r["match_value"]) == min((p for p in pairs if p[0] >= r["at"]), default=(None, None)) for r in free)
 
@@ -143,6 +148,23 @@ def test_substrings(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [2 << 20, 12, 1])
+def test_substrings_in_shares(spark, limit):
+    rnd = random.Random(limit)
+    base = ["the", "a.. the b..", "딸기", "딸기 라떼", "", "x", "x", "th", "the b", None] + ["".join(rnd.choice("abé ") for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
+    texts = [None, "", "a.. the b", "딸기 라떼 x"] + ["".join(rnd.choice("abéx the딸기") for _ in range(rnd.randrange(200))) for _ in range(30)]
+    rows = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "i int, keyword string, new_count string")
+    got = ph.substring_matches(rows, spark.createDataFrame([(b, 1 + k) for k, b in enumerate(base)], "keyword string, count long"), limit)
+    assert {r["i"]: (r["new_count"], r["matched_parts"]) for r in got.collect()} == {i: (sum(k + 1 for k, b in enumerate(base) if b and t and b in t), sorted(b for b in base if b and t and b in t)) for i, t in enumerate(texts)}
+
+
+def test_substrings_of_words_of_a_megabyte(spark):
+    word = "q" * 1_000_000
+    new = spark.createDataFrame([(1, f"{word}key{word} a the b"), (2, word)], "i int, keyword string")
+    base = spark.createDataFrame([("qkeyq", 1), ("the b", 2), ("q" * 50, 4), ("nothing", 8)], "keyword string, count long")
+    assert {r["i"]: r["new_count"] for r in ph.substring_matches(new, base).collect()} == {1: 7, 2: 4}
+
+
 def test_morphology_hook(spark):
     analyzer = lambda c: F.when(c.contains("beta"), F.array(F.lit("noun"), F.lit("other")))
     rows = spark.createDataFrame([("alpha beta",), ("alpha gamma",)], "s string")

@@ -1,8 +1,9 @@
 """Comparison of runs, digests of content, order statistics, nearest later rows.
 
-Order within a group is found on range-partitioned tables: each task orders its own
+Order within a group is found by a window where no group has more than ``GROUP_ROWS`` rows, which a count by group
+tells first. Else it is found on range-partitioned tables: each task orders its own
 stretch, and what it needs from the others is one small row for each (group, stretch). So a group
-may be as large as the table.
+may be as large as the table; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Rows of a group that one task orders.
+GROUP_ROWS = 1 << 20
+
+
+def largest(rows: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group."""
+    return rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
 
 def paired(a: DataFrame, b: DataFrame, key: str, values: str) -> DataFrame:
     """(k, x, y, in_a, in_b) of a full join."""
@@ -90,14 +99,21 @@ def content_digest(rows: DataFrame, key: str, values: str, by: list[str] | None
     return out.select(*[F.col(f"g.{c}").alias(c) for c in by], "digest")
 
 
-def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Column], most_rows: int = GROUP_ROWS) -> DataFrame:
     """by -> n and the elements at ``places`` (Columns over ``n``, counted from 1) of the sorted non-null values.
 
-    Exact. An empty table gives no group, and without groups one row of nulls. Equal values are counted first; the distinct ones are dealt out by range, and a value's place is
+    Exact. An empty table gives no group, and without groups one row of nulls. Equal values are counted first; in groups of more than ``most_rows`` rows the distinct ones are dealt out by range, and a value's place is
     the number of values in the stretches before plus its place in its own.
     """
     alike = lambda x, y, cols: F.expr(" and ".join([f"{x}.`{c}` <=> {y}.`{c}`" for c in cols] or ["true"]))
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    rows = rows.where(F.col(value).isNotNull())
+    counted = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    if largest(rows, by) <= most_rows:
+        group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+        wants = F.array(*[F.struct(F.lit(k).alias("name"), at.cast("long").alias("at")) for k, at in places.items()])
+        placed = counted.withColumns({"_to": F.sum("_n").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("_n").over(group)})
+        hits = placed.withColumn("_hit", F.explode(F.filter(wants, lambda w: (F.col("_to") - F.col("_n") < w["at"]) & (w["at"] <= F.col("_to")))))
+        return hits.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_hit.name") == k, F.col("_v"))).alias(k) for k in places])
     dealt = cut(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
     stretches = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_held"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -113,10 +129,10 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[st
     return hits.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_hit.name") == k, F.col("_v"))).alias(k) for k in places])
 
 
-def asof_forward(left: DataFrame, right: DataFrame, left_t: str, right_t: str, value: str, keys: list[str] | None = None) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, left_t: str, right_t: str, value: str, keys: list[str] | None = None, most_rows: int = GROUP_ROWS) -> DataFrame:
     """+ the right row of equal or first later time within ``keys``, of equal times the least value; null keys and times match nothing.
 
-    Both sides are dealt out by (keys, time) range. A running frame finds the match in a row's own stretch;
+    Where ``keys`` have more than ``most_rows`` rows, both sides are dealt out by (keys, time) range. A running frame finds the match in a row's own stretch;
     rows without one there take the first right row of the next stretch that has any.
     """
     keys = keys or []
@@ -129,13 +145,18 @@ def asof_forward(left: DataFrame, right: DataFrame, left_t: str, right_t: str, v
     l_rows = left.select(F.struct("*").alias("_row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_hit"))
     r_rows = right.where(present).select(F.lit(None).cast(l_rows.schema["_row"].dataType).alias("_row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_t).alias("_t"), F.lit(1).alias("_side"), hit.alias("_hit"))
     ks = [f"_k{i}" for i in range(len(keys))]
-    dealt = cut(l_rows.union(r_rows).repartitionByRange(*ks, "_t").withColumn("_part", F.spark_partition_id()))
     group = W.partitionBy(*ks) if ks else W.partitionBy(F.lit(0))
+    result = lambda df, best: df.withColumn("_best", best).select(*[F.col("_row")[c].alias(c) for c in names], F.col("_best.t").alias("match_time"), F.col("_best.v").alias("match_value"))
+    counts = [x.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n")) for x in (left, right.where(present))]
+    if (counts[0].union(counts[1]).groupBy(*ks).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= most_rows:
+        run = group.orderBy(F.desc_nulls_first("_t"), F.desc("_side"), F.desc("_hit")).rowsBetween(W.unboundedPreceding, 0)
+        found = l_rows.union(r_rows).withColumn("_next", F.last("_hit", ignorenulls=True).over(run)).where("_side = 0")
+        return result(found, F.when(F.col("_t").isNotNull(), F.col("_next")))
+    dealt = cut(l_rows.union(r_rows).repartitionByRange(*ks, "_t").withColumn("_part", F.spark_partition_id()))
     # From the last to the first, equal times with the right side before the left: the last hit seen is the next in time.
     own = W.partitionBy(*ks, "_part").orderBy(F.desc_nulls_first("_t"), F.desc("_side"), F.desc("_hit")).rowsBetween(W.unboundedPreceding, 0)
     found = dealt.withColumn("_next", F.last("_hit", ignorenulls=True).over(own)).where("_side = 0")
     firsts = dealt.groupBy(*ks, "_part").agg(F.min("_hit").alias("_first"))
     later = cut(firsts.withColumn("_later", F.last("_first", ignorenulls=True).over(group.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1))).select(*ks, "_part", "_later"))
     both = found.alias("f").join(later.alias("l"), F.expr(" and ".join(f"f.{c} <=> l.{c}" for c in [*ks, "_part"])))
-    best = F.when(F.col("f._t").isNotNull(), F.coalesce("f._next", "l._later"))
-    return both.withColumn("_best", best).select(*[F.col("f._row")[c].alias(c) for c in names], F.col("_best.t").alias("match_time"), F.col("_best.v").alias("match_value"))
+    return result(both.select("f._row", "f._t", "f._next", "l._later"), F.when(F.col("_t").isNotNull(), F.coalesce("_next", "_later")))

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import keywords as kw
 from ..operators import menujoin as mj
 from ..operators import phrases as ph
+from ..session import cut
 from ..sources import io
 
 Q, SQL = {}, {}
@@ -110,7 +111,7 @@ def menu_rollup_broadcast(spark, d):
 
 @query(ROLLUP)
 def menu_rollup_salted(spark, d):
-    rows = mj.joined(menus(spark, d), catalogue(spark, d), "plain")
+    rows = cut(mj.joined(menus(spark, d), catalogue(spark, d), "plain"))  # read four times
     return mj.salted_rollup(rows, mj.hot_keys(rows, 5), F.xxhash64("l_orderkey", "l_linenumber"))
 
 
