@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch
 from ..sources import io, topic
+from ..streaming import frequencies
 from .text_queries import query, table
 
 EVENT = "event_id long, event_type string, value double, user_id long"
@@ -54,3 +55,20 @@ def topic_stream(spark, d):
         got = topic.stream_topic(spark, path).select(F.from_json(F.col("value").cast("string"), EVENT).alias("e")).select("e.*")
         got.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(EVENT).parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+WORDS = r"""d AS (SELECT doc_id, rtrim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'), ' ') AS s FROM documents),
+x AS (SELECT DISTINCT doc_id, unnest(string_split(ltrim(s, ' '), ' ')) AS token FROM d)"""
+
+
+@query(f"WITH {WORDS} SELECT token, count(*) AS df FROM x WHERE token <> '' GROUP BY token")
+def doc_freq_stream(spark, d):
+    """Running document frequencies of words of Latin letters, over four batches with a restart after each."""
+    docs, changes, state = (scratch(spark, name) for name in ("documents", "frequencies", "state"))
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    for k in range(4):
+        rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k).write.mode("append").parquet(docs)
+        words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "))
+        tokens = spark.readStream.schema("doc_id long, text string").parquet(docs).select(F.explode(words).alias("token")).where("token <> ''")
+        frequencies.keep(frequencies.running(tokens), changes, state).awaitTermination()
+    return frequencies.current(spark.read.schema("token string, df long, batch long").parquet(changes)).select("token", "df")
