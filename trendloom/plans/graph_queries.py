@@ -8,7 +8,8 @@ from ..operators import evaluate as ev
 from ..operators import graph as g
 from ..operators import retrieve as rt
 from ..operators import tools
-from ..session import cut
+from ..operators.store import GraphStore
+from ..session import cut, scratch
 from .text_queries import query, table
 
 YEAR = "1998"
@@ -403,3 +404,25 @@ SELECT 'edge' AS what, rel AS kind, src || ' ' || dst AS id FROM k UNION ALL SEL
 def tool_whole_graph(spark, d):
     ends, kept = tools.whole_graph(edges(spark, d))
     return kept.select(F.lit("edge").alias("what"), F.col("label").alias("kind"), F.concat_ws(" ", "source", "target").alias("id")).union(ends.select(F.lit("node"), "type", "id"))
+
+
+def stored(spark, d):
+    """A store of the graph's rounds: all loaded, then one again, and one taken out."""
+    n, e = graph(spark, d)
+    store = GraphStore(spark, scratch(spark, "graph"), 16)
+    rounds = sorted(r[0] for r in n.select("round").distinct().collect())  # a row for each round
+    store.load(n, e, *rounds)
+    store.load(n, e, rounds[0])
+    store.delete(YEAR)
+    return store
+
+
+@query(f"WITH {GRAPH} SELECT key AS name, sum(count)::BIGINT AS count FROM n WHERE label = 'Keyword' AND round <> '{YEAR}' GROUP BY key")
+def stored_keyword_totals(spark, d):
+    """Counts that the store keeps while rounds come and go."""
+    return stored(spark, d).keyword_totals()
+
+
+@query(f"WITH {GRAPH} SELECT src_label, src, rel, dst_label, dst, count(DISTINCT round) AS rounds FROM e WHERE round <> '{YEAR}' GROUP BY ALL")
+def stored_edges(spark, d):
+    return stored(spark, d).edge_totals()
