@@ -33,7 +33,7 @@ def expand(data: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(data[8:], n, asbytes=True), dtype=dtype) if n else np.zeros(0, dtype)
 
 
-def build(docs: DataFrame, tokens_of: Callable[[str], list[str]], flag: str | None = None) -> DataFrame:
+def build(docs: DataFrame, tokens_of: Callable[[str], list[str]], flag: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) -> blocks.
 
     ``packed`` holds the codes of all documents in order, ``lens`` the number of codes of each;
@@ -63,7 +63,7 @@ def build(docs: DataFrame, tokens_of: Callable[[str], list[str]], flag: str | No
             for i in range(batch.num_rows):
                 text = batch["text"][i].as_py() or ""
                 size = len(text.encode())
-                if ids and held + size > BLOCK_BYTES:
+                if ids and held + size > block_bytes:
                     yield out()
                     ids, sizes, flags, lens, codes, known = fresh()
                     held = 0

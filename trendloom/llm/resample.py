@@ -39,7 +39,9 @@ from .lm import mix, pair_keys, token_keys
 BUCKETS = 10000
 LEAST_WORDS = 20
 #: Bytes of documents, as Catalyst estimates them, to a part of the dictionary.
-PART_BYTES, LEAST_PARTS, MOST_PARTS = 16 << 20, 24, 1 << 16
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 12 << 20, 6, 1 << 16
+#: Text bytes in a block.
+BLOCK_BYTES = 12 << 20
 #: Features hashed together.
 GROUP = 1 << 18
 
@@ -132,7 +134,7 @@ def totals(answers: DataFrame, buckets: int) -> DataFrame:
 def counted(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(blocks, answers, (bucket, n), number of parts)."""
     parts = min(MOST_PARTS, parts_for(size_hint(docs), PART_BYTES, LEAST_PARTS))
-    made = materialize(blocks.build(docs.select("doc_id", "text"), lambda text: [w.decode() for w in words_of(text)]), "feature-blocks")
+    made = materialize(blocks.build(docs.select("doc_id", "text"), lambda text: [w.decode() for w in words_of(text)], block_bytes=BLOCK_BYTES), "feature-blocks")
     answers = materialize(hashed(asked(made, parts), buckets), "feature-buckets")
     return made, answers, totals(answers, buckets), parts
 
