@@ -110,6 +110,9 @@ class probes:
         with np.errstate(over="ignore"):
             return (((self.h + np.uint64(i) * self.step) >> np.uint64(20)) % self.bits).astype(np.int64)
 
+    def first(self, n: int) -> Iterator[np.ndarray]:
+        return map(self, range(n))
+
     def keep(self, found: np.ndarray) -> probes:
         """The same for some of the keys."""
         if not found.all():

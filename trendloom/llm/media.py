@@ -40,6 +40,7 @@ WIDTH = 576
 SHARD_BYTES = 64 << 20
 #: Size of the filter of repeated payloads, whatever the input; a fuller one only sends more payloads through the shuffle.
 FILTER_BITS = 1 << 27
+HASHES = 4
 #: The PNG signature and the bytes of signature and header chunk.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -138,7 +139,7 @@ def repeated_filter(payloads: DataFrame) -> np.ndarray:
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(bits, bool)
-        for at in probes(table["h"].to_numpy().view(np.uint64), 1, bits):
+        for at in probes(table["h"].to_numpy().view(np.uint64), 1, bits).first(HASHES):
             out[at.astype(np.int64)] = True
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
@@ -151,7 +152,7 @@ def repeated_filter(payloads: DataFrame) -> np.ndarray:
 def maybe_repeated(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
     h, bits = h.view(np.uint64), FILTER_BITS >> 8
     base, found = (h >> np.uint64(56)).astype(np.int64) * bits, np.ones(len(h), bool)
-    for at in probes(h, 1, bits):
+    for at in probes(h, 1, bits).first(HASHES):
         bit = base + at.astype(np.int64)
         found &= (whole[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
     return found
@@ -260,8 +261,12 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
     return index.mapInArrow(read, schema)
 
 
+ADDED = ("n_bytes", "digest", "shard", "offset", "length", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def media_columns(docs: DataFrame) -> DataFrame:
-    """docs(text, ...) -> every other column, n_bytes, digest, shard, offset, length, width, height, bits and the columns of ``read_back``."""
+    """docs(text, ...) -> every other column that has none of the names given here: n_bytes, digest, shard, offset, length, width, height, bits and the columns of ``read_back``."""
+    docs = docs.drop(*ADDED)  # columns of the result's names give way
     payload = padded(F.col("text"))
     index, root = store(docs.select(payload.alias("payload")))
     # Entries are read in stretches of shards, so that tasks read neighbouring bytes and alike amounts.
