@@ -284,3 +284,32 @@ def test_runs_miss_few_pairs():
         met |= np.any(alive, axis=0)
     rough = agree.sum(1) >= math.ceil(near.ROUGHLY * near.COORDINATES)
     assert (~(met & rough)).mean() < 1e-4
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(i % 70, "w " * (1 + i % 40)) for i in range(400)] + [(5, "same")] * 90 + [(None, "a b")] * 3, SCHEMA)
+    packed = lambda df: sorted(map(repr, packing.pack_documents(df, block_items=50).collect()))
+    first = packed(rows.coalesce(1))
+    assert packed(rows.repartition(7)) == first and packed(rows.orderBy("text").repartition(3, "text")) == first
+
+
+def test_media_columns_of_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "one"), (2, None), (3, "x" * 3000)], SCHEMA)
+    plain = {r["doc_id"]: r.asDict() for r in media.media_columns(rows).collect()}
+    more = media.media_columns(clashing(rows, *media.ADDED, "kept")).collect()
+    same = ("n_bytes", "digest", "length", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    assert all(r["kept"] == "clash" and all(r[c] == plain[r["doc_id"]][c] for c in same) for r in more) and len(more) == 3
+
+
+def test_media_tokens_mixing_and_languages_of_long_texts(spark):
+    text = "word " * 200_000
+    docs = spark.createDataFrame([(1, text), (2, "zwei worte")], SCHEMA)
+    assert {r["doc_id"]: r["n_bytes"] for r in media.media_columns(docs).collect()} == {1: 1_000_000, 2: 10}
+    sizes = {r["doc_id"]: r["size"] for r in docs.select("doc_id", mixing.word_count(F.col("text")).alias("size")).collect()}
+    assert sizes == {1: 200_000, 2: 2}
+    model = langid.train(docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise("de")))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()} == {1: "en", 2: "de"}
+    P = pytest.importorskip("public_tokenizers")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, P.path("piece_bpe_32k.model")).collect()}
+    sp = token_counts.encoder(P.path("piece_bpe_32k.model"))
+    assert got[1] == sum(len(sp.encode(t)) for t in token_counts.pre_tokens(text))

@@ -109,10 +109,18 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> list
     return [(b, final[b], opened[b][1], item, piece, start, n, at) for b, item, piece, start, n, at in placed]
 
 
+#: Copies of a row that are made together.
+COPIES = 1 << 16
+
+
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, block_items: int = 4_000) -> DataFrame:
     """docs(doc_id, text, ...) -> one row for each piece of each document in its bin."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("h"))
-    rows = materialize(rows.where("n > 0"), "pack-items")
+    # Equal rows are told apart by their number among each other, so blocks don't depend on how rows are partitioned.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("t"))
+    rows = rows.where("n > 0").groupBy("doc_id", "n", "t").agg(F.count("*").alias("c"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / COPIES))))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES), F.col("c") - F.col("k") * COPIES) - 1)))
+    rows = materialize(rows.select("doc_id", "n", F.xxhash64("doc_id", "t", F.col("k") * COPIES + F.col("j")).alias("h")), "pack-items")
     blocks = parts_for(rows.count(), block_items)
     items = rows.select("doc_id", "n", F.pmod("h", F.lit(blocks)).cast("int").alias("block"))
     sizes = tuple(sorted(set(capacities)))
