@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.operators import graph as g
 from trendloom.operators import intervals as iv
 from trendloom.operators import nearkeys as nk
+from trendloom.operators import paths as pa
 from trendloom.operators import resampled as rs
 from trendloom.operators import search as se
 from trendloom.operators.store import GraphStore
@@ -161,3 +162,34 @@ def test_terms_unseen_for_long_expire():
     assert p.handle.timers == [1100, 1180]
     assert pd.concat(p.handleExpiredTimer((0,), Now(1100), None)).values.tolist() == [["a", 0]]
     assert dict(p.terms) == {("b",): (2, 1080)}
+
+
+def test_paths_equal_the_plain_forms(spark):
+    rnd = random.Random(2)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(12)] + [(0, None), (None, 1), (3, 3)]
+    edges = spark.createDataFrame(pairs * 2, "src int, dst int")
+    real = {(a, b) for a, b in pairs if a is not None and b is not None}
+    nodes = {x for e in real for x in e}
+
+    reached, last, k = {0: 0, 100: 0}, {0, 100}, 0
+    while last:
+        k += 1
+        last = {b for a, b in real if a in last} - set(reached)
+        reached |= dict.fromkeys(last, k)
+    got = pa.hops(edges, spark.createDataFrame([(0,), (100,), (None,)], "node int"))
+    assert {r["node"]: r["hops"] for r in got.collect()} == reached
+
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    out = {x: sum(a == x for a, _ in real) for x in nodes}
+    for _ in range(8):
+        lost = sum(rank[x] for x in nodes if not out[x])
+        rank = {x: (0.15 + 0.85 * lost) / len(nodes) + 0.85 * sum(rank[a] / out[a] for a, b in real if b == x) for x in nodes}
+    found = {r["node"]: r["rank"] for r in pa.page_rank(edges, most_rounds=8, tolerance=0.0).collect()}
+    assert found.keys() == rank.keys() and all(abs(found[x] - rank[x]) < 1e-12 for x in rank) and abs(sum(found.values()) - 1) < 1e-9
+
+    label = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in real:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["node"]: r["label"] for r in pa.communities(edges).collect()} == label
+    assert pa.page_rank(edges.limit(0)).count() == pa.communities(edges.limit(0)).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import graph as g
+from ..operators import paths as pa
 from ..operators import retrieve as rt
 from ..operators import tools
 from ..operators.store import GraphStore
@@ -426,3 +427,26 @@ def stored_keyword_totals(spark, d):
 @query(f"WITH {GRAPH} SELECT src_label, src, rel, dst_label, dst, count(DISTINCT round) AS rounds FROM e WHERE round <> '{YEAR}' GROUP BY ALL")
 def stored_edges(spark, d):
     return stored(spark, d).edge_totals()
+
+
+def links(spark, d):
+    """Keywords and their combos, both ways."""
+    return pa.both_ways(edges(spark, d, "IS_COMBO_WITH").select("src", "dst"))
+
+
+LINKS = "u AS (SELECT DISTINCT k AS src, s AS dst FROM line UNION SELECT s, k FROM line)"
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, {LINKS}, h AS (SELECT DISTINCT src AS node, 0 AS hops FROM u WHERE src IN ('p1', 's2') UNION SELECT u.dst, hops + 1 FROM h JOIN u ON u.src = h.node WHERE hops < 6)
+SELECT node, min(hops)::INTEGER AS hops FROM h GROUP BY node""")
+def hops_by_combos(spark, d):
+    """Least number of steps between keywords and combos from one of each."""
+    return pa.hops(links(spark, d), links(spark, d).where("src in ('p1', 's2')").select(F.col("src").alias("node")), 6)
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, {LINKS}, o AS (SELECT src, count(*) AS out FROM u GROUP BY src), c AS (SELECT count(*) AS n FROM o),
+r AS (SELECT src AS node, 1.0::DOUBLE / n AS rank, 0 AS i FROM o, c
+  UNION ALL SELECT u.dst, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * sum(rank / out), i + 1 FROM r JOIN u ON u.src = r.node JOIN o ON o.src = u.src, c WHERE i < 5 GROUP BY u.dst, i)
+SELECT node, round(rank, 9) AS rank FROM r WHERE i = 5""")
+def page_rank_of_combos(spark, d):
+    return pa.page_rank(links(spark, d), most_rounds=5, tolerance=0.0).select("node", F.round("rank", 9).alias("rank"))
