@@ -132,10 +132,10 @@ def normalized_key(spark, d):
     return table(spark, d, "part").select("p_partkey", raw.alias("raw")).withColumn("key", tx.normal_key(F.col("raw")))
 
 
-@query("SELECT part::INTEGER AS part, coalesce(n, 0)::BIGINT AS rows FROM generate_series(0, 15) g(part) LEFT JOIN (SELECT CASE WHEN l_returnflag = 'R' THEN 3 ELSE 7 END AS p, count(*) AS n FROM lineitem GROUP BY 1) ON p = part")
+@query("SELECT part::INTEGER AS part, coalesce(n, 0)::BIGINT AS rows FROM generate_series(0, 15) g(part) LEFT JOIN (SELECT l_suppkey % 13 AS p, count(*) AS n FROM lineitem GROUP BY 1) ON p = part")
 def partition_sizes(spark, d):
-    """Sizes of parts that rows are dealt to by hand, empty ones included."""
-    return mj.sizes_of(table(spark, d, "lineitem"), F.when(F.col("l_returnflag") == "R", 3).otherwise(7), 16)
+    """Sizes of parts that rows are dealt to by supplier, empty ones included."""
+    return mj.sizes_of(table(spark, d, "lineitem"), F.pmod("l_suppkey", F.lit(13)).cast("int"), 16)
 
 
 @query("""WITH s AS (SELECT l_suppkey, count(*) AS rows FROM lineitem GROUP BY 1)
