@@ -9,6 +9,7 @@ from ..functions import stats as st
 from ..functions import text as tx
 from ..operators import compare as cp
 from ..operators import evaluate as ev
+from ..operators import reconcile as rc
 from ..operators import retrieve as rt
 from .text_queries import query, table
 
@@ -308,12 +309,32 @@ def runs(spark, d):
     return c.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), same.alias("keywords")), c.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("id"), other.alias("keywords"))
 
 
-@query(f"""WITH {RUNS}
-SELECT count(*) FILTER (bi IS NULL) AS only_a, count(*) FILTER (ai IS NULL) AS only_b, count(*) FILTER (ai IS NOT NULL AND bi IS NOT NULL) AS common, count(*) FILTER (ex) AS exact, count(*) FILTER (se) AS set_equal, count(*) FILTER (se AND NOT ex) AS order_only, count(*) FILTER (NOT se) AS content_diff FROM j""")
+COMPARED = f"""WITH {RUNS}
+SELECT count(*) FILTER (bi IS NULL) AS only_a, count(*) FILTER (ai IS NULL) AS only_b, count(*) FILTER (ai IS NOT NULL AND bi IS NOT NULL) AS common, count(*) FILTER (ex) AS exact, count(*) FILTER (se) AS set_equal, count(*) FILTER (se AND NOT ex) AS order_only, count(*) FILTER (NOT se) AS content_diff FROM j"""
+
+
+@query(COMPARED)
 def run_compare(spark, d):
     return cp.compare_runs(*runs(spark, d))
 
 
+@query(COMPARED)
+def run_compare_by_summaries(spark, d):
+    return rc.compare_by_summaries(*runs(spark, d))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_totalprice >= 2000),
+b AS (SELECT o_orderkey AS id, o_orderstatus AS s, CASE WHEN o_totalprice > 480000 THEN 'late' ELSE o_orderpriority END AS p FROM orders WHERE o_totalprice < 495000)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only_a' WHEN a.id IS NULL THEN 'only_b' ELSE 'changed' END AS kind FROM a FULL JOIN b ON a.id = b.id
+WHERE a.id IS NULL OR b.id IS NULL OR a.s <> b.s OR a.p <> b.p""")
+def orders_changed_between_runs(spark, d):
+    """Two runs over all orders that differ in the cheapest and the dearest, found from their summaries."""
+    o = table(spark, d, "orders")
+    run = lambda rows, p: rows.select(F.col("o_orderkey").alias("id"), F.array("o_orderstatus", p).alias("keywords"))
+    later = F.when(F.col("o_totalprice") > 480000, F.lit("late")).otherwise(F.col("o_orderpriority"))
+    return rc.differing(run(o.where("o_totalprice >= 2000"), F.col("o_orderpriority")), run(o.where("o_totalprice < 495000"), later))
+
+
 @query(f"WITH {RUNS} SELECT ai AS id, array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), '|') AS only_in_a, array_to_string(list_filter(y, lambda v: NOT list_contains(x, v)), '|') AS only_in_b, se AS order_only FROM j WHERE NOT ex ORDER BY ai LIMIT 10")
 def run_diffs(spark, d):
     return cp.run_diffs(*runs(spark, d)).select("id", F.array_join("only_in_a", "|").alias("only_in_a"), F.array_join("only_in_b", "|").alias("only_in_b"), "order_only")
