@@ -40,18 +40,22 @@ def conditions(questions: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def find_candidates(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
-    """-> qid, path, source, unknown, relaxed, rank, keyword: the route's candidates, never none; ``relaxed`` lists what was dropped, and 'all' if the stand-ins answer."""
+def candidates_of(asked: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
+    """asked(qid, path, tags, season, category) -> qid, rank, keyword, relaxed: the route's candidates, never none; ``relaxed`` lists what was dropped, and 'all' if the stand-ins answer."""
     totals = cut(g.keyword_totals(nodes))
-    asked = cut(conditions(questions, edges))
-    about = asked.select("qid", "path", "source", "unknown")
     menu = rt.relaxation_ladder(asked.where("path = 'menu'").select("qid", "tags", "season", "category"), totals, edges, limit=limit).select("qid", "rank", "keyword", "relaxed")
     # ``limit`` rows each, so they may be numbered and broadcast.
     own = rt.ingredient_candidates(edges, totals, limit).withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("latest"), F.desc_nulls_last("freq"), "ingredient"))).select("rank", F.col("ingredient").alias("keyword"), F.lit("").alias("relaxed"))
     by_name = rt.all_ingredients(nodes, limit).withColumn("rank", F.row_number().over(W.orderBy("keyword"))).select("rank", "keyword", F.lit("all").alias("relaxed"))
     stand_in = by_name.crossJoin(F.broadcast(own.agg(F.count("*").alias("n")))).where("n = 0").drop("n")
-    ingredients = asked.where("path = 'ingredient'").select("qid").crossJoin(F.broadcast(own.union(stand_in))).select("qid", "rank", "keyword", "relaxed")
-    return about.join(menu.union(ingredients), "qid").select("qid", "path", "source", F.array_join("unknown", ",").alias("unknown"), "relaxed", "rank", "keyword")
+    return menu.union(asked.where("path = 'ingredient'").select("qid").crossJoin(F.broadcast(own.union(stand_in))).select("qid", "rank", "keyword", "relaxed"))
+
+
+def find_candidates(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
+    """-> qid, path, source, unknown, relaxed, rank, keyword: the conditions of ``conditions`` and the candidates of ``candidates_of``."""
+    asked = cut(conditions(questions, edges))
+    found = candidates_of(asked.select("qid", "path", "tags", "season", "category"), nodes, edges, limit)
+    return asked.select("qid", "path", "source", "unknown").join(found, "qid").select("qid", "path", "source", F.array_join("unknown", ",").alias("unknown"), "relaxed", "rank", "keyword")
 
 
 def keyword_neighbours(keywords: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
