@@ -313,3 +313,14 @@ def test_media_tokens_mixing_and_languages_of_long_texts(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, P.path("piece_bpe_32k.model")).collect()}
     sp = token_counts.encoder(P.path("piece_bpe_32k.model"))
     assert got[1] == sum(len(sp.encode(t)) for t in token_counts.pre_tokens(text))
+
+
+def test_what_is_learned_of_languages_is_bounded_in_all(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(langid, "fit", lambda rows, langs: learned.append(langs))
+    rows = [(i, f"text {i} of {i % 7}", f"l{i % 7}") for i in range(140)] + [(1000, "rare", "l8"), (1001, "rare too", "l9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most, languages, want in ((35, 7, {f"l{i}": 5 for i in range(7)}), (3, 7, {f"l{i}": 1 for i in range(7)}), (1000, 8, {**{f"l{i}": 20 for i in range(7)}, "l8": 1})):
+        langid.train(docs, in_all=most, languages=languages)
+        got = learned.pop()
+        assert {lang: got.count(lang) for lang in got} == want

@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 
 DIMS = 1 << 13
 PER_LANGUAGE = 600
+#: Rows learned from in all, 390 MB of features on the driver; languages that share them at the most.
+IN_ALL, LANGUAGES = 12_000, 600
 UNDETERMINED = "und"
 
 
@@ -143,10 +145,14 @@ def vectors(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "h", "text").mapInArrow(run, "lang string, h long, counts binary")
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """docs(doc_id, text, lang): learn from at most ``per_language`` rows of each non-null lang."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, languages: int = LANGUAGES) -> Model:
+    """docs(doc_id, text, lang): learn from at most ``per_language`` rows of each non-null lang, and ``in_all`` rows of all.
+
+    Of more than ``languages`` values of lang the most frequent are learned, ties by name.
+    """
     labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("h"))
-    rows_of = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows_of = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    per_language = max(1, min(per_language, in_all // max(1, len(rows_of))))
     # Hashes are spread evenly, so a bound on them gives about the share of a language's rows that is wanted; some more, so that one pass is enough.
     share = {lang: min(1.0, (1.3 * per_language + 100) / n) for lang, n in rows_of.items()}
     found: dict[str, dict[int, bytes]] = {}
