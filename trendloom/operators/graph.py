@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, unique
 
 NODES = "label string, key string, round string, count long, importance double"
 EDGES = "src_label string, src string, rel string, dst_label string, dst string, round string"
@@ -62,8 +62,9 @@ def node_stats(nodes: DataFrame) -> DataFrame:
     return nodes.select("label", "key").distinct().groupBy("label").agg(F.count("*").alias("n"))
 
 
-def edge_stats(edges: DataFrame) -> DataFrame:
-    return edges.select("src_label", "src", "rel", "dst_label", "dst").distinct().groupBy("rel").agg(F.count("*").alias("n"))
+def edge_stats(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """rel -> how many edges, rounds apart; compared in ``n`` partitions if given."""
+    return unique(edges.select("src_label", "src", "rel", "dst_label", "dst"), n).groupBy("rel").agg(F.count("*").alias("n"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, *labels: str) -> DataFrame:

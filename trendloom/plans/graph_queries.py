@@ -10,17 +10,22 @@ from ..operators import paths as pa
 from ..operators import retrieve as rt
 from ..operators import tools
 from ..operators.store import GraphStore
-from ..session import cut, scratch
+from ..session import cut, parts, scratch, unique
 from .text_queries import query, table
 
 YEAR = "1998"
 
 
+def sales_parts(spark, d):
+    """Partitions for what has up to a row for each row of lineitem."""
+    return parts(spark, table(spark, d, "lineitem").count())
+
+
 def edges(spark, d, *rels):
     """Edges, of some relations or of all, with the year of shipping as round for dates and combos, and 'base' for the rest.
 
-    Deduplicated as numbers, before names are made. Each relation is a branch of its own with a constant
-    name, so what reads one relation computes no other.
+    Deduplicated as numbers, before names are made, in partitions by the number of rows. Each relation is a branch of its own
+    with a constant name, so what reads one relation computes no other.
     """
     line = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy").alias("year"))
     part = table(spark, d, "part")
@@ -39,10 +44,12 @@ def edges(spark, d, *rels):
         "RELATED": (part.where(F.col("p_partkey") % 10 == 0).select("p_partkey"), g.edge("Keyword", key, "RELATED", "Keyword", name("p", F.col("p_partkey") + 1000000)), base),
         "INCLUDES": (supplier, g.edge("Combo", name("s", "s_suppkey"), "INCLUDES", "Ingredient", F.col("n_name")), base),
     }
+    sold = ("RECORDED_ON", "IS_COMBO_WITH")
+    n = sales_parts(spark, d) if {*(rels or made)} & {*sold} else None
     out = None
     for rel in rels or made:
         rows, e, r = made[rel]
-        one = rows.distinct().select(e.alias("e"), r.alias("round")).select("e.*", "round")
+        one = unique(rows, n if rel in sold else None).select(e.alias("e"), r.alias("round")).select("e.*", "round")
         out = one if out is None else out.union(one)
     return out
 
@@ -103,7 +110,7 @@ def graph_node_stats(spark, d):
 
 @query(f"WITH {GRAPH} SELECT rel, count(*) AS n FROM (SELECT DISTINCT src_label, src, rel, dst_label, dst FROM e) GROUP BY rel")
 def graph_edge_stats(spark, d):
-    return g.edge_stats(edges(spark, d))
+    return g.edge_stats(edges(spark, d), sales_parts(spark, d))
 
 
 @query(f"WITH {GRAPH} SELECT DISTINCT label, key FROM n WHERE label IN ('Ingredient', 'Combo') AND NOT EXISTS (SELECT 1 FROM e WHERE dst_label = label AND dst = key)")

@@ -55,6 +55,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows to a partition where ``parts`` deals them out.
+PART_ROWS = 1 << 19
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows, so that a task's rows stay the same however large the table is.
+
+    Adaptive execution joins partitions of a shuffle up to 64 MB as they are compressed: of short names these are millions
+    of rows, and a gigabyte where a task hashes them. A number given to ``repartition`` is kept.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+
+
+def unique(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Distinct rows, in ``n`` partitions."""
+    return (df.repartition(n, *df.columns) if n else df).distinct()
+
+
 def spread(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     """A small input over all cores: a file of one row group is one task's, whatever is done with its rows.
 
