@@ -27,3 +27,13 @@ def test_edges_are_compared_in_partitions_by_rows(spark, hundreds):
     assert largest(gq.edges(spark, str(SMALL), "RECORDED_ON", "IS_COMBO_WITH")) < 2 * hundreds
     got, want = both(spark, Q["graph_edge_stats"], SQL["graph_edge_stats"], SMALL)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["stored_edges", "stored_keyword_totals"])
+def test_a_round_and_a_bucket_of_the_store_are_several_tasks(spark, hundreds, name):
+    store = gq.stored(spark, str(SMALL))
+    for t in ("edges", "edge_totals"):
+        files = spark.read.option("recursiveFileLookup", "true").parquet(f"{store.path}/{t}").groupBy(F.input_file_name().alias("f")).count()
+        assert files.agg(F.max("count")).first()[0] < 3 * hundreds, t
+    got, want = both(spark, Q[name], SQL[name], SMALL)
+    assert got == want

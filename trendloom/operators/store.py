@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, parts
 from .graph import EDGES, NODES
 
 NODE_TOTALS = "label string, key string, rounds long, count long, bucket int"
@@ -47,8 +47,13 @@ class GraphStore:
         return self.table("edge_totals", EDGE_TOTALS).drop("bucket")
 
     def put(self, rows: DataFrame, name: str, by: str) -> None:
-        """Replaces the partitions that ``rows`` has."""
-        rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
+        """Replaces the partitions that ``rows`` has, written as it is dealt out."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
+
+    def dealt(self, rows: DataFrame, n: int, by: str, values: int, keys: list[str]) -> DataFrame:
+        """``rows`` in ``n`` partitions by ``by``, of which there are ``values``, and a share of its keys: a large round or bucket is several tasks'."""
+        share = F.pmod(F.xxhash64(F.lit(self.buckets), *keys), F.lit(-(-n // max(values, 1)))).cast("int")
+        return rows.withColumn("share", share).repartition(n, by, "share")
 
     def load(self, nodes: DataFrame, edges: DataFrame, *rounds: str) -> None:
         """The rounds' rows put in place of what they had; loading twice changes nothing."""
@@ -62,10 +67,10 @@ class GraphStore:
         had = F.col("round").isin(*rounds)
         node_change = cut(self.signed(nodes, self.nodes().where(had), NODE, F.coalesce("count", F.lit(0))))
         edge_change = cut(self.signed(edges, self.edges().where(had), EDGE, None))
-        for name, rows, old in (("nodes", nodes, self.nodes()), ("edges", edges, self.edges())):
+        for name, rows, old, keys in (("nodes", nodes, self.nodes(), NODE), ("edges", edges, self.edges(), EDGE)):
             there = {r[0] for r in rows.select("round").distinct().collect()}  # rounds asked for
             if there:
-                self.put(rows.select(*old.columns), name, "round")
+                self.put(self.dealt(rows, parts(self.spark, rows.count()), "round", len(there), keys).select(*old.columns), name, "round")
             for gone in set(rounds) - there:
                 self.drop(name, gone)
         self.add("node_totals", node_change, NODE, NODE_TOTALS)
@@ -74,8 +79,11 @@ class GraphStore:
     def signed(self, new: DataFrame, old: DataFrame, keys: list[str], count: Column | None) -> DataFrame:
         """keys -> rounds, and count for nodes: by how much the totals change."""
         measures = ["rounds"] if count is None else ["rounds", "count"]
-        one = lambda df, sign: df.groupBy(*keys, "round").agg(F.lit(sign).cast("long").alias("rounds"), *([] if count is None else [(sign * F.max(count)).alias("count")])).drop("round")
-        sums = one(new, 1).union(one(old, -1)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
+        one = lambda df, sign: df.select(*keys, "round", F.lit(sign).alias("sign"), *([] if count is None else [count.alias("count")]))
+        # Dealt out by keys once, for both groupings.
+        rows = one(new, 1).union(one(old, -1)).repartition(parts(self.spark, new.count() + old.count()), *keys)
+        own = rows.groupBy(*keys, "round", "sign").agg(F.first("sign").cast("long").alias("rounds"), *([] if count is None else [(F.col("sign") * F.max("count")).alias("count")]))
+        sums = own.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
         changed = F.lit(False)
         for c in measures:
             changed = changed | (F.col(c) != 0)
@@ -89,9 +97,13 @@ class GraphStore:
         old = self.table(name, schema)
         measures = [c for c in old.columns if c not in (*keys, "bucket")]
         both = old.where(F.col("bucket").isin(touched)).unionByName(change.select(*old.columns))
-        now = cut(both.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(c) for c in measures]).where("rounds > 0").select(*old.columns))
-        self.put(now, name, "bucket")
-        for b in set(touched) - {r[0] for r in now.select("bucket").distinct().collect()}:
+        left = {r[0] for r in both.groupBy("bucket").agg(F.sum("rounds").alias("n")).where("n > 0").select("bucket").collect()}
+        # A key lies in one share of its bucket, so totals are added up where they are written.
+        rows = self.dealt(both, parts(self.spark, both.count()), "bucket", len(touched), keys)
+        now = rows.groupBy(*keys, "bucket", "share").agg(*[F.sum(c).alias(c) for c in measures]).where("rounds > 0").select(*old.columns)
+        if left:
+            self.put(now, name, "bucket")  # moved into place when all is written, so it may read what it replaces
+        for b in set(touched) - left:
             self.drop(name, str(b), "bucket")
 
     def drop(self, name: str, value: str, by: str = "round") -> None:
@@ -106,7 +118,9 @@ class GraphStore:
         for name, rows, keys, count in (("node_totals", self.nodes(), NODE, F.coalesce("count", F.lit(0))), ("edge_totals", self.edges(), EDGE, None)):
             own = rows.groupBy(*keys, "round").agg(*([F.max(count).alias("count")] if count is not None else [F.lit(0).alias("_")]))
             sums = own.groupBy(*keys).agg(F.count("*").alias("rounds"), *([F.sum("count").alias("count")] if count is not None else []))
-            self.put(sums.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")), name, "bucket")
+            sums = sums.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+            columns = sums.columns
+            self.put(self.dealt(sums, parts(self.spark, rows.count()), "bucket", self.buckets, keys).select(*columns), name, "bucket")
 
     # What queries read of the totals.
 
