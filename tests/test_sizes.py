@@ -37,3 +37,11 @@ def test_a_round_and_a_bucket_of_the_store_are_several_tasks(spark, hundreds, na
         assert files.agg(F.max("count")).first()[0] < 3 * hundreds, t
     got, want = both(spark, Q[name], SQL[name], SMALL)
     assert got == want
+
+
+def test_pruning_writes_edges_once(spark, monkeypatch):
+    cut, written = gq.g.cut, []
+    monkeypatch.setattr(gq.g, "cut", lambda df: written.append(df.columns) or cut(df))
+    n, e = spark.createDataFrame([("Combo", "c", "r", None, None)], gq.g.NODES), spark.createDataFrame([("Combo", "c", "INCLUDES", "Ingredient", "i", "r"), ("Keyword", "k", "RECORDED_ON", "Date", "d", "r")], gq.g.EDGES)
+    assert [r["rel"] for r in gq.g.prune(n, e)[1].collect()] == ["RECORDED_ON"]
+    assert sum("rel" in c for c in written) == 1

@@ -100,12 +100,14 @@ def untagged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def prune(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without orphans, pass by pass; edges that leave a pruned node go with it."""
+    nodes, edges = cut(nodes), cut(edges)  # read several times by each pass
     for labels in PRUNE_ORDER:
-        # Both tables are read several times by each pass; uncut, the plan would double with every use.
-        nodes, edges = cut(nodes), cut(edges)
-        gone = orphans(nodes, edges, *labels)
-        nodes = nodes.join(gone, ["label", "key"], "left_anti")
-        edges = edges.join(gone.select(F.col("label").alias("src_label"), F.col("key").alias("src")), ["src_label", "src"], "left_anti")
+        gone = cut(orphans(nodes, edges, *labels))  # uncut, the plan would double with every use
+        # Only rows of the labels are compared with what goes; the others are most of the graph and stay where they lie.
+        of = lambda c: F.coalesce(F.col(c).isin(*labels), F.lit(False))
+        nodes = nodes.where(of("label")).join(gone, ["label", "key"], "left_anti").select(*nodes.columns).union(nodes.where(~of("label")))
+        leaving = gone.select(F.col("label").alias("src_label"), F.col("key").alias("src"))
+        edges = edges.where(of("src_label")).join(leaving, ["src_label", "src"], "left_anti").select(*edges.columns).union(edges.where(~of("src_label")))
     return nodes, edges
 
 

@@ -209,7 +209,7 @@ SELECT 'node' AS what, label AS kind, count(*) AS n FROM (SELECT DISTINCT label,
 UNION ALL SELECT 'edge', rel, count(*) FROM (SELECT DISTINCT src_label, src, rel, dst_label, dst FROM e2) GROUP BY rel""")
 def delete_round(spark, d):
     n, e = g.delete_round(*graph(spark, d), YEAR)
-    return g.node_stats(n).select(F.lit("node").alias("what"), F.col("label").alias("kind"), "n").union(g.edge_stats(e).select(F.lit("edge"), "rel", "n"))
+    return g.node_stats(n).select(F.lit("node").alias("what"), F.col("label").alias("kind"), "n").union(g.edge_stats(e, sales_parts(spark, d)).select(F.lit("edge"), "rel", "n"))
 
 
 @query(f"""WITH {GRAPH}, k AS (SELECT DISTINCT src AS k FROM e WHERE src_label = 'Keyword'), l AS (SELECT DISTINCT src AS k, rel, dst AS v FROM e UNION SELECT dst, rel, src FROM e WHERE rel = 'RELATED')
