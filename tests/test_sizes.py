@@ -45,3 +45,10 @@ def test_pruning_writes_edges_once(spark, monkeypatch):
     n, e = spark.createDataFrame([("Combo", "c", "r", None, None)], gq.g.NODES), spark.createDataFrame([("Combo", "c", "INCLUDES", "Ingredient", "i", "r"), ("Keyword", "k", "RECORDED_ON", "Date", "d", "r")], gq.g.EDGES)
     assert [r["rel"] for r in gq.g.prune(n, e)[1].collect()] == ["RECORDED_ON"]
     assert sum("rel" in c for c in written) == 1
+
+
+def test_the_whole_graph_is_found_once(spark):
+    e = spark.createDataFrame([("Keyword", f"k{i % 9}", "R", "Date", "d", str(i)) for i in range(30)], gq.g.EDGES)
+    nodes, kept = gq.tools.whole_graph(e, 5)
+    assert nodes.inputFiles() and nodes.inputFiles() == kept.inputFiles()
+    assert [r["source"] for r in kept.orderBy("source").collect()] == ["k0", "k1", "k2", "k3", "k4"]

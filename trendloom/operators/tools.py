@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, unique
 from . import graph as g
 from . import retrieve as rt
 
@@ -65,8 +65,12 @@ def keyword_neighbours(keywords: DataFrame, nodes: DataFrame, edges: DataFrame)
     return asked.join(totals, "k", "left").join(g.neighbourhood(edges, asked), "k", "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
 
 
-def whole_graph(edges: DataFrame, most: int = 600) -> tuple[DataFrame, DataFrame]:
-    """(nodes(type, id), edges(source, target, label)) of the first ``most`` edges; ends without a name are left out."""
-    kept = edges.where("src <> '' and dst <> ''").select("src_label", "src", "rel", "dst_label", "dst").distinct().orderBy("src_label", "src", "rel", "dst_label", "dst").limit(most)
+def whole_graph(edges: DataFrame, most: int = 600, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes(type, id), edges(source, target, label)) of the first ``most`` edges, found once; ends without a name are left out.
+
+    Edges are compared in ``n`` partitions if given.
+    """
+    named = edges.where("src <> '' and dst <> ''").select("src_label", "src", "rel", "dst_label", "dst")
+    kept = cut(unique(named, n).orderBy("src_label", "src", "rel", "dst_label", "dst").limit(most))
     ends = kept.select(F.col("src_label").alias("type"), F.col("src").alias("id")).union(kept.select("dst_label", "dst")).distinct()
     return ends, kept.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("label"))

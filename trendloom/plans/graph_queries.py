@@ -410,7 +410,7 @@ def tool_neighbours(spark, d):
 @query(f"""WITH {GRAPH}, k AS (SELECT DISTINCT src_label, src, rel, dst_label, dst FROM e WHERE src <> '' AND dst <> '' ORDER BY ALL LIMIT 600)
 SELECT 'edge' AS what, rel AS kind, src || ' ' || dst AS id FROM k UNION ALL SELECT DISTINCT 'node', src_label, src FROM k UNION SELECT 'node', dst_label, dst FROM k""")
 def tool_whole_graph(spark, d):
-    ends, kept = tools.whole_graph(edges(spark, d))
+    ends, kept = tools.whole_graph(edges(spark, d), n=sales_parts(spark, d))
     return kept.select(F.lit("edge").alias("what"), F.col("label").alias("kind"), F.concat_ws(" ", "source", "target").alias("id")).union(ends.select(F.lit("node"), "type", "id"))
 
 
