@@ -52,3 +52,15 @@ def test_the_whole_graph_is_found_once(spark):
     nodes, kept = gq.tools.whole_graph(e, 5)
     assert nodes.inputFiles() and nodes.inputFiles() == kept.inputFiles()
     assert [r["source"] for r in kept.orderBy("source").collect()] == ["k0", "k1", "k2", "k3", "k4"]
+
+
+def test_links_are_compared_in_partitions_by_rows(spark, hundreds):
+    assert largest(gq.links(spark, str(SMALL))) < 2 * hundreds
+
+
+def test_ranks_make_their_edges_once(spark, monkeypatch):
+    cut, written = gq.pa.cut, []
+    monkeypatch.setattr(gq.pa, "cut", lambda df: written.append(df.columns) or cut(df))
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c")], "src string, dst string")
+    assert sum(r["rank"] for r in gq.pa.page_rank(e, most_rounds=2).collect()) == pytest.approx(1)
+    assert written[0] == ["src", "dst"] and not any("src" in c for c in written[1:])

@@ -13,15 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, unique
 
 
-def clean(edges: DataFrame) -> DataFrame:
-    return edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+def clean(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """Edges once, in ``n`` partitions if given; what is partitioned so already stays where it is."""
+    return unique(edges.where("src is not null and dst is not null").select("src", "dst"), n)
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return clean(edges.select("src", "dst").union(edges.select("dst", "src")))
+def both_ways(edges: DataFrame, n: int | None = None) -> DataFrame:
+    return clean(edges.select("src", "dst").union(edges.select("dst", "src")), n)
 
 
 def hops(edges: DataFrame, sources: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -41,21 +42,23 @@ def hops(edges: DataFrame, sources: DataFrame, most_rounds: int = 64) -> DataFra
 
 def page_rank(edges: DataFrame, damping: float = 0.85, most_rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
     """(node, rank): ranks sum to 1; what nodes without edges out hold is dealt to all nodes."""
-    edges = clean(edges)
-    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    edges = cut(clean(edges))
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out")).union(edges.select("dst", F.lit(0)))
+    nodes = cut(ends.groupBy("node").agg(F.sum("out").alias("out")))
     n = nodes.count()
-    edges = cut(edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src"))
-    ranks = cut(nodes.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(most_rounds if n else 0):
-        came = edges.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("came"))
-        sent = edges.select("src").distinct().join(ranks.withColumnRenamed("node", "src"), "src").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        # A node's share goes with the node, so edges carry their ends only.
+        shares = ranks.where("out > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
+        came = edges.join(shares, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("came"))
+        sent = ranks.where("out > 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         rest = (1 - damping) / n + damping * (1 - sent) / n
-        new = cut(ranks.join(came, "node", "left").select("node", F.col("rank").alias("was"), (F.lit(rest) + damping * F.coalesce("came", F.lit(0.0))).alias("rank")))
+        new = cut(ranks.join(came, "node", "left").select("node", "out", F.col("rank").alias("was"), (F.lit(rest) + damping * F.coalesce("came", F.lit(0.0))).alias("rank")))
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        ranks = new.select("node", "rank")
+        ranks = new.drop("was")
         if change < tolerance:
             break
-    return ranks
+    return ranks.select("node", "rank")
 
 
 def communities(edges: DataFrame, most_rounds: int = 64) -> DataFrame:

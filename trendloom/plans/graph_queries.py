@@ -438,7 +438,7 @@ def stored_edges(spark, d):
 
 def links(spark, d):
     """Keywords and their combos, both ways."""
-    return pa.both_ways(edges(spark, d, "IS_COMBO_WITH").select("src", "dst"))
+    return pa.both_ways(edges(spark, d, "IS_COMBO_WITH").select("src", "dst"), 2 * sales_parts(spark, d))
 
 
 LINKS = "u AS (SELECT DISTINCT k AS src, s AS dst FROM line UNION SELECT s, k FROM line)"
