@@ -29,6 +29,40 @@ def test_search_index_equals_the_scan(spark, monkeypatch):
     assert sizes < 16
 
 
+@pytest.mark.parametrize("block", [7, 1 << 21])
+def test_the_index_holds_each_trigram_of_each_row(spark, monkeypatch, block):
+    monkeypatch.setattr(se, "RANGE", 16)
+    monkeypatch.setattr(se, "BLOCK_CHARS", block)
+    rnd = random.Random(2)
+    texts = [None, "", "ab", "a\0\0b", "ÄÖÜ😀😀é", "\0" * 9, "İIıß" * 5] + ["".join(rnd.choice("aB \n😀Ä") for _ in range(rnd.randrange(60))) for _ in range(90)]
+    rows = [(rnd.choice([-(2**62), 2**62, i - 40, i % 9]), t) for i, t in enumerate(texts)]
+    index = se.build(spark.createDataFrame(rows, "id long, text string").repartition(3), "text", "id").collect()
+    low = {r["text"]: r["low"] for r in spark.createDataFrame(rows, "id long, text string").selectExpr("text", "lower(text) low").collect()}
+    want = {(low[t][i : i + 3], k) for k, t in rows if t for i in range(len(low[t]) - 2)}
+    got = [(r["gram"], r["first"] + sum(r["gaps"][:i])) for r in index for i in range(len(r["gaps"]) + 1)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len({(r["gram"], r["part"]) for r in index}) == len(index)
+
+
+def test_what_moves_for_the_index_are_lists(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(se, "cut", lambda df: written.append(df.cache()) or written[0], raising=False)
+    rows = spark.range(800).select("id", F.concat(F.lit("the same words in each of the texts "), "id").alias("text")).coalesce(2)
+    pairs = se.build(rows, "text", "id").select(F.sum(F.size("gaps") + 1)).first()[0]
+    assert pairs > 20_000 and written and written[0].count() < pairs / 5
+
+
+def test_trigrams_and_rows_beyond_one_number():
+    import pyarrow as pa
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[k::8]) for k in range(8)]
+    batch = pa.record_batch({"id": list(range(8)), "text": texts})
+    found = [(g, p, x) for b in se.lists_of(16, 1 << 21)(iter([batch])) for g, p, x in zip(*(b[c].to_pylist() for c in ("gram", "part", "places")))]
+    assert len(found) == sum(len(t) - 2 for t in texts) and all(p == 0 and len(x) == 1 for _, p, x in found)
+    assert all(g in texts[x[0]] for g, _, x in found[:: len(found) // 50])
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
