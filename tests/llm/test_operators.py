@@ -278,6 +278,49 @@ def test_suffix_dedup(spark, cap):
     assert suffixes.dedup(docs.limit(0)).count() == 0
 
 
+def brute_passages(rows, n):
+    texts = [((i, t), (t or "").encode().split()) for i, t in rows]
+    holders = {}
+    for name, w in texts:
+        for p in range(len(w) - n + 1):
+            holders.setdefault(tuple(w[p : p + n]), set()).add(name)
+    out = []
+    for (i, _), w in texts:
+        hit = [False] * (len(w) + 1)
+        for p in range(len(w) - n + 1):
+            if len(holders[tuple(w[p : p + n])]) > 1:
+                hit[p : p + n] = [True] * n
+        edges = [k for k in range(len(w) + 1) if hit[k] != (k > 0 and hit[k - 1])]
+        out.append((i, tuple(zip(edges[::2], edges[1::2]))))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("cap", [2000, 3])
+def test_passages_of_over_50_words(spark, cap):
+    """Passages that documents share show, also those under 400 bytes, which stay in the kept text."""
+    rnd = random.Random(8)
+    words = [a + b for a in "abcdefgh" for b in "klmnoprst"] + ["é", "日本"]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    fresh, planted = iter(range(10**6)), [some(n) for n in (50, 51, 52, 60, 90, 300)]
+    own = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    gap = lambda: rnd.choice([" ", "\n", "\t ", "\r\n"])
+    rows = []
+    for k in range(60):
+        w = own(rnd.randrange(40)) + planted[k % 6][rnd.choice([0, 0, 0, 1, 9]) :] + own(rnd.randrange(40))
+        rows.append((k, gap() * (k % 2) + "".join(x + gap() for x in w)))
+    rows += [(100 + k, " ".join(own(200))) for k in range(5)]
+    inner = " ".join(some(60))
+    rows += [(200, f"{inner} x {inner} y {inner}"), (201, "a " * 300), (202, None), (203, " \n "), (204, " ".join(own(51))), (205, "one two")]
+    copy = " ".join(own(70))
+    rows += [(300, copy), (301, copy), (None, copy), (302, " ".join(x := own(80))), (302, " ".join(x)), (303, "ab " * 60), (304, "ab\n" * 70 + "c")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = suffixes.dedup(docs, 400, cap, 51).withColumn("n_removed", suffixes.removed(F.col("spans"))).collect()
+    assert Counter((r["doc_id"], tuple((s["start"], s["end"]) for s in r["shared"])) for r in got) == brute_passages(rows, 51)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got) == brute_dedup(rows)
+    assert any(r["shared"] and not r["spans"] for r in got) and any(r["spans"] and not r["shared"] for r in got)
+    assert not any(r["shared"] for r in suffixes.dedup(docs.limit(20)).collect())
+
+
 def test_packing(spark):
     rows = [(i, " ".join(["w"] * ((i * 7919) % 3000))) for i in range(60)] + [(900, None), (901, "w " * 20000), (5, "a b c")]
     got = packing.pack_documents(spark.createDataFrame(rows, SCHEMA), block_items=20).collect()
