@@ -62,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(df: DataFrame) -> None:
+    """Shuffle files that nothing reads any more go now, not when the driver happens to collect its garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def hadoop_path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 

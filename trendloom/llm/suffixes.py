@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, release
 from .lm import mix
 from .near import grouped
 
@@ -72,6 +72,7 @@ RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:int,e
 #: What names a row.
 ROW = ("key", "key2")
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
+_INSIDE = np.array([not _GAP.match(bytes([b])) for b in range(256)])
 
 
 class Unit(NamedTuple):
@@ -89,30 +90,51 @@ BYTE = Unit(1, GRAM, STEPS, np.uint8, ("start", "size"))
 WORD = Unit(8, 8, (6, 1), np.uint64, ("offset", "extent"))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
+
+
+_POWERS = powers(_BASE, _CHUNK), powers(pow(_BASE, -1, 2**64), _CHUNK)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a text: (hash, first byte, end)."""
+    """The words of a text: (hash, first byte, end). A hash is taken from running sums over a stretch."""
     found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
     lo = 0
     while lo < len(data):
-        gap = _GAP.search(data, lo + _CHUNK)
+        gap = _GAP.search(data, lo + _CHUNK // 2)
         hi = gap.start() if gap else len(data)
         b = np.frombuffer(data, np.uint8, hi - lo, lo)
-        inside = (b != 32) & ((b < 9) | (b > 13))
-        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        inside = np.concatenate([[False], _INSIDE[b], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
         begin, end = edges[::2], edges[1::2]
-        if len(begin):
-            at = np.cumsum(end - begin) - (end - begin)
-            place = np.arange((end - begin).sum()) - np.repeat(at, end - begin)
-            with np.errstate(over="ignore"):
-                power = np.cumprod(np.full(place.max() + 1, _BASE, np.uint64), dtype=np.uint64)
-                h = mix(np.add.reduceat(_BYTE[b[inside]] * power[place], at))
-            for col, values in zip(found, (h, begin + lo, end + lo)):
-                col.append(values)
+        up, down = _POWERS if len(b) <= _CHUNK else (powers(_BASE, len(b)), powers(pow(_BASE, -1, 2**64), len(b)))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[: len(b)], dtype=np.uint64)])
+            h = mix((sums[end] - sums[begin]) * down[begin])
+        for col, values in zip(found, (h, begin + lo, end + lo)):
+            col.append(values)
         lo = hi
     h, begin, end = (np.concatenate(c) for c in found)
     return h, begin, end
 
 
+def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``word_hashes`` of each text; short ones are read together."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo + 1, len(texts[lo])
+        while hi < len(texts) and size + len(texts[hi]) < _CHUNK // 2:
+            size, hi = size + len(texts[hi]) + 1, hi + 1
+        h, begin, end = word_hashes(b"\n".join(texts[lo:hi]))
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts[lo:hi])])
+        cuts = np.searchsorted(begin, starts)
+        for i, a, z in zip(starts.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield h[a:z], begin[a:z] - i, end[a:z] - i
+        lo = hi
+
+
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the ``gram`` (a power of two) symbols from each position; a symbol is given by its hash."""
     h, have, factor = symbols, 1, _BASE
@@ -162,9 +184,9 @@ def pieces(rows: DataFrame, length: int = LENGTH, unit: Unit = BYTE) -> DataFram
         for batch in batches:
             out: list[list] = [[] for _ in range(7 + len(more))]
             held = 0
-            for key, key2, text in zip(batch["key"].to_pylist(), batch["key2"].to_pylist(), batch["text"]):
-                data = text.as_py().encode()
-                symbols, begin, end = word_hashes(data) if unit is WORD else (_BYTE[np.frombuffer(data, np.uint8)], None, None)
+            texts = (t.as_py().encode() for t in batch["text"])
+            read = ((b"", *found) for found in words_of(list(texts))) if unit is WORD else ((d, _BYTE[np.frombuffer(d, np.uint8)], None, None) for d in texts)
+            for key, key2, (data, symbols, begin, end) in zip(batch["key"].to_pylist(), batch["key2"].to_pylist(), read):
                 first, last, at, anchor = minimisers(symbols, length, unit.gram)
                 if not len(first):
                     continue
@@ -193,7 +215,7 @@ def spelled(fetched: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = pa.array([word_hashes(p)[0].tobytes() for p in batch["piece"].to_pylist()], pa.binary())
+            codes = pa.array([h.tobytes() for h, _, _ in words_of(batch["piece"].to_pylist())], pa.binary())
             yield batch.set_column(batch.schema.get_field_index("piece"), "piece", codes)
 
     return fetched.mapInArrow(run, fetched.schema)
@@ -416,6 +438,7 @@ def repeated(rows: DataFrame, length: int, cap: int, unit: Unit = BYTE, apart: b
     body = F.substring(F.col("text").cast("binary"), F.col(unit.place[0]) + 1, F.col(unit.place[1]))
     fetched = fetched.select("anchor", "digest", "at", "kinds", *holders, body.alias("piece")).dropDuplicates(["anchor", "digest"])
     fetched = materialize(spelled(fetched) if unit is WORD else fetched, "fetched")
+    release(rows)
     runs = transformed(fetched.where(F.col("kinds") <= cap), length, unit, apart)
     hot = refined(fetched.where(F.col("kinds") > cap), length, cap, unit.steps, unit, apart)
     runs = runs.union(hot) if hot is not None else runs
@@ -426,6 +449,7 @@ def repeated(rows: DataFrame, length: int, cap: int, unit: Unit = BYTE, apart: b
     spans = spans.select(*ROW, F.explode(F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))).alias("run"))
     spans = materialize(spans.select(*ROW, "run.*"), "spans")
     discard(found, known)
+    release(rows)
     return spans
 
 
