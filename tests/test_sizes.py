@@ -5,6 +5,7 @@ from oracles import DATA, both
 from pyspark.sql import functions as F
 
 from trendloom import session
+from trendloom.plans import answer_queries as aq
 from trendloom.plans import graph_queries as gq
 from trendloom.plans.text_queries import SQL, Q
 
@@ -64,3 +65,42 @@ def test_ranks_make_their_edges_once(spark, monkeypatch):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c")], "src string, dst string")
     assert sum(r["rank"] for r in gq.pa.page_rank(e, most_rounds=2).collect()) == pytest.approx(1)
     assert written[0] == ["src", "dst"] and not any("src" in c for c in written[1:])
+
+
+def broadcasts(plan):
+    """Rows of each broadcast in a plan that has run."""
+    name = plan.nodeName()
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan() if name.endswith("QueryStage") else None
+    if inner is not None:
+        return broadcasts(inner)
+    rows = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    below = plan.children()
+    return rows + [n for i in range(below.size()) for n in broadcasts(below.apply(i))]
+
+
+def test_the_question_chain_broadcasts_conditions_but_no_questions_parts_or_edges(spark, monkeypatch):
+    cut, rows = session.cut, []
+
+    def seen(df):
+        df.collect()
+        rows.extend(broadcasts(df._jdf.queryExecution().executedPlan()))
+        return cut(df)
+
+    for module in (aq.aw, gq, gq.tools, gq.rt):
+        monkeypatch.setattr(module, "cut", seen, raising=False)
+    assert seen(Q["answered_questions"](spark, str(DATA / "sf0.01"))).count() == 1500  # of 2000 parts
+    assert 0 < max(rows) < 500
+
+
+def test_what_keywords_meet_is_counted_in_partitions_of_whole_keywords(spark):
+    asked = spark.createDataFrame([(1, 0, ["a", "b"], "s", None), (2, 0, ["a"], None, None), (3, 1, [], None, "c"), (4, 0, [], None, None)], "qid long, rung int, tags array<string>, season string, category string")
+    e = [(f"k{i}", rel, v) for i in range(40) for rel, v in (("HAS_TAG", "a"), ("HAS_TAG", "b" if i % 2 else "d"), ("HAS_SEASON", "s" if i < 10 else "t"), ("HAS_CATEGORY", "c" if i == 7 else ""))]
+    e = spark.createDataFrame([("Keyword", k, rel, "X", v, r) for k, rel, v in e for r in "12"], gq.g.EDGES)  # two rounds
+    totals = spark.createDataFrame([(f"k{i}", i or None) for i in range(20)], "name string, count long")  # half of the keywords have none
+    want = sorted([(1, f"k{i}") for i in range(10) for _ in range(1 + i % 2)] + [(2, f"k{i}") for i in range(20)] + [(3, "k7")] + [(4, f"k{i}") for i in range(10, 20)])
+    for n in (None, 3):
+        got = gq.rt.menu_rows(asked, totals, e, n=n)
+        assert sorted((r["qid"], r["keyword"]) for r in got.collect()) == want
+        assert all(r["count"] == (int(r["keyword"][1:]) or None) for r in got.collect())
+    split = gq.rt.unique(e.select("src", "rel", "dst"), 3, "src")
+    assert split.rdd.getNumPartitions() == 3 and split.select("src", F.spark_partition_id().alias("p")).distinct().count() == 40

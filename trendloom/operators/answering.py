@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grounding import validation
-from ..session import cut
+from ..session import apart, cut
 from . import retrieve as rt
 from . import tools
 
@@ -36,8 +36,8 @@ def understood(questions: DataFrame, edges: DataFrame, most_tags: int = MOST_TAG
     distinct = given.select("_c", "tags", "season", "category").distinct()
     one = lambda label, c: F.when(c.isNotNull(), F.array(F.struct(F.lit(label).alias("label"), c.alias("value")))).otherwise(F.array().cast("array<struct<label:string,value:string>>"))
     values = F.concat(F.transform("tags", lambda t: F.struct(F.lit("Tag").alias("label"), t.alias("value"))), one("Season", F.col("season")), one("Category", F.col("category")))
-    strange = distinct.select("_c", F.explode(values).alias("w")).select("_c", "w.*").join(rt.vocabulary(edges), ["label", "value"], "left_anti")
-    rows = given.join(strange.select("_c").distinct().withColumn("_strange", F.lit(True)), "_c", "left")
+    strange = distinct.select("_c", F.explode(values).alias("w")).select("_c", "w.*").join(apart(rt.vocabulary(edges)), ["label", "value"], "left_anti")
+    rows = given.join(apart(strange.select("_c").distinct().withColumn("_strange", F.lit(True))), "_c", "left")
     holds = F.col("use_ingredient").isNotNull() & (F.size("tags") <= most_tags) & F.col("_strange").isNull()
     rule = rt.parse_question(F.coalesce("question", F.lit("")))
     return rows.select("qid", "question", F.when(holds, "llm").otherwise("rule").alias("source"), *[F.when(holds, F.col(c)).otherwise(rule[c]).alias(c) for c in CONDITIONS])
@@ -46,7 +46,7 @@ def understood(questions: DataFrame, edges: DataFrame, most_tags: int = MOST_TAG
 def with_candidates(asked: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
     """understood questions + path, relaxed (conditions dropped, in order, ``all`` if stand-ins answer) and candidates (in order, ``limit`` at the most)."""
     rows = cut(asked.withColumn("path", F.when(F.col("use_ingredient"), "ingredient").otherwise("menu")).withColumn("_c", F.when(F.col("use_ingredient"), F.lit("ingredient")).otherwise(condition_key("tags", "season", "category"))))
-    distinct = rows.groupBy("_c").agg(*[F.first(c).alias(c) for c in ("path", "tags", "season", "category")])
+    distinct = cut(rows.groupBy("_c").agg(*[F.first(c).alias(c) for c in ("path", "tags", "season", "category")]))  # read several times
     found = tools.candidates_of(distinct.withColumnRenamed("_c", "qid"), nodes, edges, limit)
     lists = found.groupBy(F.col("qid").alias("_c")).agg(F.max("relaxed").alias("_r"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("candidates"))
     none = F.array().cast("array<string>")
@@ -62,7 +62,7 @@ def answered(questions: DataFrame, attempts: DataFrame, nodes: DataFrame, edges:
     (why the last one fails; ``absent`` without any), raw (the last one failing), feedback (the reasons that were given back, in order). A question with a null qid has no attempts.
     """
     asked = cut(with_candidates(understood(questions, edges), nodes, edges, limit))
-    tried = attempts.where(F.col("attempt").between(1, retries + 1)).join(asked.select("qid", "candidates"), "qid")
+    tried = attempts.where(F.col("attempt").between(1, retries + 1)).join(apart(asked.select("qid", "candidates")), "qid")
     reason = validation(F.col("answer"), F.col("candidates"))
     judged = tried.select("qid", "attempt", "answer", reason.alias("reason"))
     fails = F.col("reason") != "ok"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import apart, cut, unique
+
 LIMIT = 10
 LEAST = 3
 LADDER = ("none", "category", "season", "tags")
@@ -46,36 +48,38 @@ def bind_vocabulary(tags: Column, season: Column, category: Column, vocab: dict[
     }
 
 
-def ingredient_candidates(edges: DataFrame, totals: DataFrame, limit: int = LIMIT) -> DataFrame:
+def ingredient_candidates(edges: DataFrame, totals: DataFrame, limit: int = LIMIT, n: int | None = None) -> DataFrame:
     """Ingredients reached by a keyword's combos: by last date, then by the sum of counts over all (path, date) rows, then by name.
 
     A keyword's dates are counted before the paths meet them: a path stands for as many rows as its
-    keyword has dates, or one without any.
+    keyword has dates, or one without any. Edges are compared in ``n`` partitions if given.
     """
-    e = edges.where(F.col("rel").isin("INCLUDES", "IS_COMBO_WITH", "RECORDED_ON")).select("rel", "src", "dst").distinct()
+    e = unique(edges.where(F.col("rel").isin("INCLUDES", "IS_COMBO_WITH", "RECORDED_ON")).select("rel", "src", "dst"), n, "src")
     includes = e.where("rel = 'INCLUDES'").select(F.col("src").alias("combo"), F.col("dst").alias("ingredient"))
     combo_of = e.where("rel = 'IS_COMBO_WITH'").select(F.col("src").alias("name"), F.col("dst").alias("combo"))
     dates = e.where("rel = 'RECORDED_ON'").groupBy(F.col("src").alias("name")).agg(F.max("dst").alias("date"), F.count("*").alias("times"))
-    names = totals.select("name", "count").join(dates, "name", "left").select("name", "date", (F.col("count") * F.coalesce("times", F.lit(1))).alias("mentions"))
-    rows = combo_of.join(names, "name").groupBy("combo").agg(F.max("date").alias("date"), F.sum("mentions").alias("mentions")).join(includes, "combo")
+    names = totals.select("name", "count").join(apart(dates), "name", "left").select("name", "date", (F.col("count") * F.coalesce("times", F.lit(1))).alias("mentions"))
+    rows = apart(combo_of).join(names, "name").groupBy("combo").agg(F.max("date").alias("date"), F.sum("mentions").alias("mentions")).join(apart(includes), "combo")
     ranked = rows.groupBy("ingredient").agg(F.max("date").alias("latest"), F.sum("mentions").alias("freq"))
     return ranked.orderBy(F.desc_nulls_last("latest"), F.desc_nulls_last("freq"), "ingredient").limit(limit)
 
 
-def menu_rows(cond: DataFrame, totals: DataFrame, edges: DataFrame, distinct: bool = False) -> DataFrame:
+def menu_rows(cond: DataFrame, totals: DataFrame, edges: DataFrame, distinct: bool = False, n: int | None = None) -> DataFrame:
     """cond(qid, rung, tags, season, category) -> (qid, rung, keyword, count): keywords that meet all present conditions.
 
     A keyword comes once for each tag it meets, as the source does; ``distinct`` gives it once.
-    Conditions are turned to (qid, rung, relation, value) rows and meet the edges by equality.
+    Conditions are turned to (qid, rung, relation, value) rows and meet the edges by equality. Edges get their keyword's count before
+    that, as each meets many conditions, and lie by keyword, in ``n`` partitions if given; what they meet is counted there.
     """
-    e = edges.where(F.col("rel").isin("HAS_TAG", "HAS_SEASON", "HAS_CATEGORY")).select(F.col("src").alias("keyword"), "rel", F.col("dst").alias("value")).distinct()
+    e = edges.where(F.col("rel").isin("HAS_TAG", "HAS_SEASON", "HAS_CATEGORY")).select(F.col("src").alias("keyword"), "rel", F.col("dst").alias("value"))
+    e = unique(e.join(apart(totals.select(F.col("name").alias("keyword"), "count")), "keyword"), n, "keyword")
     some = lambda c, rel: F.when(c.isNotNull() & (c != ""), F.array(F.struct(F.lit(rel).alias("rel"), c.alias("value"))))
     none = F.array().cast("array<struct<rel:string,value:string>>")
     wants = F.concat(F.transform(F.array_distinct("tags"), lambda t: F.struct(F.lit("HAS_TAG").alias("rel"), t.alias("value"))), F.coalesce(some(F.col("season"), "HAS_SEASON"), none), F.coalesce(some(F.col("category"), "HAS_CATEGORY"), none))
     asked = cond.withColumn("wants", wants).withColumn("kinds", F.size(F.array_distinct(F.transform("wants", lambda w: w["rel"]))))
     met = asked.select("qid", "rung", "kinds", F.explode("wants").alias("w")).select("qid", "rung", "kinds", "w.rel", "w.value").join(e, ["rel", "value"])
-    hits = met.groupBy("qid", "rung", "kinds", "keyword").agg(F.countDistinct("rel").alias("rels"), F.greatest(F.lit(1), F.count_if(F.col("rel") == "HAS_TAG")).alias("times")).where("rels = kinds")
-    hits = hits.join(totals.select(F.col("name").alias("keyword"), "count"), "keyword")
+    kinds = sum(F.max((F.col("rel") == rel).cast("int")) for rel in ("HAS_TAG", "HAS_SEASON", "HAS_CATEGORY"))
+    hits = met.groupBy("qid", "rung", "kinds", "keyword", "count").agg(kinds.alias("rels"), F.greatest(F.lit(1), F.count_if(F.col("rel") == "HAS_TAG")).alias("times")).where("rels = kinds")
     if not distinct:
         hits = hits.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
     free = asked.where("kinds = 0").select("qid", "rung").crossJoin(F.broadcast(popular(totals)))
@@ -129,18 +133,18 @@ def rungs(cond: DataFrame) -> DataFrame:
     return cond.select("qid", F.explode(F.array_compact(F.array(*steps))).alias("s")).select("qid", "s.*")
 
 
-def relaxation_ladder(cond: DataFrame, totals: DataFrame, edges: DataFrame, least: int = LEAST, limit: int = LIMIT, distinct: bool = False) -> DataFrame:
+def relaxation_ladder(cond: DataFrame, totals: DataFrame, edges: DataFrame, least: int = LEAST, limit: int = LIMIT, distinct: bool = False, n: int | None = None) -> DataFrame:
     """cond(qid, tags, season, category) -> (qid, rank, keyword, count, relaxed): all questions and rungs in one plan.
 
     The first rung of ``least`` rows or more counts, else the last tried; with no rows there, the most
-    frequent keywords stand in and ``relaxed`` ends with ``all``.
+    frequent keywords stand in and ``relaxed`` ends with ``all``. ``n`` as in ``menu_rows``.
     """
     steps = rungs(cond)
-    rows = top_rows(menu_rows(steps, totals, edges, distinct), ["qid", "rung"], limit)
+    rows = cut(top_rows(menu_rows(steps, totals, edges, distinct, n), ["qid", "rung"], limit))  # read twice
     sized = steps.select("qid", "rung", "relaxed").join(rows.groupBy("qid", "rung").agg(F.count("*").alias("n")), ["qid", "rung"], "left").fillna(0, ["n"])
     chosen = sized.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("n") >= least, F.col("rung"))), F.max("rung")).alias("rung"))
     chosen = chosen.join(sized, ["qid", "rung"])
-    found = rows.join(chosen, ["qid", "rung"]).select("qid", "rank", "keyword", "count", F.array_join("relaxed", ",").alias("relaxed"))
+    found = apart(rows).join(chosen, ["qid", "rung"]).select("qid", "rank", "keyword", "count", F.array_join("relaxed", ",").alias("relaxed"))
     stand_in = chosen.where("n = 0").crossJoin(F.broadcast(top_rows(popular(totals, limit).withColumn("_", F.lit(1)), ["_"], limit)))
     return found.union(stand_in.select("qid", "rank", "keyword", "count", F.array_join(F.concat("relaxed", F.array(F.lit("all"))), ",")))
 

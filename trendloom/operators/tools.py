@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, unique
+from ..session import cut, parts, unique
 from . import graph as g
 from . import retrieve as rt
 
@@ -41,11 +41,14 @@ def conditions(questions: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def candidates_of(asked: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = rt.LIMIT) -> DataFrame:
-    """asked(qid, path, tags, season, category) -> qid, rank, keyword, relaxed: the route's candidates, never none; ``relaxed`` lists what was dropped, and 'all' if the stand-ins answer."""
-    totals = cut(g.keyword_totals(nodes))
-    menu = rt.relaxation_ladder(asked.where("path = 'menu'").select("qid", "tags", "season", "category"), totals, edges, limit=limit).select("qid", "rank", "keyword", "relaxed")
+    """asked(qid, path, tags, season, category) -> qid, rank, keyword, relaxed: the route's candidates, never none; ``relaxed`` lists what was dropped, and 'all' if the stand-ins answer.
+
+    Edges are counted first, for the number of partitions, so they had better be written.
+    """
+    totals, n = cut(g.keyword_totals(nodes)), parts(edges.sparkSession, edges.count())
+    menu = rt.relaxation_ladder(asked.where("path = 'menu'").select("qid", "tags", "season", "category"), totals, edges, limit=limit, n=n).select("qid", "rank", "keyword", "relaxed")
     # ``limit`` rows each, so they may be numbered and broadcast.
-    own = rt.ingredient_candidates(edges, totals, limit).withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("latest"), F.desc_nulls_last("freq"), "ingredient"))).select("rank", F.col("ingredient").alias("keyword"), F.lit("").alias("relaxed"))
+    own = rt.ingredient_candidates(edges, totals, limit, n).withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("latest"), F.desc_nulls_last("freq"), "ingredient"))).select("rank", F.col("ingredient").alias("keyword"), F.lit("").alias("relaxed"))
     by_name = rt.all_ingredients(nodes, limit).withColumn("rank", F.row_number().over(W.orderBy("keyword"))).select("rank", "keyword", F.lit("all").alias("relaxed"))
     stand_in = by_name.crossJoin(F.broadcast(own.agg(F.count("*").alias("n")))).where("n = 0").drop("n")
     return menu.union(asked.where("path = 'ingredient'").select("qid").crossJoin(F.broadcast(own.union(stand_in))).select("qid", "rank", "keyword", "relaxed"))

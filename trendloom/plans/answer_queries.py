@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grounding import names_of
 from ..operators import answering as aw
+from ..session import apart
 from .graph_queries import GRAPH, RUNG_ROWS, graph
 from .text_queries import query, table
 
@@ -37,13 +38,13 @@ def questions(spark, d):
 
 def attempts(spark, d):
     sold = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("n"))
-    best = sold.join(table(spark, d, "part"), F.expr("l_partkey = p_partkey")).groupBy(F.col("p_brand").alias("brand")).agg(F.min(F.struct(-F.col("n"), "p_partkey")).alias("b")).select("brand", F.concat(F.lit("p"), "b.p_partkey").alias("best"))
+    best = sold.join(apart(table(spark, d, "part")), F.expr("l_partkey = p_partkey")).groupBy(F.col("p_brand").alias("brand")).agg(F.min(F.struct(-F.col("n"), "p_partkey")).alias("b")).select("brand", F.concat(F.lit("p"), "b.p_partkey").alias("best"))
     buyers = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit("Brand#"), F.col("c_nationkey") + 2).alias("brand")).join(best, "brand", "left")
     text = F.coalesce(by_value("o_orderpriority", ATTEMPTS, F.lit), F.when(F.col("o_orderstatus") == "F", "[]").otherwise('[{"description":"%b"}]'))
     text = F.replace(F.replace(text, F.lit("%b"), F.coalesce("best", F.lit("none"))), F.lit("%n"), F.col("c_nationkey").cast("string"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), "o_orderkey", "o_orderstatus", "o_orderpriority")
     o = o.withColumn("attempt", F.row_number().over(W.partitionBy("qid").orderBy("o_orderkey")))
-    return o.join(buyers, F.expr("qid = c_custkey")).select("qid", "attempt", text.alias("answer"))
+    return o.join(apart(buyers), F.expr("qid = c_custkey")).select("qid", "attempt", text.alias("answer"))
 
 
 _text = lambda s: "'" + s.replace("\n", "' || chr(10) || '") + "'"

@@ -68,9 +68,18 @@ def parts(spark: SparkSession, rows: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
 
 
-def unique(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Distinct rows, in ``n`` partitions."""
-    return (df.repartition(n, *df.columns) if n else df).distinct()
+def unique(df: DataFrame, n: int | None = None, *keys: str) -> DataFrame:
+    """Distinct rows, in ``n`` partitions, those of equal keys (if given) in one."""
+    return (df.repartition(n, *(keys or df.columns)) if n else df).distinct()
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that meets the other one by sorted partitions and is never sent whole through the driver.
+
+    Catalyst takes the bytes of a column's files for its size in memory. What repeats (the list of candidates of all questions that ask for
+    the same) or runs on (names by number) is a small part of that in a file, so tables far beyond the limit for broadcasts would be broadcast.
+    """
+    return df.hint("merge")
 
 
 def spread(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
